@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
+from codeloom.llm.ngram_join import op2_ngram_join
 from codeloom.llm.toxicity import op1_toxicity
 
-QUERIES = {"op1_toxicity": op1_toxicity}
+QUERIES = {"op1_toxicity": op1_toxicity, "op2_ngram_join": op2_ngram_join}
 ORACLES: dict[str, str] = {}
