@@ -21,6 +21,8 @@ an empty result; extra columns are ignored.
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -34,17 +36,24 @@ TRIES = 3
 #: Cells a digest is added to: one of each third.
 HASHES = 3
 
-CELL = "struct<n:int,key:bigint,check:bigint>"
+def let(value: Column, then: Callable[[Column], Column]) -> Column:
+    """then(value), with value computed once (an argument of a lambda is evaluated again wherever it stands)."""
+    return F.transform(F.array(value), then)[0]
 
 
 def paragraphs(text: Column) -> Column:
-    """Digests of the distinct paragraphs."""
+    """Distinct paragraphs: their digests d, and what decides their group (g), cells (h) and check sum (c)."""
     parts = F.regexp_extract_all(text, F.lit(rf"[^\n]{{1,{LONG}}}+[^\n.!?]*+[.!?]*+"), F.lit(0))
-    return F.array_distinct(F.transform(parts, lambda p: F.xxhash64(p)))
+    digests = F.array_distinct(F.transform(parts, lambda p: F.xxhash64(p)))
+    return F.transform(digests, lambda d: F.struct(d.alias("d"), F.xxhash64(d, F.lit(1)).alias("g"), F.xxhash64(d).alias("h"), check_of(d).alias("c")))
+
+
+def check_of(d: Column) -> Column:
+    return F.xxhash64(d, F.lit(7))
 
 
 def power(bits: Column) -> Column:
-    return F.pow(F.lit(2.0), bits).cast("int")
+    return F.pow(F.lit(2.0), bits).cast("bigint")
 
 
 def groups(n: Column) -> Column:
@@ -52,87 +61,82 @@ def groups(n: Column) -> Column:
     return power(F.greatest(F.lit(0), F.ceil(F.log2(F.greatest(n, F.lit(1)) / F.lit(float(LOAD))))))
 
 
-def group_of(d: Column, q: Column) -> Column:
-    return F.pmod(F.xxhash64(d, F.lit(1)), q.cast("bigint"))
-
-
-def place(d: Column, i: int, cells: int) -> Column:
-    """The cell of the i-th third that digest d goes to."""
-    third = cells // HASHES
-    return (F.pmod(F.shiftright(F.xxhash64(d), 16 * i), F.lit(third)) + F.lit(i * third)).cast("int")
-
-
-def check_of(d: Column) -> Column:
-    return F.xxhash64(d, F.lit(7))
-
-
-def by_group(digests: Column, q: Column) -> Column:
-    """The digests of each group. Two levels of filters, so that long documents cost n * sqrt(groups)."""
-    root = power(F.floor(F.log2(q) / 2))
-    coarse = lambda g: F.filter(digests, lambda d: F.pmod(group_of(d, q), root.cast("bigint")) == g)
-    fine = lambda part, g: F.transform(F.sequence(F.lit(0), (q / root).cast("int") - 1), lambda k: F.filter(part, lambda d: group_of(d, q) == k * root + g))
-    many = F.flatten(F.transform(F.transform(F.sequence(F.lit(0), root - 1), lambda g: F.struct(g.alias("g"), coarse(g).alias("part"))), lambda x: fine(x["part"], x["g"])))
-    return F.when(q == 1, F.array(digests)).otherwise(many)
+def by_group(entries: Column, q: Column) -> Column:
+    """The entries of each of q groups. Beyond 32 groups by two levels of filters, so that a long document costs
+    its paragraphs times the root of the groups."""
+    one = lambda part, mask, g: F.filter(part, lambda e: e["g"].bitwiseAND(mask) == g)
+    few = F.transform(F.sequence(F.lit(0).cast("bigint"), q - 1), lambda g: one(entries, q - 1, g))
+    many = let(
+        power(F.floor(F.log2(q) / 2)),
+        lambda root: F.flatten(F.transform(F.sequence(F.lit(0).cast("bigint"), root - 1), lambda g: let(one(entries, root - 1, g), lambda part: F.transform(F.sequence(g, q - 1, root), lambda k: one(part, q - 1, k))))),
+    )
+    return F.when(q == 1, F.array(entries)).when(q <= 32, few).otherwise(many)
 
 
 def empty_cells(cells: int) -> Column:
-    return F.array_repeat(F.struct(F.lit(0).alias("n"), F.lit(0).cast("bigint").alias("key"), F.lit(0).cast("bigint").alias("check")), cells)
+    zero = F.lit(0).cast("bigint")
+    return F.array_repeat(F.struct(F.lit(0).alias("n"), zero.alias("key"), zero.alias("check")), cells)
 
 
-def added(table: Column, d: Column, sign: Column, cells: int) -> Column:
-    """The cells after sign (1 or -1) times digest d."""
-    return F.transform(
-        table,
-        lambda c, i: F.when(
-            (i == place(d, 0, cells)) | (i == place(d, 1, cells)) | (i == place(d, 2, cells)),
-            F.struct((c["n"] + sign).alias("n"), c["key"].bitwiseXOR(d).alias("key"), c["check"].bitwiseXOR(check_of(d)).alias("check")),
-        ).otherwise(c),
+def changed(table: Column, d: Column, h: Column, c: Column, sign: Column, cells: int) -> Column:
+    """The cells after sign (1 or -1) times one digest: one cell of each third."""
+    third = cells // HASHES
+    at = [(F.pmod(F.shiftright(h, 16 * i), F.lit(third)) + i * third).cast("int").alias(f"p{i}") for i in range(HASHES)]
+    return let(
+        F.struct(d.alias("d"), c.alias("c"), sign.alias("s"), *at),
+        lambda v: F.transform(
+            table,
+            lambda x, i: F.when((i == v["p0"]) | (i == v["p1"]) | (i == v["p2"]), F.struct((x["n"] + v["s"]).alias("n"), x["key"].bitwiseXOR(v["d"]).alias("key"), x["check"].bitwiseXOR(v["c"]).alias("check"))).otherwise(x),
+        ),
     )
 
 
-def sketch(digests: Column, cells: int) -> Column:
-    return F.aggregate(digests, empty_cells(cells), lambda t, d: added(t, d, F.lit(1), cells))
+def sketch(entries: Column, cells: int) -> Column:
+    return F.aggregate(entries, empty_cells(cells), lambda t, e: changed(t, e["d"], e["h"], e["c"], F.lit(1), cells))
 
 
 def minus(a: Column, b: Column) -> Column:
     return F.zip_with(a, b, lambda x, y: F.struct((x["n"] - y["n"]).alias("n"), x["key"].bitwiseXOR(y["key"]).alias("key"), x["check"].bitwiseXOR(y["check"]).alias("check")))
 
 
-def peeled(table: Column, cells: int) -> Column:
-    """(cells, n): what is left after peeling, and how many digests it recovered. At most `cells` can be."""
+def peeled(table: Column, most: Column, cells: int) -> Column:
+    """(cells, n): what is left after peeling, and how many digests it recovered: `most` can be there."""
     start = F.struct(table.alias("cells"), F.lit(0).alias("n"))
+    pure = lambda x: (F.abs(x["n"]) == 1) & (x["check"] == check_of(x["key"]))
 
     def step(acc: Column, _: Column) -> Column:
-        pure = F.filter(acc["cells"], lambda c: (F.abs(c["n"]) == 1) & (c["check"] == check_of(c["key"])))
-        return F.when(F.size(pure) == 0, acc).otherwise(F.struct(added(acc["cells"], pure[0]["key"], -pure[0]["n"], cells).alias("cells"), (acc["n"] + 1).alias("n")))
-
-    return F.aggregate(F.sequence(F.lit(1), F.lit(cells)), start, step)
+        found = lambda p: F.struct(changed(acc["cells"], p[0]["key"], F.xxhash64(p[0]["key"]), p[0]["check"], -p[0]["n"], cells).alias("cells"), (acc["n"] + 1).alias("n"))
+        return let(F.filter(acc["cells"], pure), lambda p: F.when(F.size(p) == 0, acc).otherwise(found(p)))
 
-
-def clear(table: Column) -> Column:
-    return F.forall(table, lambda c: (c["n"] == 0) & (c["key"] == 0) & (c["check"] == 0))
+    return F.aggregate(F.sequence(F.lit(1), F.least(most, F.lit(cells))), start, step)
 
 
 def difference(a: Column, b: Column, cells: int = CELLS, tries: int = TRIES) -> Column:
-    """Size of the symmetric difference of two groups' digests, by subtracting sketches and peeling."""
+    """Size of the symmetric difference of two groups, by subtracting sketches and peeling."""
     if not tries:
-        return F.size(F.array_except(a, b)) + F.size(F.array_except(b, a))
-    left = F.transform(F.array(peeled(minus(sketch(a, cells), sketch(b, cells)), cells)), lambda p: F.when(clear(p["cells"]), p["n"]))[0]
-    return F.transform(F.array(left), lambda n: F.when(n.isNotNull(), n).otherwise(difference(a, b, 2 * cells, tries - 1)))[0]
+        own, other = (F.transform(x, lambda e: e["d"]) for x in (a, b))
+        return F.size(F.array_except(own, other)) + F.size(F.array_except(other, own))
+    clear = lambda p: F.forall(p["cells"], lambda x: (x["n"] == 0) & (x["key"] == 0) & (x["check"] == 0))
+    most = F.size(a) + F.size(b)
+    tried = let(peeled(minus(sketch(a, cells), sketch(b, cells)), most, cells), lambda p: F.when(clear(p), p["n"]))
+    return F.when(most == 0, F.lit(0)).otherwise(let(tried, lambda n: F.when(n.isNotNull(), n).otherwise(difference(a, b, 2 * cells, tries - 1))))
 
 
 def likeness(a: Column, b: Column) -> Column:
-    q = F.greatest(groups(F.size(a)), groups(F.size(b)))
-    pairs = F.arrays_zip(by_group(a, q).alias("x"), by_group(b, q).alias("y"))
-    d = F.aggregate(pairs, F.lit(0), lambda acc, p: acc + difference(p["x"], p["y"]))
+    """Common / all distinct digests."""
+    found = let(
+        F.greatest(groups(F.size(a)), groups(F.size(b))),
+        lambda q: F.aggregate(F.arrays_zip(by_group(a, q).alias("x"), by_group(b, q).alias("y")), F.lit(0), lambda acc, p: acc + difference(p["x"], p["y"])),
+    )
     total = F.size(a) + F.size(b)
-    return F.when(total == 0, 1.0).otherwise((total - d) / (total + d))
+    return F.when(total == 0, 1.0).otherwise(let(found, lambda d: (total - d) / (total + d)))
 
 
-def fingerprint(digests: Column) -> Column:
+def fingerprint(entries: Column) -> Column:
     """The number of digests, and the cells of each group's sketch in hexadecimal."""
     shown = lambda t: F.array_join(F.transform(t, lambda c: F.when(c["n"] == 0, "").otherwise(F.concat_ws("/", F.hex(c["n"]), F.hex(c["key"]), F.hex(c["check"])))), ";")
-    return F.concat(F.size(digests).cast("string"), F.lit("|"), F.array_join(F.transform(by_group(digests, groups(F.size(digests))), lambda g: shown(sketch(g, CELLS))), "|"))
+    parts = let(groups(F.size(entries)), lambda q: F.transform(by_group(entries, q), lambda g: shown(sketch(g, CELLS))))
+    return F.concat(F.size(entries).cast("string"), F.lit("|"), F.array_join(parts, "|"))
 
 
 def with_next(docs: DataFrame) -> DataFrame:

@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
+from codeloom.llm.lookup_sketch import op4_lookup_sketch
 from codeloom.llm.ngram_join import op2_ngram_join
 from codeloom.llm.pii import op9_personal_data
 from codeloom.llm.secrets import op10_secret_scan
 from codeloom.llm.toxicity import op1_toxicity
 
-QUERIES = {"op1_toxicity": op1_toxicity, "op2_ngram_join": op2_ngram_join, "op9_personal_data": op9_personal_data, "op10_secret_scan": op10_secret_scan}
+QUERIES = {"op1_toxicity": op1_toxicity, "op2_ngram_join": op2_ngram_join, "op4_lookup_sketch": op4_lookup_sketch, "op9_personal_data": op9_personal_data, "op10_secret_scan": op10_secret_scan}
 ORACLES: dict[str, str] = {}
