@@ -23,6 +23,7 @@ from __future__ import annotations
 
 import hashlib
 import zlib
+from functools import lru_cache
 
 import numpy as np
 import pandas as pd
@@ -101,6 +102,12 @@ class Encoder:
         return [np.frombuffer(b"".join([known[p] for p in s]), dtype=self.type) for s in split]
 
 
+@lru_cache(maxsize=1)
+def encoder_of(path: str) -> Encoder:
+    """One encoder for all tasks of a Python worker."""
+    return Encoder(path)
+
+
 def cuts(ids: np.ndarray) -> np.ndarray:
     """Ends of the chunks: after ids whose rolling hash has no bit of MASK; none shorter than LEAST or longer than MOST."""
     n = len(ids)
@@ -178,7 +185,7 @@ def encode_chunks(docs: DataFrame, path: str, end_id: int) -> DataFrame:
     def run(batches):
         import pyarrow as pa
 
-        encoder, seen = Encoder(path), set()
+        encoder, seen = encoder_of(path), set()
         end = np.array([end_id], dtype=encoder.type)
         for batch in batches:
             for lo in range(0, len(batch), 200):
