@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from codeloom.llm.graph_index import op3_graph_index
 from codeloom.llm.lookup_sketch import op4_lookup_sketch
 from codeloom.llm.mixing import op8_mix_sources
 from codeloom.llm.ngram_join import op2_ngram_join
@@ -12,5 +13,5 @@ from codeloom.llm.token_store import op5_token_store
 from codeloom.llm.toxicity import op1_toxicity
 from codeloom.llm.url_filter import OP6_SQL, op6_url_filter
 
-QUERIES = {"op1_toxicity": op1_toxicity, "op2_ngram_join": op2_ngram_join, "op4_lookup_sketch": op4_lookup_sketch, "op5_token_store": op5_token_store, "op6_url_filter": op6_url_filter, "op7_piece_fst": op7_piece_fst, "op8_mix_sources": op8_mix_sources, "op9_personal_data": op9_personal_data, "op10_secret_scan": op10_secret_scan}
+QUERIES = {"op1_toxicity": op1_toxicity, "op2_ngram_join": op2_ngram_join, "op3_graph_index": op3_graph_index, "op4_lookup_sketch": op4_lookup_sketch, "op5_token_store": op5_token_store, "op6_url_filter": op6_url_filter, "op7_piece_fst": op7_piece_fst, "op8_mix_sources": op8_mix_sources, "op9_personal_data": op9_personal_data, "op10_secret_scan": op10_secret_scan}
 ORACLES: dict[str, str] = {"op6_url_filter": OP6_SQL}
