@@ -175,6 +175,27 @@ def encode(docs: DataFrame, path: str | None = None) -> DataFrame:
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(run, "doc_id long, ids array<int>, decoded string")
 
 
+def encoded(docs: DataFrame, path: str | None = None) -> DataFrame:
+    """docs with piece_ids, the ids of each text, in place of no other column (an own piece_ids is replaced)."""
+    path = path or model_path()
+    columns = [c for c in docs.columns if c != "piece_ids"]
+    schema = docs.select(*columns).withColumn("piece_ids", F.array().cast("array<int>")).schema
+
+    def run(batches):
+        import pyarrow as pa
+
+        machine = machine_of(path)
+        for batch in batches:
+            texts = batch.column(columns.index("text"))
+            for lo in range(0, len(batch), 200):
+                ids = [machine.encode(t or "") for t in texts.slice(lo, 200).to_pylist()]
+                ends = np.concatenate(([0], np.cumsum([len(x) for x in ids]))).astype(np.int32)
+                flat = pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate(ids).astype(np.int32)))
+                yield pa.RecordBatch.from_arrays([*(c.slice(lo, 200) for c in batch.columns), flat], names=[*columns, "piece_ids"])
+
+    return docs.select(*columns).mapInArrow(run, schema)
+
+
 def digest(docs: DataFrame, path: str | None = None) -> DataFrame:
     """doc_id, n_pieces, ids_crc32 (of the ids as little-endian 32-bit integers), n_bytes (pieces that are single bytes),
     decoded_sha256 and round_trip (the decoded text is the text) for each row of docs."""
