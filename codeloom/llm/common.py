@@ -91,20 +91,28 @@ def prefix_sum(df: DataFrame, order: list[str], value: str, out: str, bucket: st
 def components(edges: DataFrame, a: str = "a", b: str = "b", rounds: int = 60) -> DataFrame:
     """Connected components of undirected edges: (node, component), component the smallest node.
 
-    Hash-to-min labels with pointer jumping; every round is one written table, and as many rounds are
-    run as the labels change. Nodes without edges have no row.
+    By contraction: every node points to its neighbour that is first in the order of a hash (or stays, if it is first
+    itself), pointers are followed twice, and edges between the groups are what the next round works on. They shrink by
+    a constant factor or more each round, whatever the shape of the graph. Nodes without edges have no row.
     """
-    spark = edges.sparkSession
-    both = written(edges.select(F.col(a).alias("u"), F.col(b).alias("v")).union(edges.select(F.col(b), F.col(a))).where("u <> v").distinct(), "edges")
-    labels = written(both.groupBy("u").agg(F.least(F.min("v"), F.first("u")).alias("l")), "labels")
+    first = lambda c: F.struct(F.xxhash64(c).alias("h"), F.col(c).alias("id"))
+    left = written(edges.select(F.least(a, b).alias("u"), F.greatest(a, b).alias("v")).where("u <> v").distinct(), "edges")
+    labels = None
     for _ in range(rounds):
-        near = both.join(labels.select(F.col("u").alias("v"), F.col("l").alias("n")), "v").groupBy("u").agg(F.min("n").alias("n"))
-        near = labels.join(near, "u").select("u", F.col("l").alias("was"), F.least("l", "n").alias("n"))
-        jump = labels.select(F.col("u").alias("n"), F.col("l").alias("far"))
-        now = near.join(jump, "n").select("u", "was", F.least("n", "far").alias("l"))
-        now = written(now, "labels")
-        changed = now.where("was <> l").limit(1).count()
-        labels = now.select("u", "l")
-        if not changed:
-            return labels.select(F.col("u").alias("node"), F.col("l").alias("component"))
-    raise RuntimeError(f"labels still change after {rounds} rounds")
+        both = left.select("u", "v").union(left.select("v", "u"))
+        near = both.groupBy("u").agg(F.min(first("v")).alias("n"))
+        to = written(near.select("u", F.least(first("u"), "n")["id"].alias("to")), "pointers")
+        far = to.select(F.col("u").alias("to"), F.col("to").alias("far"))
+        to = written(to.join(far, "to").select("u", F.col("far").alias("to")), "pointers")
+        if labels is None:
+            labels = to.select(F.col("u").alias("node"), F.col("to").alias("root"))
+        else:
+            moved = to.select(F.col("u").alias("root"), F.col("to").alias("__to"))
+            labels = labels.join(moved, "root", "left").select("node", F.coalesce("__to", "root").alias("root"))
+        labels = written(labels, "labels")
+        ends = left.join(to, "u").select(F.col("to").alias("p"), F.col("v").alias("u")).join(to, "u").select("p", F.col("to").alias("q"))
+        left = written(ends.where("p <> q").select(F.least("p", "q").alias("u"), F.greatest("p", "q").alias("v")).distinct(), "edges")
+        if left.isEmpty():
+            least = labels.groupBy("root").agg(F.min("node").alias("component"))
+            return labels.join(least, "root").select("node", "component")
+    raise RuntimeError(f"edges are left after {rounds} rounds")
