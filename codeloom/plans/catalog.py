@@ -6,6 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
-ORACLES: dict[str, str] = {}
+from codeloom.plans import files, windows
+
+PARTS = [files, windows]
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {name: f for part in PARTS for name, f in part.QUERIES.items()}
+ORACLES: dict[str, str] = {name: sql for part in PARTS for name, sql in part.ORACLES.items()}
 FLAGSHIP = "agg1_summary"
