@@ -22,7 +22,9 @@ of their own, in the order of their texts; an empty table gives empty datasets a
 from __future__ import annotations
 
 import hashlib
+import re
 import zlib
+from array import array
 from functools import lru_cache
 
 import numpy as np
@@ -49,6 +51,10 @@ def tokenizer_path() -> str:
     return public_tokenizers.path(TOKENIZER)
 
 
+#: A word of Latin letters (without the dotted capital I, whose lower case is two), and a mark after it.
+WORD = re.compile("([A-Za-zÀ-ÖØ-öø-įı-ɏ]+)([.,]?)").fullmatch
+
+
 class Encoder:
     """Ids of whole texts, by way of the pieces between blanks and line ends. Two tables of at most `known` pieces
     each are kept: a full one becomes the old one, and what is used again moves to the new one."""
@@ -58,7 +64,7 @@ class Encoder:
 
         self.tokenizer, self.known, self.old, self.most = Tokenizer.from_file(path), {}, {}, known
         self.wide = self.tokenizer.get_vocab_size() > 65536
-        self.type = np.dtype("<u4" if self.wide else "<u2")
+        self.type, self.code = (np.dtype("<u4"), "I") if self.wide else (np.dtype("<u2"), "H")
         self.ends = {e: self.of([e])[0] for e in (".", ",")}
         # how the library writes the bytes of a lower-case Latin letter before its merges
         spell = pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)
@@ -69,35 +75,36 @@ class Encoder:
 
     def of_word(self, word: str) -> bytes:
         """Of one lower-case Latin word: nothing is left for the normaliser and the splitter to do."""
-        return np.array([t.id for t in self.tokenizer.model.tokenize(word.translate(self.letters))], dtype=self.type).tobytes()
+        spelled = word if word.isascii() else word.translate(self.letters)
+        return array(self.code, [t.id for t in self.tokenizer.model.tokenize(spelled)]).tobytes()
 
-    def learn(self, pieces: set[str]) -> None:
+    def learn(self, pieces: list[str]) -> None:
         """Ids of new pieces. A Latin word's letters and the full stop or comma after it never share an id, and
         case is dropped by the vocabulary's normaliser."""
-        known, old, core = self.known, self.old, {}
+        known, old, ends, rest = self.known, self.old, self.ends, []
         for p in pieces:
-            word = p[:-1] if p[-1:] in self.ends and p[:-1].isalpha() and max(p) < "\u0250" else p
-            plain = word.isalpha() and max(word) < "\u0250" and "\u0130" not in word
-            core[p] = (word.lower() if plain else word, p[len(word) :], plain)
-        rest = []
-        for c, plain in {c: plain for c, _, plain in core.values()}.items():
-            if c in known:
+            m = WORD(p)
+            if not m:
+                ids = old.get(p)
+                if ids is None:
+                    rest.append(p)
+                else:
+                    known[p] = ids
                 continue
-            if c in old:
-                known[c] = old[c]
-            elif plain:
-                known[c] = self.of_word(c)
-            else:
-                rest.append(c)
+            word, end = m.groups()
+            word = word.lower()
+            ids = known.get(word)
+            if ids is None:
+                ids = old.get(word)
+                known[word] = ids = self.of_word(word) if ids is None else ids
+            known[p] = ids + ends[end] if end else ids
         known.update(zip(rest, self.of(rest), strict=True))
-        for p, (c, end, _) in core.items():
-            known[p] = known[c] + self.ends[end] if end else known[c]
 
     def encode(self, texts: list[str]) -> list[np.ndarray]:
         split = [t.replace("\n", " ").split(" ") for t in texts]
         if len(self.known) > self.most:
             self.known, self.old = {}, self.known
-        self.learn({p for p in set().union(*split) if p not in self.known})
+        self.learn([p for p in set().union(*split) if p not in self.known])
         known = self.known
         return [np.frombuffer(b"".join([known[p] for p in s]), dtype=self.type) for s in split]
 
@@ -130,42 +137,45 @@ def cuts(ids: np.ndarray) -> np.ndarray:
     return np.array(ends)
 
 
-def crc_shift(length: int) -> list[int]:
-    """The linear map (32 columns) that `length` zero bytes apply to a CRC-32."""
-    one = [CRC_POLY] + [1 << i for i in range(31)]  # one zero bit
-    times = lambda m, v: _apply(m, v)
-    square = lambda m: [times(m, c) for c in m]
-    byte = square(square(square(one)))
-    result = [1 << i for i in range(32)]
-    while length:
-        if length & 1:
-            result = [times(byte, c) for c in result]
-        byte, length = square(byte), length >> 1
-    return result
-
-
-def _apply(matrix: list[int], vector: int) -> int:
-    out, i = 0, 0
-    while vector:
-        if vector & 1:
-            out ^= matrix[i]
-        vector, i = vector >> 1, i + 1
-    return out
-
-
-class Crc:
-    """CRC-32 of a concatenation, from the CRCs and lengths of its parts."""
-
-    def __init__(self):
-        self.shifts: dict[int, list[int]] = {}
-
-    def join(self, parts: list[tuple[int, int]]) -> int:
-        total = 0
-        for crc, length in parts:
-            if length not in self.shifts:
-                self.shifts[length] = crc_shift(length)
-            total = _apply(self.shifts[length], total) ^ crc
-        return total
+@lru_cache(maxsize=1)
+def crc_tables() -> np.ndarray:
+    """For each power of two of zero bytes, what it does to the four bytes of a CRC-32 (a linear map, by tables)."""
+    one = [CRC_POLY] + [1 << i for i in range(31)]  # the 32 columns for one zero bit
+    columns = lambda m: np.array(m, np.uint32)
+
+    def table(m: np.ndarray) -> np.ndarray:
+        out = np.zeros((4, 256), np.uint32)
+        for byte in range(4):
+            for bit in range(8):
+                out[byte] ^= np.where((np.arange(256) >> bit) & 1, m[8 * byte + bit], 0).astype(np.uint32)
+        return out
+
+    m = columns(one)
+    tables = []
+    for k in range(40):
+        t = table(m)
+        if k >= 3:
+            tables.append(t)
+        m = mapped(t, m)  # twice as many zero bits
+    return np.stack(tables)
+
+
+def mapped(table: np.ndarray, v: np.ndarray) -> np.ndarray:
+    return table[0][v & 255] ^ table[1][(v >> 8) & 255] ^ table[2][(v >> 16) & 255] ^ table[3][v >> 24]
+
+
+def joined_crc(crc: np.ndarray, size: np.ndarray, first: np.ndarray) -> np.ndarray:
+    """CRC-32 of each document, from the CRCs and byte lengths of its parts; first: where each document's parts begin.
+    It is the XOR of every part's CRC, moved over the bytes that follow it in the document."""
+    total = np.cumsum(size)
+    last = np.append(first[1:], len(size)) - 1
+    after = np.repeat(total[last], np.diff(np.append(first, len(size)))) - total
+    v = crc.astype(np.uint32)
+    for bit, table in enumerate(crc_tables()):
+        on = np.flatnonzero((after >> bit) & 1)
+        if len(on):
+            v[on] = mapped(table, v[on])
+    return np.bitwise_xor.reduceat(v, first)
 
 
 def leaf(doc_id: int | None, addresses: list[bytes]) -> bytes:
@@ -225,8 +235,7 @@ def write_store(docs: DataFrame, where: str, path: str, end_id: int = END_ID) ->
     placed = parts.repartition(partitions(spark), "at").withColumn("copy", first).where("ids is null or copy = 1")
     kind = F.when(F.col("ids").isNull(), "use").otherwise("chunk")
     placed.select("doc_id", "order", "uid", "chunk", "address", "n", "ids", kind.alias("kind")).write.option("compression", "zstd").partitionBy("kind").parquet(f"{where}/placed")
-    schema = "doc_id long, order long, uid long, chunk int, address binary, n int, ids binary"
-    uses = spark.read.schema(schema).parquet(f"{where}/placed/kind=use")
+    uses = read_placed(spark, where).where("kind = 'use'")
     one = uses.groupBy("doc_id", "order", "uid").agg(F.array_sort(F.collect_list(F.struct("chunk", "address", "n"))).alias("c"))
     splits = range_splits(docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(-(2**63))).alias("k")), "k")
     recipes = one.select("doc_id", "order", "uid", F.transform("c", lambda c: c["address"]).alias("addresses"), F.transform("c", lambda c: c["n"]).alias("sizes"), range_bucket(F.col("doc_id"), splits).alias("file"))
@@ -240,8 +249,12 @@ def read_recipes(spark: SparkSession, where: str) -> DataFrame:
     return spark.read.schema("doc_id long, order long, uid long, addresses array<binary>, sizes array<int>, file int").parquet(f"{where}/recipes")
 
 
+def read_placed(spark: SparkSession, where: str) -> DataFrame:
+    return spark.read.schema("doc_id long, order long, uid long, chunk int, address binary, n int, ids binary, kind string").parquet(f"{where}/placed")
+
+
 def read_chunks(spark: SparkSession, where: str) -> DataFrame:
-    return spark.read.schema("address binary, n int, ids binary").parquet(f"{where}/placed/kind=chunk")
+    return read_placed(spark, where).where("kind = 'chunk'").select("address", "n", "ids")
 
 
 def in_order(pdf: pd.DataFrame) -> pd.DataFrame:
@@ -276,20 +289,24 @@ def chunk_sums(chunks: DataFrame, width: int) -> DataFrame:
 
 def check_file(pdf: pd.DataFrame) -> pd.DataFrame:
     """doc_id, start, n_tokens, ids_crc32 of one recipe file's documents, after its root was checked."""
-    pdf, crc = in_order(pdf), Crc()
-    leaves, n, sums = [], [], []
+    pdf = in_order(pdf)
+    leaves, counts, crc, size = [], [], [], []
     for d, parts in zip(pdf["doc_id"], pdf["parts"], strict=True):
         parts = sorted(parts, key=lambda p: p["pos"])
         if any(p["size"] is None or p["size"] != p["n"] for p in parts):
             raise ValueError(f"a chunk of document {d} is missing")
         leaves.append(leaf(None if pd.isna(d) else int(d), [p["address"] for p in parts]))
-        n.append(sum(p["size"] for p in parts))
-        sums.append(crc.join([(p["crc"], 4 * p["size"]) for p in parts]))
+        counts.append(len(parts))
+        crc += [p["crc"] for p in parts]
+        size += [p["size"] for p in parts]
+    first = np.concatenate(([0], np.cumsum(counts)[:-1])).astype(np.int64)
+    size = np.array(size, np.int64)
+    n, sums = np.add.reduceat(size, first), joined_crc(np.array(crc, np.int64), 4 * size, first)
     row = pdf.iloc[0]
-    if len(pdf) != row["n_docs"] or sum(n) != row["n_ids"] or merkle_root(leaves) != row["root"]:
+    if len(pdf) != row["n_docs"] or n.sum() != row["n_ids"] or merkle_root(leaves) != row["root"]:
         raise ValueError(f"recipe file {row['file']} does not match its manifest")
     start = row["base"] + np.concatenate(([0], np.cumsum(n)[:-1]))
-    return pd.DataFrame({"doc_id": pdf["doc_id"].astype("Int64"), "start": start.astype("int64"), "n_tokens": np.array(n, "int64"), "ids_crc32": np.array(sums, "int64")})
+    return pd.DataFrame({"doc_id": pdf["doc_id"].astype("Int64"), "start": start.astype("int64"), "n_tokens": n.astype("int64"), "ids_crc32": sums.astype("int64")})
 
 
 def read_back(spark: SparkSession, where: str, width: int) -> DataFrame:
