@@ -89,32 +89,43 @@ class Machine:
             told = self.pairs[key] = self.merged(u + t) == [u, t]
         return told
 
+    def starting(self, part: str, i: int) -> list[str]:
+        """Arcs of the piece machine from a position: the pieces that start there, the longest last."""
+        found, starts, ids = [], self.starts, self.id
+        for j in range(i + 1, len(part) + 1):
+            t = part[i:j]
+            if t in ids:
+                found.append(t)
+            elif t not in starts:
+                break
+        return found or [part[i]]
+
     def path(self, part: str) -> list[str]:
-        """The shortest path through the composition: pieces, and single characters that fall back to bytes."""
-        n, ids, starts = len(part), self.id, self.starts
-        best: list[dict[str, tuple[int, str | None]]] = [{} for _ in range(n + 1)]  # at a position: last piece -> weight, the one before
-        best[0][""] = (0, None)
-        for i in range(n):
-            here = best[i]
-            if not here:
-                continue
-            for j in range(i + 1, n + 1):
-                t = part[i:j]
-                if t not in starts and j > i + 1:
-                    break
-                if t in ids or j == i + 1:
-                    for u, (weight, _) in here.items():
-                        if (not u or self.follows(u, t)) and (t not in best[j] or weight + 1 < best[j][t][0]):
-                            best[j][t] = (weight + 1, u)
-                if t not in starts:
+        """The shortest path through the composition: pieces, and single characters that fall back to bytes.
+
+        States (position, last piece) are expanded lazily, the longest piece first. Only one path weighs less than
+        infinity, so the first one that reaches the end is the shortest; states that reach none are left at once.
+        """
+        n, follows, dead = len(part), self.follows, set()
+        found, at, open_arcs = [""], [0], [self.starting(part, 0)]
+        while open_arcs:
+            arcs, i, u = open_arcs[-1], at[-1], found[-1]
+            while arcs:
+                t = arcs.pop()
+                j = i + len(t)
+                if (not u or follows(u, t)) and (j, t) not in dead:
+                    if j == n:
+                        return [*found[1:], t]
+                    found.append(t)
+                    at.append(j)
+                    open_arcs.append(self.starting(part, j))
                     break
-        if not best[n]:
-            raise ValueError(f"no path through {part!r}")
-        t, at, found = min(best[n], key=lambda p: best[n][p][0]), n, []
-        while t:
-            found.append(t)
-            t, at = best[at][t][1], at - len(t)
-        return found[::-1]
+            else:
+                dead.add((i, u))
+                found.pop()
+                at.pop()
+                open_arcs.pop()
+        raise ValueError(f"no path through {part!r}")
 
     def ids_of(self, part: str) -> bytes:
         found = []
