@@ -29,6 +29,8 @@ from functools import lru_cache
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -53,6 +55,10 @@ def tokenizer_path() -> str:
 
 #: A word of Latin letters (without the dotted capital I, whose lower case is two), and a mark after it.
 WORD = re.compile("([A-Za-zÀ-ÖØ-öø-įı-ɏ]+)([.,]?)").fullmatch
+#: A Latin letter and a mark before a blank or the end: no id spans the two, so a blank may part them.
+MARKED = "([A-Za-zÀ-ÖØ-öø-įı-ɏ])([.,])( |$)"
+#: Bytes of text that are encoded together.
+SLICE = 8_000_000
 
 
 class Encoder:
@@ -100,13 +106,30 @@ class Encoder:
             known[p] = ids + ends[end] if end else ids
         known.update(zip(rest, self.of(rest), strict=True))
 
-    def encode(self, texts: list[str]) -> list[np.ndarray]:
-        split = [t.replace("\n", " ").split(" ") for t in texts]
+    def encode(self, texts: pa.Array) -> list[np.ndarray]:
+        """Ids of an Arrow array of strings. Arrow numbers its distinct pieces, so Python touches each of them once."""
+        spaced = pc.replace_substring_regex(pc.replace_substring(texts, "\n", " "), MARKED, r"\1 \2\3")
+        lists = pc.split_pattern(spaced, " ")
+        coded = lists.flatten().dictionary_encode()
         if len(self.known) > self.most:
             self.known, self.old = {}, self.known
-        self.learn([p for p in set().union(*split) if p not in self.known])
-        known = self.known
-        return [np.frombuffer(b"".join([known[p] for p in s]), dtype=self.type) for s in split]
+        known, pieces = self.known, coded.dictionary.to_pylist()
+        self.learn([p for p in pieces if p not in known])
+        held = [known[p] for p in pieces]
+        size = np.fromiter(map(len, held), np.int64, len(held)) // self.type.itemsize
+        start, flat, at = np.cumsum(size) - size, np.frombuffer(b"".join(held), dtype=self.type), coded.indices.to_numpy()
+        n = size[at]
+        ends = np.concatenate(([0], np.cumsum(n)))
+        ids = flat[np.arange(ends[-1]) + np.repeat(start[at] - ends[:-1], n)]
+        cut = ends[lists.offsets.to_numpy()].tolist()
+        return [ids[lo:hi] for lo, hi in zip(cut[:-1], cut[1:], strict=True)]
+
+
+def slices(texts: pa.Array) -> list[tuple[int, int]]:
+    """(first row, rows) of runs of rows with about `SLICE` bytes of text; a longer text is in a run with few others."""
+    group = np.cumsum(pc.binary_length(texts).to_numpy(zero_copy_only=False).astype(np.int64)) // SLICE
+    first = np.flatnonzero(np.diff(group, prepend=-1))
+    return list(zip(first.tolist(), np.diff(np.append(first, len(texts))).tolist(), strict=True))
 
 
 @lru_cache(maxsize=1)
@@ -193,15 +216,13 @@ def encode_chunks(docs: DataFrame, path: str, end_id: int) -> DataFrame:
     ids once for each chunk that a task meets for the first time (it remembers `KNOWN` addresses)."""
 
     def run(batches):
-        import pyarrow as pa
-
         encoder, seen = encoder_of(path), set()
         end = np.array([end_id], dtype=encoder.type)
         for batch in batches:
-            for lo in range(0, len(batch), 200):
-                part = batch.slice(lo, 200)
+            for lo, n in slices(batch.column(3)):
+                part = batch.slice(lo, n)
                 rows, chunks, addresses, sizes, data = [], [], [], [], []
-                for i, found in enumerate(encoder.encode(part.column(3).to_pylist())):
+                for i, found in enumerate(encoder.encode(part.column(3))):
                     found, at = np.concatenate((found, end)), 0
                     for k, to in enumerate(cuts(found).tolist()):
                         ids = found[at:to].tobytes()
@@ -272,8 +293,6 @@ def chunk_sums(chunks: DataFrame, width: int) -> DataFrame:
     """(address, size, crc): each stored chunk, after its ids were checked against its address; ids as 32-bit integers."""
 
     def run(batches):
-        import pyarrow as pa
-
         for batch in batches:
             address, size, crc = batch.column(0), [], []
             for a, data in zip(address.to_pylist(), batch.column(1).to_pylist(), strict=True):
