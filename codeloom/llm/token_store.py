@@ -90,15 +90,16 @@ class Encoder:
         known, old, ends, rest = self.known, self.old, self.ends, []
         for p in pieces:
             m = WORD(p)
-            if not m:
+            word, end = m.groups() if m else ("", "")
+            word = word.lower()
+            # some capitals of the range have lower-case letters beyond it, which only the library spells
+            if not m or not (word.isascii() or self.letters.keys() >= set(map(ord, word))):
                 ids = old.get(p)
                 if ids is None:
                     rest.append(p)
                 else:
                     known[p] = ids
                 continue
-            word, end = m.groups()
-            word = word.lower()
             ids = known.get(word)
             if ids is None:
                 ids = old.get(word)

@@ -203,6 +203,19 @@ def test_token_store(spark, docs, none):
     assert token_store.read_back(spark, empty, 2).count() == 0
 
 
+def test_token_store_spells_every_latin_letter():
+    import pyarrow as pa
+    from tokenizers import Tokenizer
+
+    path = token_store.tokenizer_path()
+    t, encoder = Tokenizer.from_file(path), token_store.Encoder(path)
+    letters = [chr(i) for i in range(0x250) if token_store.WORD(chr(i))]
+    assert {"Ə", "Ⱥ", "Ʌ"} <= set(letters)
+    texts = [form.format(c) for form in ("{0}", "{0}li", "ab{0}", "A{0}b, {0}. x{0},") for c in letters]
+    texts += [x.lower() for x in texts]  # after the capitals, from the same tables
+    assert [x.tolist() for x in encoder.encode(pa.array(texts))] == [t.encode(x, add_special_tokens=False).ids for x in texts]
+
+
 def test_piece_fst_equals_the_library(spark, docs):
     import sentencepiece
 
