@@ -177,26 +177,63 @@ def saved(df: DataFrame) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
-def reachable(edges: DataFrame, rounds: int = 40) -> DataFrame:
-    """(a, b): b can be reached from a. For graphs of packages and modules (small node sets); path lengths double each round."""
-    reach = saved(edges.select(F.col("source").alias("a"), F.col("target").alias("b")).where("b is not null").distinct())
-    size = reach.count()
-    for _ in range(rounds):
-        more = reach.alias("x").join(reach.alias("y"), F.col("x.b") == F.col("y.a")).select("x.a", "y.b")
-        reach = saved(reach.union(more).distinct())
-        now = reach.count()
+def trimmed(edges: DataFrame) -> DataFrame:
+    """edges without those that are on no cycle because nothing leads to their source or from their target, repeatedly."""
+    size = edges.count()
+    while True:
+        sources, targets = edges.select(F.col("source").alias("target")).distinct(), edges.select(F.col("target").alias("source")).distinct()
+        edges = saved(edges.join(targets, "source", "left_semi").join(sources, "target", "left_semi").select("source", "target"))
+        now = edges.count()
         if now == size:
-            return reach
+            return edges
         size = now
-    raise RuntimeError("paths still grow")
+
+
+def least_label(edges: DataFrame) -> DataFrame:
+    """(node, label): the smallest node that leads to each source of an edge, itself among them; one row for each node throughout."""
+    labels = saved(edges.select(F.col("source").alias("node")).distinct().withColumn("label", F.col("node")))
+    front = labels
+    while True:
+        step = front.select(F.col("node").alias("source"), "label").join(edges, "source").groupBy(F.col("target").alias("node")).agg(F.min("label").alias("new"))
+        front = saved(step.join(labels, "node").where(F.col("new") < F.col("label")).select("node", F.col("new").alias("label")))
+        if front.isEmpty():
+            return labels
+        labels = saved(labels.join(front.select("node", F.col("label").alias("new")), "node", "left").select("node", F.coalesce("new", "label").alias("label")))
+
+
+def leading_back(inner: DataFrame, labels: DataFrame) -> DataFrame:
+    """(node, label): nodes from which edges between nodes of one label lead to the node that gave the label."""
+    found = front = saved(labels.where(F.col("node") == F.col("label")))
+    while True:
+        step = front.select(F.col("node").alias("target"), "label").join(inner, "target").select(F.col("source").alias("node"), "label").distinct()
+        front = saved(step.join(found, "node", "left_anti"))
+        if front.isEmpty():
+            return found
+        found = saved(found.union(front))
 
 
 def cycles(edges: DataFrame) -> DataFrame:
-    """(component, files, size): strongly connected components of two or more nodes, and nodes with an edge to themselves."""
-    reach = reachable(edges)
-    back = reach.select(F.col("b").alias("a"), F.col("a").alias("b"))
-    both = reach.join(back, ["a", "b"]).groupBy("a").agg(F.array_sort(F.collect_set("b")).alias("files"))
-    return both.select(F.element_at("files", 1).alias("component"), "files").distinct().withColumn("size", F.size("files").cast("long"))
+    """(component, files, size): strongly connected components of two or more nodes, and nodes with an edge to themselves.
+
+    A node that leads to the smallest node that leads to it is in that node's component. What has other labels at its two ends
+    or touches a found component goes, and the rest is labelled again; tables hold a row for each edge or node, never for paths.
+    """
+    e = saved(edges.select("source", "target").where("source is not null and target is not null").distinct())
+    left, parts = trimmed(e.where("source <> target")), []
+    while not left.isEmpty():
+        labels = least_label(left)
+        ends = lambda c: labels.select(F.col("node").alias(c), F.col("label").alias(f"__{c}"))  # noqa: B023, E731
+        inner = saved(left.join(ends("source"), "source").join(ends("target"), "target").where("__source = __target").select("source", "target"))
+        parts.append(leading_back(inner, labels))
+        done = [parts[-1].select(F.col("node").alias(c)) for c in ("source", "target")]
+        left = trimmed(inner.join(done[0], "source", "left_anti").join(done[1], "target", "left_anti").select("source", "target"))
+    members = e.select(F.col("source").alias("node"), F.col("source").alias("label")).where("source = target")
+    for part in parts:
+        large = part.groupBy("label").agg(F.count("*").alias("n")).where("n > 1").select("label")
+        part = saved(part.join(large, "label", "left_semi").select("node", "label"))
+        members = members.join(part.select("node"), "node", "left_anti").union(part)
+    out = members.groupBy(F.col("label").alias("component")).agg(F.array_sort(F.collect_set("node")).alias("files"))
+    return out.withColumn("size", F.size("files").cast("long"))
 
 
 def distances(edges: DataFrame, start: str, rounds: int = 1000) -> DataFrame:

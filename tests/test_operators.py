@@ -1,4 +1,5 @@
 import io
+import random
 import zipfile
 
 from pyspark.sql import functions as F
@@ -31,6 +32,20 @@ def test_cycles_and_distances(spark):
     assert rows(graph.distances(e, "e"), "node", "hops", "via") == [("a", 1, "e"), ("b", 2, "a"), ("c", 3, "b"), ("d", 4, "c")]
 
 
+def test_cycles_of_random_graphs_without_storing_paths(spark, monkeypatch):
+    rng, stored, saved = random.Random(3), [], graph.saved
+    monkeypatch.setattr(graph, "saved", lambda df: (lambda t: stored.append(t.count()) or t)(saved(df)))
+    pairs = {(12 * (i % 6) + rng.randrange(12), 12 * (i % 6) + rng.randrange(12)) for i in range(96)} | {(12 * i + rng.randrange(12), 12 * i + 12 + rng.randrange(12)) for i in range(5)} | {(100 + i, 200) for i in range(60)} | {(200, 300 + i) for i in range(60)} | {(400 + i, 400 + (i + 1) % 6) for i in range(6)}
+    reach = {a: {a} for a in {x for p in pairs for x in p}}
+    for _ in reach:
+        for a, b in pairs:
+            reach[a] |= reach[b]
+    groups = {tuple(sorted(b for b in reach[a] if a in reach[b])) for a in reach}
+    want = sorted((g[0], list(g), len(g)) for g in groups if len(g) > 1 or (g[0], g[0]) in pairs)
+    assert len(want) > 3 and rows(graph.cycles(spark.createDataFrame(sorted(pairs), "source long, target long")), "component", "files", "size") == want
+    assert max(stored) <= len(pairs)  # 60 x 60 paths lead over node 200
+
+
 def test_module_resolution_order(spark):
     files = spark.createDataFrame([("p", "pkg/__init__.py", None), ("p", "pkg/sub.py", None), ("p", "src/lib.py", None), ("p", "ns/x/y.py", None)], "project_id string, path string, reason string")
     refs = [("1", "pkg.sub", [], 0), ("2", "pkg", ["sub", "f"], 0), ("3", "lib", [], 0), ("4", "ns.x", [], 0), ("5", "pkg.gone", [], 0), ("6", "", ["sub"], 1), ("7", "json", [], 0), ("8", "numpy", [], 0), ("9", "", ["z"], 5)]
