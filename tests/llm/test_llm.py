@@ -82,6 +82,18 @@ def test_ngram_join_finds_all_links(spark, docs):
         assert got == groups(dict(enumerate(texts)), n, p, q)
 
 
+def test_ngram_join_counts_all_links(spark, monkeypatch):
+    texts = variants(9, 4, 10) + ["a b c d e f g"] * 3
+    ids = [*range(len(texts) - 1), 0]  # the last text is a second one of id 0
+    sets = [shingles(t, 4) for t in texts]
+    alike = lambda a, b: 100 * len(a & b) >= 85 * len(a | b)
+    want = sorted((i, sum(alike(sets[k], y) for j, y in enumerate(sets) if j != k)) for k, i in enumerate(ids))
+    assert max(n for _, n in want) > 3
+    for rows in (1000, 3):
+        monkeypatch.setattr(ngram_join, "BLOCK_ROWS", rows)
+        assert sorted((r.doc_id, r.n_links) for r in ngram_join.ngram_join(docs_of(spark, texts, ids), 4, 85, 100).collect()) == want
+
+
 def test_ngram_join_edges(spark, none):
     assert ngram_join.ngram_join(none).count() == 0
     df = docs_of(spark, ["a b c d e f", "a b c d e f", "q", None, "z"], [7, 7, 8, None, 3])
