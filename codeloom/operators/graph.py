@@ -6,14 +6,12 @@ exists wins. Graph loops run on the driver over written tables.
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from codeloom.functions import text as T
+from codeloom.session import written
 
 #: Extensions tried after a script's import path, in order, and after `index` in a folder (fixed values).
 JS_ENDS = [".js", ".mjs", ".cjs", ".jsx", ".json", ".ts", ".tsx"]
@@ -166,15 +164,8 @@ def entry_points(files: DataFrame, edges: DataFrame, guards: DataFrame) -> DataF
 
 
 def saved(df: DataFrame) -> DataFrame:
-    """df as a table in the folder of spark.checkpoint.dir (a local one only where none is set)."""
-    spark = df.sparkSession
-    where = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
-    if not where:
-        where = tempfile.mkdtemp(prefix="codeloom-")
-        spark.sparkContext.setCheckpointDir(where)
-    path = f"{where.rstrip('/')}/codeloom/graph-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    """df as a table in the folder that all executors share."""
+    return written(df, "graph")
 
 
 def trimmed(edges: DataFrame) -> DataFrame:
