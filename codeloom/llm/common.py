@@ -2,13 +2,12 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from codeloom.session import forget, new_path, written  # noqa: F401  (used by the operators)
+
 #: Words of a text, as the contracts of this package define them.
 WORD = r"[^\x20\x09-\x0D]+"
 #: At most so many ids are sent to every executor (8 bytes each); beyond that the same join shuffles.
@@ -19,26 +18,17 @@ def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share; a local one only where none is configured (tests)."""
-    where = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
-    if not where:
-        if not spark.sparkContext.master.startswith("local"):
-            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
-        where = tempfile.mkdtemp(prefix="codeloom-")
-        spark.sparkContext.setCheckpointDir(where)
-    return where
-
-
-def new_path(spark: SparkSession, name: str) -> str:
-    return f"{shared_dir(spark).rstrip('/')}/codeloom/{name}-{uuid.uuid4().hex}"
+def fresh(df: DataFrame, name: str) -> str:
+    """name, or a longer form of it that no column of df has, in whatever case."""
+    held = {c.lower() for c in df.columns}
+    while name.lower() in held:
+        name += "_"
+    return name
 
 
-def written(df: DataFrame, name: str) -> DataFrame:
-    """df as a table in the shared folder: cuts the lineage, and survives the loss of executors."""
-    path = new_path(df.sparkSession, name)
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+def row_key(*columns: Column) -> Column:
+    """A 64-bit hash of a row's values, nulls told apart."""
+    return F.xxhash64(*[x for c in columns for x in (c.isNull(), c)])
 
 
 def with_ids(df: DataFrame, ids: DataFrame, key: str, how: str = "left_semi") -> DataFrame:
@@ -101,9 +91,10 @@ def components(edges: DataFrame, a: str = "a", b: str = "b", rounds: int = 60) -
     for _ in range(rounds):
         both = left.select("u", "v").union(left.select("v", "u"))
         near = both.groupBy("u").agg(F.min(first("v")).alias("n"))
-        to = written(near.select("u", F.least(first("u"), "n")["id"].alias("to")), "pointers")
-        far = to.select(F.col("u").alias("to"), F.col("to").alias("far"))
-        to = written(to.join(far, "to").select("u", F.col("far").alias("to")), "pointers")
+        once = written(near.select("u", F.least(first("u"), "n")["id"].alias("to")), "pointers")
+        far = once.select(F.col("u").alias("to"), F.col("to").alias("far"))
+        to = written(once.join(far, "to").select("u", F.col("far").alias("to")), "pointers")
+        before = labels
         if labels is None:
             labels = to.select(F.col("u").alias("node"), F.col("to").alias("root"))
         else:
@@ -111,7 +102,9 @@ def components(edges: DataFrame, a: str = "a", b: str = "b", rounds: int = 60) -
             labels = labels.join(moved, "root", "left").select("node", F.coalesce("__to", "root").alias("root"))
         labels = written(labels, "labels")
         ends = left.join(to, "u").select(F.col("to").alias("p"), F.col("v").alias("u")).join(to, "u").select("p", F.col("to").alias("q"))
-        left = written(ends.where("p <> q").select(F.least("p", "q").alias("u"), F.greatest("p", "q").alias("v")).distinct(), "edges")
+        rest = written(ends.where("p <> q").select(F.least("p", "q").alias("u"), F.greatest("p", "q").alias("v")).distinct(), "edges")
+        forget(left, once, to, *([before] if before is not None else []))
+        left = rest
         if left.isEmpty():
             least = labels.groupBy("root").agg(F.min("node").alias("component"))
             return labels.join(least, "root").select("node", "component")

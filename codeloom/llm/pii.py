@@ -7,7 +7,8 @@ reliable each labeler is and how likely each candidate is personal data. These p
 classifier, a naive Bayes model over features of the span. Candidates it accepts are added; base spans always stay.
 
 Edge cases: null text is empty; a text without spans has the hash of the empty string; candidates that overlap base
-spans are not added; repeated rows are scored row by row; an empty table gives an empty result.
+spans are not added; repeated rows are scored row by row; extra columns, whatever their names, are left out; an empty table gives
+an empty result.
 """
 
 from __future__ import annotations
@@ -22,30 +23,32 @@ from pyspark.sql import functions as F
 from codeloom.llm.common import read, written
 from codeloom.llm.spans import SPAN, Kind, all_spans, apart, count_of, digits, has, joined, like
 
+#: A run of these characters is tried at its first one, or where the last match ended: a later start can only fail as the first did.
+FIRST = r"(?:(?<![{0}])|\G)"
 OCTET = r"^0*(25[0-5]|2[0-4][0-9]|1[0-9][0-9]|[0-9]?[0-9])$"
 BASE = [
-    Kind("email", r"[A-Za-z0-9._%+-]++@[A-Za-z0-9-]++(?:\.[A-Za-z0-9-]++)++", has("@")),
-    Kind("ip", r"[0-9]++(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)", like(r"[0-9]\.[0-9]+\.[0-9]+\.[0-9]"), lambda m: F.forall(F.split(m, r"\."), lambda p: p.rlike(OCTET))),
+    Kind("email", FIRST.format("A-Za-z0-9._%+-") + r"[A-Za-z0-9._%+-]++@[A-Za-z0-9-]++(?:\.[A-Za-z0-9-]++)++", has("@")),
+    Kind("ip", FIRST.format("0-9") + r"[0-9]++(\.[0-9]++)(\.[0-9]++)(\.[0-9]++)", like(r"[0-9]\.[0-9]+\.[0-9]+\.[0-9]"), lambda m: F.forall(F.split(m, r"\."), lambda p: p.rlike(OCTET))),
     Kind("card", r"[0-9](?:[\x20-]?[0-9])++", like(r"[0-9](?:[\x20-]?[0-9]){11}"), lambda m: F.char_length(digits(m)).between(12, 19) & F.call_function("luhn_check", digits(m))),
     Kind("phone", r"\+[0-9][\x20().0-9-]+[0-9]", has("+"), lambda m: F.char_length(digits(m)).between(9, 15)),
 ]
 
-#: Titles before a name, in the four languages of the gazetteer (fixed values).
+#: Titles before a name, in the four languages of the gazetteer.
 TITLES = ["Mr", "Mrs", "Ms", "Dr", "Prof", "Herr", "Frau", "Monsieur", "Madame", "Señor", "Señora"]
-#: Given names of the gazetteer (fixed values).
+#: Given names of the gazetteer.
 NAMES = ["Ana", "Anna", "Carlos", "Claire", "David", "Elena", "Hans", "James", "Jean", "John", "José", "Julia", "Karl", "Laura", "Luis", "Marie", "Maria", "María", "Mary", "Michael", "Paul", "Peter", "Pierre", "Robert", "Sophie", "Thomas"]
-#: Mail domains' last parts of the gazetteer (fixed values).
+#: Mail domains' last parts of the gazetteer.
 DOMAINS = ["com", "de", "edu", "es", "eu", "fr", "gov", "info", "io", "net", "org", "uk"]
-#: Countries that issue account numbers of this shape (fixed values).
+#: Countries that issue account numbers of this shape.
 IBAN_COUNTRIES = ["AT", "BE", "CH", "DE", "ES", "FR", "GB", "IE", "IT", "LU", "NL", "PL", "PT", "SE"]
-#: Words that announce personal data (fixed values).
+#: Words that announce personal data.
 CONTEXT = ["account", "address", "appel", "call", "card", "carte", "contact", "correo", "dear", "email", "iban", "kontakt", "mail", "mobile", "name", "nombre", "nom", "phone", "ssn", "tarjeta", "tel", "teléfono", "telefon"]
-#: Words before numbers that are not personal data (fixed values).
+#: Words before numbers that are not personal data.
 NEGATIVE = ["page", "version", "isbn", "figure", "section", "chapter", "line", "order", "ref", "id"]
 
 SURNAME = r"\p{Lu}\p{Ll}+(?:[ -]\p{Lu}\p{Ll}+){0,2}"
 MORE = [
-    Kind("masked_email", r"[A-Za-z0-9._%+-]{2,}+\x20?(?:\(at\)|\[at\]|\{at\})\x20?[A-Za-z0-9-]++(?:\x20?(?:\(dot\)|\[dot\]|\{dot\}|\.)\x20?[A-Za-z0-9-]++)++", like(r"\(at\)|\[at\]|\{at\}")),
+    Kind("masked_email", FIRST.format("A-Za-z0-9._%+-") + r"[A-Za-z0-9._%+-]{2,}+\x20?(?:\(at\)|\[at\]|\{at\})\x20?[A-Za-z0-9-]++(?:\x20?(?:\(dot\)|\[dot\]|\{dot\}|\.)\x20?[A-Za-z0-9-]++)++", like(r"\(at\)|\[at\]|\{at\}")),
     Kind("local_phone", r"(?<![0-9+.-])\(?[0-9]{3}\)?[-.\x20][0-9]{3}[-.\x20][0-9]{4}(?![0-9.-])", like(r"[0-9]{3}\)?[-.\x20][0-9]{3}[-.\x20][0-9]{4}")),
     Kind("id_number", r"(?<![0-9-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![0-9-])", like(r"[0-9]{3}-[0-9]{2}-[0-9]{4}")),
     Kind("iban", r"(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}(?:\x20?[A-Z0-9]{4}){3,7}+(?:\x20?[A-Z0-9]{1,3})?(?![A-Za-z0-9])", like(r"[A-Z]{2}[0-9]{2}\x20?[A-Z0-9]{4}")),
@@ -56,7 +59,8 @@ ACCEPT = 0.5
 EM_ROUNDS = 8
 VOTES = ["shape", "gazetteer", "context", "around"]
 FEATURES = ["f_kind", "f_length", "f_digits", "f_distinct", "f_before"]
-CANDIDATE = SPAN[:-1] + ",before:string,after:string>"
+#: Code points before and after a candidate that the labelers see.
+AROUND = (40, 8)
 
 
 @dataclass(frozen=True)
@@ -68,23 +72,11 @@ class Labels:
     no: dict[str, tuple[float, float, float]]
 
 
-def with_context(text: Column, spans: Column) -> Column:
-    """The spans, with up to 40 code points before and 8 after each."""
-    low = lambda s: F.greatest(s["start"] - 40, F.lit(0))
-    return F.transform(
-        spans,
-        lambda s: F.struct(
-            *[s[c].alias(c) for c in ("start", "rank", "end", "kind", "value")],
-            F.lower(F.substring(text, low(s) + 1, s["start"] - low(s))).alias("before"), F.substring(text, s["end"] + 1, F.lit(8)).alias("after"),
-        ),
-    )
-
-
-def found(docs: DataFrame, *keep: str) -> DataFrame:
+def found(docs: DataFrame, *keep: Column) -> DataFrame:
+    """(*keep, all) of each row of docs: the base spans and the candidates that touch none, with what stands around them."""
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))
-    rows = docs.select(*keep, text.alias("__t"), all_spans(text, BASE).alias("base"), all_spans(text, MORE, len(BASE)).alias("more"))
-    rows = rows.withColumn("more", apart(F.col("more"), F.col("base")))
-    return rows.select(*keep, "base", with_context(F.col("__t"), F.concat("base", "more")).alias("all"))
+    rows = docs.select(*keep, all_spans(text, BASE, 0, AROUND).alias("base"), all_spans(text, MORE, len(BASE), AROUND).alias("more"))
+    return rows.select(*[c for c in rows.columns if c not in ("base", "more")], F.concat("base", apart(F.col("more"), F.col("base"))).alias("all"))
 
 
 def vote(yes: Column, no: Column) -> Column:
@@ -123,6 +115,13 @@ def distinct_digits(value: Column) -> Column:
     return F.size(F.array_distinct(F.split(digits(value), "")))
 
 
+def sort_of(character: Column) -> Column:
+    """One of a few sorts of characters."""
+    return (
+        F.when(character == "", "none").when(character.isin(":", "=", "("), "opens").when(character.isin(".", "!", "?", ";", ","), "ends").when(character.rlike(r"\p{N}"), "digit").when(character.rlike(r"\p{L}"), "letter").otherwise("other")
+    )
+
+
 def features(s: Column) -> dict[str, Column]:
     n = F.char_length(s["value"])
     return {
@@ -130,7 +129,7 @@ def features(s: Column) -> dict[str, Column]:
         "f_length": F.least(F.floor(n / 4), F.lit(12)).cast("string"),
         "f_digits": F.floor(F.char_length(digits(s["value"])) * 4 / F.greatest(n, F.lit(1))).cast("string"),
         "f_distinct": F.least(distinct_digits(s["value"]), F.lit(9)).cast("string"),
-        "f_before": F.regexp_extract(s["before"], r"(\S?)\s*$", 1),
+        "f_before": sort_of(F.regexp_extract(s["before"], r"(\S?)\s*$", 1)),
     }
 
 
@@ -162,11 +161,11 @@ def estimate(patterns: DataFrame, rounds: int = EM_ROUNDS) -> Labels:
     return labels
 
 
-def classifier(spans: DataFrame, labels: Labels) -> Column:
-    """Log-odds of a span struct `s`, from naive Bayes over FEATURES with the posteriors as soft labels."""
-    soft = spans.groupBy(*VOTES, *FEATURES).agg(F.count("*").alias("n")).withColumn("p", posterior(labels))
+def classifier(patterns: DataFrame, labels: Labels) -> Column:
+    """Log-odds of a row with FEATURES, from naive Bayes with the posteriors of rows (votes, features, n) as soft labels."""
+    soft = patterns.withColumn("p", posterior(labels))
     rows = soft.select("n", "p", F.explode(F.array(*[F.struct(F.lit(f).alias("f"), F.col(f).alias("v")) for f in FEATURES])).alias("x"))
-    sums = rows.groupBy("x.f", "x.v").agg(F.sum(F.col("n") * F.col("p")).alias("yes"), F.sum(F.col("n") * (1 - F.col("p"))).alias("no")).collect()  # a few values of five features
+    sums = rows.groupBy("x.f", "x.v").agg(F.sum(F.col("n") * F.col("p")).alias("yes"), F.sum(F.col("n") * (1 - F.col("p"))).alias("no")).collect()  # five features of at most 13 values each
     total = {f: (sum(r["yes"] for r in sums if r["f"] == f), sum(r["no"] for r in sums if r["f"] == f), sum(r["f"] == f for r in sums)) for f in FEATURES}
     odds = {f: {} for f in FEATURES}
     for r in sums:
@@ -182,17 +181,20 @@ def classifier(spans: DataFrame, labels: Labels) -> Column:
 
 def personal_data(docs: DataFrame) -> DataFrame:
     """doc_id, counts and base_sha256 of the base spans, spans (base and added), n_added, for each row."""
-    rows = written(found(docs, "doc_id").withColumn("uid", F.monotonically_increasing_id()), "pii")
+    rows = written(found(docs, F.monotonically_increasing_id().alias("uid"), F.col("doc_id").cast("long").alias("doc_id")), "pii")
     one = rows.where(F.size("all") > 0).select("uid", F.explode("all").alias("s"))
     one = one.select("uid", "s", *[c.alias(k) for k, c in {**votes(F.col("s")), **features(F.col("s"))}.items()])
-    patterns = written(one.groupBy(*VOTES).agg(F.count("*").alias("n")), "votes")
-    labels = estimate(patterns)
-    odds = classifier(one, labels)
-    added = one.where((F.col("s.rank") >= len(BASE)) & (odds >= math.log(ACCEPT / (1 - ACCEPT)))).groupBy("uid").agg(F.collect_list(F.struct(*[F.col(f"s.{c}").alias(c) for c in ("start", "rank", "end", "kind", "value")])).alias("added"))
-    told = rows.join(added, "uid", "left")
+    # EM and the classifier read counts of vote and feature patterns, which are few whatever the corpus
+    patterns = written(one.groupBy(*VOTES, *FEATURES).agg(F.count("*").alias("n")), "votes")
+    labels = estimate(patterns.groupBy(*VOTES).agg(F.sum("n").alias("n")))
+    odds = classifier(patterns, labels)
+    plain = lambda s: F.struct(*[s[c].alias(c) for c in ("start", "rank", "end", "kind", "value")])
+    added = one.where((F.col("s.rank") >= len(BASE)) & (odds >= math.log(ACCEPT / (1 - ACCEPT)))).groupBy("uid").agg(F.collect_list(plain(F.col("s"))).alias("added"))
+    base = F.transform(F.filter("all", lambda s: s["rank"] < len(BASE)), plain)
+    told = rows.join(added, "uid", "left").select("doc_id", base.alias("base"), "added")
     every = F.array_sort(F.concat("base", F.coalesce("added", F.array().cast(f"array<{SPAN}>"))))
     return told.select(
-        F.col("doc_id").cast("long").alias("doc_id"), *[count_of(F.col("base"), k.name).alias(f"n_{k.name}") for k in BASE], F.sha2(joined(F.col("base")), 256).alias("base_sha256"),
+        "doc_id", *[count_of(F.col("base"), k.name).alias(f"n_{k.name}") for k in BASE], F.sha2(joined(F.col("base")), 256).alias("base_sha256"),
         joined(every).alias("spans"), F.coalesce(F.size("added"), F.lit(0)).cast("long").alias("n_added"),
     )
 

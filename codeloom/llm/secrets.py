@@ -7,8 +7,12 @@ look live. Further candidates count only if they look live; base spans always st
 
 In `documents`, a source stands for the owner, and a source's texts of one language for a repository.
 
+A value that a large part of the corpus holds meets in no one task: ownership is counted before it is shuffled, and the verdicts on
+values with more than `HOT` uses (so few that their number is bounded by the candidates' over `HOT`) are sent to the candidates.
+
 Edge cases: null text is empty; null owners are one owner; repeated rows add no owner; spans that overlap a base span
-are not added; extra columns are ignored.
+are not added; extra columns, whatever their names, are left out by `secret_scan` and kept by `redact`; an empty table gives an
+empty result; a null text stays null.
 """
 
 from __future__ import annotations
@@ -16,7 +20,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from codeloom.llm.common import read, written
+from codeloom.llm.common import fresh, read, row_key, written
 from codeloom.llm.spans import Kind, all_spans, apart, count_of, has, joined, like, replaced
 
 ASSIGN = r"((?i:password|passwd|secret|token|api_?key))[\"']?\x20*[:=]\x20*[\"']?([A-Za-z0-9+/_.=-]+)"
@@ -35,13 +39,15 @@ def mixed(value: Column) -> Column:
 
 
 MORE = [
-    Kind("key_block", r"-----BEGIN [A-Z ]{0,30}PRIVATE KEY-----[A-Za-z0-9+/=\s]{0,8000}", has("PRIVATE KEY-----")),
-    Kind("jwt", r"eyJ[A-Za-z0-9_-]{8,}+\.[A-Za-z0-9_-]{8,}+\.[A-Za-z0-9_-]{8,}+", has("eyJ")),
+    Kind("key_block", r"-----BEGIN [A-Z ]{0,30}PRIVATE KEY-----[A-Za-z0-9+/=\s]*+(?:-----END [A-Z ]{0,30}PRIVATE KEY-----)?", has("PRIVATE KEY-----")),
+    Kind("jwt", r"(?<![A-Za-z0-9_-])eyJ[A-Za-z0-9_-]{8,}+\.[A-Za-z0-9_-]{8,}+\.[A-Za-z0-9_-]{8,}+", has("eyJ")),
     Kind("bearer", r"(?i:bearer)\x20+([A-Za-z0-9+/_.=~-]{20,}+)", like(r"(?i:bearer)\x20+[A-Za-z0-9+/_.=~-]{20}"), None, lambda m: F.regexp_extract(m, r"\x20+(\S+)", 1)),
     Kind("url_login", r"[a-z][a-z0-9+.-]{1,20}://[^\s:/@]{1,60}:([^\s:/@]{4,60})@", has("://"), None, lambda m: F.regexp_extract(m, r":([^\s:/@]+)@", 1)),
     Kind("random", r"(?<![A-Za-z0-9+/_-])[A-Za-z0-9+/_-]{32,}+", like(r"[A-Za-z0-9+/_-]{32}"), mixed),
 ]
 WIDE, WIDE_REPOS = 3, 4
+#: Uses of a value from which on its verdict is sent to the candidates, and the verdicts and spans that may be sent.
+HOT, SENT = 10_000, 200_000
 
 
 def candidates(text: Column) -> tuple[Column, Column]:
@@ -50,39 +56,48 @@ def candidates(text: Column) -> tuple[Column, Column]:
 
 
 def ownership(spans: DataFrame) -> DataFrame:
-    """(hash, live, owners, repos) from rows (hash, owner, repo): aggregated first by owner and repository, so that
+    """(hash, live, owners, repos, uses) from rows (hash, owner, repo): aggregated first by owner and repository, so that
     a value in a third of all rows arrives as one row for each of them."""
     each = spans.groupBy("hash", "owner", "repo").agg(F.count("*").alias("n"))
     by = each.groupBy("hash").agg(F.countDistinct(F.coalesce("owner", F.lit("\0"))).alias("owners"), F.countDistinct(F.struct("owner", "repo")).alias("repos"), F.sum("n").alias("uses"))
     return by.withColumn("live", (F.col("owners") < WIDE) & (F.col("repos") < WIDE_REPOS))
 
 
+def told_apart(rows: DataFrame) -> DataFrame:
+    """(uid, s, live) of each candidate of rows (uid, owner, repo, base, more): the span s, and whether its value looks live."""
+    one = rows.where((F.size("base") > 0) | (F.size("more") > 0)).select("uid", "owner", "repo", F.explode(F.concat("base", "more")).alias("s")).withColumn("hash", F.sha2("s.value", 256))
+    known = written(ownership(one).select("hash", "live", "uses"), "owners")
+    hot = known.where(F.col("uses") > HOT).select("hash", "live")
+    if hot.limit(SENT + 1).count() > SENT:  # more than 10^9 candidates
+        return one.join(known, "hash").select("uid", "s", "live")
+    seldom = one.join(F.broadcast(hot), "hash", "left_anti").join(known.where(F.col("uses") <= HOT).hint("merge"), "hash")
+    return one.join(F.broadcast(hot), "hash").select("uid", "s", "live").union(seldom.select("uid", "s", "live"))
+
+
 def marked(rows: DataFrame) -> DataFrame:
     """rows (uid, owner, repo, base, more) with live: array of the spans that look live, copied: of the others."""
-    one = rows.where((F.size("base") > 0) | (F.size("more") > 0)).select("uid", "owner", "repo", F.explode(F.concat("base", "more")).alias("s")).withColumn("hash", F.sha2("s.value", 256))
-    known = ownership(one)
-    told = one.join(known.select("hash", "live"), "hash").groupBy("uid").agg(
+    told = told_apart(rows).groupBy("uid").agg(
         F.array_sort(F.collect_list(F.when(F.col("live"), F.col("s")))).alias("live"), F.array_sort(F.collect_list(F.when(~F.col("live"), F.col("s")))).alias("copied")
     )
     empty = lambda c: F.coalesce(c, F.array().cast(rows.schema["base"].dataType)).alias(c)
     return rows.join(told, "uid", "left").select(*rows.columns, empty("live"), empty("copied"))
 
 
-def found(docs: DataFrame, owner: Column, repo: Column, *keep: str) -> DataFrame:
+def found(docs: DataFrame, owner: str, repo: str, uid: Column, *keep: Column) -> DataFrame:
+    """(uid, owner, repo, base, more, *keep) of each row of docs."""
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))
-    base, _ = candidates(text)
-    rows = docs.select(*keep, owner.alias("owner"), repo.alias("repo"), base.alias("base"), all_spans(text, MORE, len(BASE)).alias("more"), F.monotonically_increasing_id().alias("uid"))
+    rows = docs.select(uid.alias("uid"), F.col(owner).cast("string").alias("owner"), F.col(repo).cast("string").alias("repo"), all_spans(text, BASE).alias("base"), all_spans(text, MORE, len(BASE)).alias("more"), *keep)
     return rows.withColumn("more", apart(F.col("more"), F.col("base")))
 
 
 def secret_scan(docs: DataFrame, owner: str = "source", repo: str = "lang") -> DataFrame:
     """doc_id, counts, base_sha256, spans, and live_spans / copied_spans / n_live / n_copied for each row."""
-    rows = written(found(docs, F.col(owner).cast("string"), F.col(repo).cast("string"), "doc_id"), "secrets")
+    rows = written(found(docs, owner, repo, F.monotonically_increasing_id(), F.col("doc_id").cast("long").alias("doc_id")), "secrets")
     told = marked(rows)
     shown = F.array_sort(F.concat("base", F.filter("live", lambda s: s["rank"] >= len(BASE))))
     counts = [count_of(F.col("base"), k.name).alias(f"n_{k.name}") for k in BASE]
     return told.select(
-        F.col("doc_id").cast("long").alias("doc_id"), *counts, F.sha2(joined(F.col("base")), 256).alias("base_sha256"), joined(shown).alias("spans"),
+        "doc_id", *counts, F.sha2(joined(F.col("base")), 256).alias("base_sha256"), joined(shown).alias("spans"),
         F.size("live").cast("long").alias("n_live"), F.size("copied").cast("long").alias("n_copied"), joined(F.col("live")).alias("live_spans"), joined(F.col("copied")).alias("copied_spans"),
     )
 
@@ -92,19 +107,21 @@ def op10_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def redact(docs: DataFrame, owner: str = "source", repo: str = "lang", by: str = "[SECRET]") -> DataFrame:
-    """docs, live-looking secrets in the texts replaced; examples that many owners hold stay. Same rows and columns."""
-    columns = docs.columns
-    keep = [F.col(c) for c in columns]
-    rows = found(docs, F.col(owner).cast("string"), F.col(repo).cast("string"), *columns)
-    rows = written(rows.where((F.size("base") > 0) | (F.size("more") > 0)), "secrets")
-    told = marked(rows.select("uid", "owner", "repo", "base", "more")).select("uid", "live")
-    new = rows.select("uid", *columns).join(told, "uid").withColumn("text", replaced(F.col("text"), F.col("live"), by))
-    if "n_chars" in columns:
-        new = new.withColumn("n_chars", F.char_length("text").cast(docs.schema["n_chars"].dataType))
-    text = F.coalesce(F.col("text").cast("string"), F.lit(""))
-    gates = None
-    for k in [*BASE, *MORE]:
-        gates = k.gate(text) if gates is None else gates | k.gate(text)
-    base, more = candidates(text)
-    plain = docs.where(~gates | ((F.size(base) == 0) & (F.size(more) == 0)))
-    return plain.select(*keep).unionByName(new.select(*columns))
+    """docs, live-looking secrets in the texts replaced; examples that many owners hold stay. Same rows and columns.
+
+    One pass over the texts finds the candidates and keeps their places only; a second one, without patterns, replaces what looks
+    live. Rows are told apart by a hash of text, owner and repository, on which the result of a row alone depends."""
+    key = lambda: row_key(F.col("text"), F.col(owner), F.col(repo))
+    rows = found(docs, owner, repo, key()).where((F.size("base") > 0) | (F.size("more") > 0))
+    rows = written(rows, "secrets")
+    mark, spans = fresh(docs, "row"), fresh(docs, "spans")
+    places = F.array_sort(F.collect_set(F.struct("s.start", "s.end")))  # repeated rows have one key
+    live = written(told_apart(rows).where("live").groupBy(F.col("uid").alias(mark)).agg(places.alias(spans)), "live")
+    n = live.agg(F.sum(F.size(spans)).alias("n")).first()["n"] or 0
+    told = docs.withColumn(mark, key()).join(F.broadcast(live) if n <= SENT else live.hint("merge"), mark, "left")
+    some = F.col(spans).isNotNull()
+    cut = replaced(by)(F.when(some, F.col("text").cast("string")), F.col(spans))
+    out = told.withColumn("text", F.when(some, cut).otherwise(F.col("text")))
+    if "n_chars" in docs.columns:
+        out = out.withColumn("n_chars", F.when(F.col(spans).isNull(), F.col("n_chars")).otherwise(F.char_length("text").cast(docs.schema["n_chars"].dataType)))
+    return out.select(*docs.columns)
