@@ -1,29 +1,38 @@
 """SentencePiece encoding and decoding by weighted finite-state transducers.
 
-A byte-pair piece model is compiled into three machines.
+A piece model is compiled into three machines.
 
-* Normaliser: blanks become U+2581, and one is put before the text. (The model's normaliser is the identity.)
+* Normaliser: one state whose arcs rewrite characters, and an arc at the start that puts a blank before the text; both, and what happens
+  to extra blanks, are read from the model's own normaliser. (A model with a character map is refused.)
 * Pieces: a trie over the piece strings that returns to its root with the piece's id; a character that is no piece has
-  an arc that gives its UTF-8 bytes' ids (byte fallback).
-* Order: from the state of piece u only pieces t may follow for which merging the characters of u + t by the
-  model's scores gives u, t again. Other arcs weigh infinity; an arc's weight is 1 in the tropical semiring. A
-  sequence whose neighbours all agree is what the model's merges give for the whole text, and only one does.
-
-A text is composed with the machines, and the shortest path is found position by position: states are (position, last
-piece). No piece holds a character followed by U+2581, so a text is cut there, and equal parts share their paths
+  an arc that gives its UTF-8 bytes' ids (byte fallback). Arcs have weights: of a unigram model what a piece costs (its negative
+  score; a byte costs more than any piece), of a byte-pair model the number of ids.
+* Order, of byte-pair models: from the state of piece u only pieces t may follow for which merging the characters of u + t by the
+  model's scores gives u, t again. Other arcs weigh infinity. A sequence whose neighbours all agree is what the model's merges give for
+  the whole text, and for each text there is exactly one, so the path of finite weight is the library's result. A unigram
+  model's order machine has one state.
+
+A text is composed with the machines, and the shortest path in the tropical semiring is found by relaxing the arcs position by
+position: states are (position, state of the order machine), a state keeps its least weight and the arc it came by. No piece of a
+byte-pair model may hold a character followed by U+2581, so a text is cut there, and equal parts share their paths
 in a bounded table. Decoding is the inverse: ids to strings or bytes, U+2581 to blanks, without the first one.
 
 Edge cases: null text stays null with no ids; an empty text has none; a U+2581 of the text itself decodes as a
-blank (round_trip is false then); repeated rows are encoded each; extra columns are left out by `encode`.
+blank (round_trip is false then); repeated rows are encoded each; extra columns, whatever their names, are left out by `encode` and
+`digest` and kept by `encoded` (but for a column `piece_ids`, which is replaced); an empty table gives an empty result.
 """
 
 from __future__ import annotations
 
+import hashlib
 import re
 import zlib
+from collections.abc import Iterator
 from functools import lru_cache
 
 import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -31,8 +40,14 @@ from codeloom.llm.common import read
 
 MODEL = "piece_bpe_32k.model"
 SPACE = "▁"
-KNOWN = 200_000
-PAIRS = 1_000_000
+#: Parts whose paths a worker keeps (twice: new and old), the longest that it keeps, and pairs of pieces whose order it keeps.
+KNOWN, LONGEST, PAIRS = 150_000, 32, 300_000
+UNIGRAM, BYTE_PAIR = 1, 2
+NOTHING: dict[str, bool] = {}
+#: Bytes of text that are encoded together.
+SLICE = 4_000_000
+#: What stands between parts while Arrow cuts a text.
+SEPARATOR = "\x1e"
 PART = re.compile(f"{SPACE}*[^{SPACE}]+|{SPACE}+")
 
 
@@ -42,6 +57,47 @@ def model_path() -> str:
     return public_tokenizers.path(MODEL)
 
 
+def fields(data: bytes) -> dict[int, list]:
+    """The fields of a protocol-buffer message by number: integers, or bytes."""
+    found, at = {}, 0
+
+    def number() -> int:
+        nonlocal at
+        value, shift = 0, 0
+        while True:
+            byte = data[at]
+            at, value, shift = at + 1, value | (byte & 127) << shift, shift + 7
+            if byte < 128:
+                return value
+
+    while at < len(data):
+        key = number()
+        if key & 7 == 0:
+            value = number()
+        else:
+            size = number() if key & 7 == 2 else {1: 8, 5: 4}[key & 7]
+            value, at = data[at : at + size], at + size
+        found.setdefault(key >> 3, []).append(value)
+    return found
+
+
+class Normaliser:
+    """The model's normaliser as a transducer of one state: `arcs` rewrite characters, `first` is written before a text."""
+
+    def __init__(self, spec: dict[int, list]):
+        flag = lambda k: bool(spec.get(k, [1])[-1])
+        if spec.get(2, [b""])[-1]:
+            raise ValueError("models that map characters are not supported")
+        self.squeeze = flag(4)
+        self.arcs = str.maketrans({" ": SPACE} if flag(5) else {})
+        self.first = (SPACE if flag(5) else " ") if flag(3) else ""
+
+    def apply(self, text: str) -> str:
+        if self.squeeze:
+            text = re.sub(" +", " ", text.strip(" "))
+        return self.first + text.translate(self.arcs) if text else ""
+
+
 class Machine:
     """The compiled transducers, and a table of paths with two generations of at most `known` parts."""
 
@@ -49,20 +105,35 @@ class Machine:
         import sentencepiece
 
         model = sentencepiece.SentencePieceProcessor(model_file=path)
+        with open(path, "rb") as f:
+            proto = fields(f.read())
+        kind = fields(proto.get(2, [b""])[-1]).get(3, [UNIGRAM])[-1]
         n = model.vocab_size()
-        self.type = np.dtype("<u2" if n <= 65536 else "<u4")
-        self.id, self.bytes, self.score, self.text = {}, [0] * 256, {}, [b""] * n
+        pieces, self.bytes, self.text = {}, [0] * 256, [b""] * n
         for i in range(n):
             if model.is_byte(i):
                 value = int(model.id_to_piece(i)[3:5], 16)
                 self.bytes[value], self.text[i] = i, bytes([value])
             elif not (model.is_control(i) or model.is_unknown(i) or model.is_unused(i)):
-                piece = model.id_to_piece(i)
-                self.id[piece], self.score[piece] = i, model.get_score(i)
-                self.text[i] = piece.replace(SPACE, " ").encode()
-        self.starts = {p[:k] for p in self.id for k in range(1, len(p) + 1)}
+                pieces[model.id_to_piece(i)] = i, model.get_score(i)
+                self.text[i] = model.id_to_piece(i).replace(SPACE, " ").encode()
+        self.compile(pieces, kind, Normaliser(fields(proto.get(3, [b""])[-1])), known)
+
+    def compile(self, pieces: dict[str, tuple[int, float]], kind: int, normaliser: Normaliser | None, known: int = KNOWN) -> None:
+        """pieces: id and score of each piece."""
+        if kind not in (UNIGRAM, BYTE_PAIR):
+            raise ValueError("only unigram and byte-pair models are supported")
+        self.normaliser, self.ordered = normaliser, kind == BYTE_PAIR
+        self.type = np.dtype("<u2" if max([i for i, _ in pieces.values()], default=0) < 65536 else "<u4")
+        self.id, self.score = {p: i for p, (i, _) in pieces.items()}, {p: s for p, (_, s) in pieces.items()}
+        self.byte_weight = 1.0 if self.ordered else 10.0 - min(self.score.values(), default=0.0)
+        # states of the trie, and the weight of the arc back to its root (0 where there is none)
+        self.trie = {p[:k]: 0.0 for p in self.id for k in range(1, len(p))}
+        self.trie.update((p, 1.0 if self.ordered else -x or 1e-30) for p, x in self.score.items())
         self.inside = {p[k : k + 2] for p in self.id for k in range(len(p) - 1)}
-        self.pairs: dict[int, bool] = {}
+        self.own = {p: p for p in self.id}
+        self.order: dict[str, dict[str, bool]] = {}
+        self.pairs = 0
         self.known, self.old, self.most = {}, {}, known
 
     def merged(self, text: str) -> list[str]:
@@ -79,53 +150,61 @@ class Machine:
             parts[at : at + 2] = [parts[at] + parts[at + 1]]
 
     def follows(self, u: str, t: str) -> bool:
-        if u[-1] + t[0] not in self.inside:
+        """Whether the order machine has an arc of finite weight from u (empty: its start) to t."""
+        if u and u[-1] + t[0] not in self.inside:
             return True
-        key = self.id[u] << 32 | self.id[t]  # a character that is no piece is never inside one
-        told = self.pairs.get(key)
+        told = self.order.get(u, {}).get(t)
         if told is None:
-            if len(self.pairs) > PAIRS:
-                self.pairs.clear()
-            told = self.pairs[key] = self.merged(u + t) == [u, t]
+            if self.pairs > PAIRS:
+                self.pairs = 0
+                self.order.clear()
+            self.pairs += 1
+            told = self.merged(u + t) == ([u, t] if u else [t])
+            self.order.setdefault(self.own[u] if u else u, {})[self.own.get(t, t)] = told  # the pieces' own strings, not slices of a text
         return told
 
-    def starting(self, part: str, i: int) -> list[str]:
-        """Arcs of the piece machine from a position: the pieces that start there, the longest last."""
-        found, starts, ids = [], self.starts, self.id
-        for j in range(i + 1, len(part) + 1):
-            t = part[i:j]
-            if t in ids:
-                found.append(t)
-            elif t not in starts:
-                break
-        return found or [part[i]]
-
     def path(self, part: str) -> list[str]:
-        """The shortest path through the composition: pieces, and single characters that fall back to bytes.
-
-        States (position, last piece) are expanded lazily, the longest piece first. Only one path weighs less than
-        infinity, so the first one that reaches the end is the shortest; states that reach none are left at once.
-        """
-        n, follows, dead = len(part), self.follows, set()
-        found, at, open_arcs = [""], [0], [self.starting(part, 0)]
-        while open_arcs:
-            arcs, i, u = open_arcs[-1], at[-1], found[-1]
-            while arcs:
-                t = arcs.pop()
-                j = i + len(t)
-                if (not u or follows(u, t)) and (j, t) not in dead:
-                    if j == n:
-                        return [*found[1:], t]
-                    found.append(t)
-                    at.append(j)
-                    open_arcs.append(self.starting(part, j))
-                    break
-            else:
-                dead.add((i, u))
-                found.pop()
-                at.pop()
-                open_arcs.pop()
-        raise ValueError(f"no path through {part!r}")
+        """The shortest path through the composition: pieces, and single characters that fall back to bytes. States are numbered by
+        (position, last piece) if the model has an order, else by position alone; of each its least weight and the arc it came by."""
+        n, ordered, trie, order = len(part), self.ordered, self.trie, self.order
+        best: list[dict[str, tuple[float, int, str]] | None] = [None] * (n + 1)
+        best[0] = {"": (0.0, 0, "")}
+        for i in range(n):
+            for u, (least, _, _) in best[i].items() if best[i] else ():
+                after = order.get(u, NOTHING)
+                for j in range(i + 1, n + 1):
+                    t = part[i:j]
+                    weight = trie.get(t)
+                    if not weight:
+                        if j == i + 1:  # no piece: byte fallback
+                            self.relax(best, i, j, u, least + self.byte_weight * len(t.encode()), t)
+                        if weight is None:
+                            break
+                        continue
+                    if ordered:
+                        told = after.get(t)
+                        if told is None:
+                            told, after = self.follows(u, t), order.get(u, NOTHING)
+                        if not told:
+                            continue
+                    self.relax(best, i, j, u, least + weight, t)
+        if not best[n]:
+            raise ValueError(f"no path through {part!r}")
+        found, at, state = [], n, min(best[n], key=lambda u: best[n][u][0])
+        while at:
+            _, start, before = best[at][state]
+            found.append(part[start:at])
+            at, state = start, before
+        return found[::-1]
+
+    def relax(self, best: list, i: int, j: int, u: str, weight: float, t: str) -> None:
+        """The arc t from state (i, u), if it leads to its end with less weight than any before."""
+        state = t if self.ordered else ""
+        to = best[j]
+        if to is None:
+            best[j] = {state: (weight, i, u)}
+        elif state not in to or weight < to[state][0]:
+            to[state] = weight, i, u
 
     def ids_of(self, part: str) -> bytes:
         found = []
@@ -140,19 +219,38 @@ class Machine:
             if i == len(part) or part[i - 1 : i + 1] not in self.inside:
                 p, at = part[at:i], i
                 ids = self.known.get(p) or self.old.get(p) or self.ids_of(p)
-                self.known[p] = ids
+                self.keep(p, ids)
                 found.append(ids)
-        self.known[part] = b"".join(found)
-        return self.known[part]
+        ids = b"".join(found)
+        self.keep(part, ids)
+        return ids
+
+    def keep(self, part: str, ids: bytes) -> None:
+        if len(part) <= LONGEST:
+            if len(self.known) >= self.most:
+                self.known, self.old = {}, self.known
+            self.known[part] = ids
 
     def encode(self, text: str) -> np.ndarray:
-        if not text:
-            return np.zeros(0, self.type)
-        if len(self.known) > self.most:
-            self.known, self.old = {}, self.known
-        parts = PART.findall(SPACE + text.replace(" ", SPACE))
-        known, look_up = self.known, self.look_up
-        return np.frombuffer(b"".join([known[p] if p in known else look_up(p) for p in parts]), dtype=self.type)
+        parts = PART.findall(self.normaliser.apply(text))
+        return np.frombuffer(b"".join([self.known.get(p) or self.look_up(p) for p in parts]), dtype=self.type)
+
+    def encode_all(self, texts: pa.Array) -> list[np.ndarray]:
+        """Ids of an Arrow array of strings without nulls. Arrow cuts the texts and numbers the distinct parts, each of which is looked up
+        once; a normaliser that Arrow does not know, or a text that has the separator itself, is cut here."""
+        if self.normaliser.squeeze or self.normaliser.first != SPACE or pc.any(pc.match_substring(texts, SEPARATOR)).as_py():
+            return [self.encode(t) for t in texts.to_pylist()]
+        spaced = pc.replace_substring(pc.if_else(pc.equal(texts, ""), "", pc.binary_join_element_wise(SPACE, texts, "")), " ", SPACE)
+        lists = pc.split_pattern(pc.replace_substring_regex(spaced, f"({SPACE}*[^{SPACE}]+|{SPACE}+)", rf"\1{SEPARATOR}"), SEPARATOR)
+        coded = lists.flatten().dictionary_encode()
+        held = [(self.known.get(p) or self.look_up(p)) if p else b"" for p in coded.dictionary.to_pylist()]
+        size = np.fromiter(map(len, held), np.int64, len(held)) // self.type.itemsize
+        start, flat, at = np.cumsum(size) - size, np.frombuffer(b"".join(held), dtype=self.type), coded.indices.to_numpy()
+        n = size[at]
+        ends = np.concatenate(([0], np.cumsum(n)))
+        ids = flat[np.arange(ends[-1]) + np.repeat(start[at] - ends[:-1], n)]
+        cut = ends[lists.offsets.to_numpy()].tolist()
+        return [ids[lo:hi] for lo, hi in zip(cut[:-1], cut[1:], strict=True)]
 
     def decode(self, ids: np.ndarray) -> str:
         text = b"".join([self.text[i] for i in ids.tolist()]).decode("utf-8", "replace")
@@ -165,46 +263,47 @@ def machine_of(path: str) -> Machine:
     return Machine(path)
 
 
+def sliced(texts: pa.Array) -> Iterator[tuple[int, int]]:
+    """(first row, rows) of runs of rows with about SLICE bytes of text; a longer text is in a run with few others."""
+    group = np.cumsum(pc.fill_null(pc.binary_length(texts), 0).to_numpy(zero_copy_only=False).astype(np.int64)) // SLICE
+    first = np.flatnonzero(np.diff(group, prepend=-1))
+    return zip(first.tolist(), np.diff(np.append(first, len(texts))).tolist(), strict=True)
+
+
+def lists_of(ids: list[np.ndarray]) -> pa.Array:
+    ends = np.concatenate(([0], np.cumsum([len(x) for x in ids]))).astype(np.int32)
+    return pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate(ids).astype(np.int32)))
+
+
 def encode(docs: DataFrame, path: str | None = None) -> DataFrame:
     """(doc_id, ids, decoded) for each row of docs."""
     path = path or model_path()
 
     def run(batches):
-        import pyarrow as pa
-
         machine = machine_of(path)
         for batch in batches:
-            for lo in range(0, len(batch), 200):
-                part = batch.slice(lo, 200)
-                texts = part.column(1).to_pylist()
-                ids = [machine.encode(t or "") for t in texts]
-                ends = np.concatenate(([0], np.cumsum([len(x) for x in ids]))).astype(np.int32)
-                flat = pa.array(np.concatenate(ids).astype(np.int32))
-                decoded = pa.array([None if t is None else machine.decode(x) for t, x in zip(texts, ids, strict=True)], pa.string())
-                yield pa.RecordBatch.from_arrays([part.column(0), pa.ListArray.from_arrays(pa.array(ends), flat), decoded], names=["doc_id", "ids", "decoded"])
+            for lo, n in sliced(batch.column(1)):
+                part = batch.slice(lo, n)
+                ids = machine.encode_all(pc.fill_null(part.column(1), ""))
+                decoded = pa.array([machine.decode(x) if known else None for known, x in zip(part.column(1).is_valid().to_pylist(), ids, strict=True)], pa.string())
+                yield pa.RecordBatch.from_arrays([part.column(0), lists_of(ids), decoded], names=["doc_id", "ids", "decoded"])
 
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(run, "doc_id long, ids array<int>, decoded string")
 
 
 def encoded(docs: DataFrame, path: str | None = None) -> DataFrame:
-    """docs with piece_ids, the ids of each text, in place of no other column (an own piece_ids is replaced)."""
+    """docs with piece_ids, the ids of each text, after their own columns (an own piece_ids is replaced). Only texts go to Python."""
     path = path or model_path()
-    columns = [c for c in docs.columns if c != "piece_ids"]
-    schema = docs.select(*columns).withColumn("piece_ids", F.array().cast("array<int>")).schema
-
-    def run(batches):
-        import pyarrow as pa
 
+    @F.arrow_udf("array<int>")
+    def run(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         machine = machine_of(path)
-        for batch in batches:
-            texts = batch.column(columns.index("text"))
-            for lo in range(0, len(batch), 200):
-                ids = [machine.encode(t or "") for t in texts.slice(lo, 200).to_pylist()]
-                ends = np.concatenate(([0], np.cumsum([len(x) for x in ids]))).astype(np.int32)
-                flat = pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate(ids).astype(np.int32)))
-                yield pa.RecordBatch.from_arrays([*(c.slice(lo, 200) for c in batch.columns), flat], names=[*columns, "piece_ids"])
+        for texts in batches:
+            texts = pc.fill_null(texts, "")
+            yield pa.concat_arrays([lists_of(machine.encode_all(texts.slice(lo, n))) for lo, n in sliced(texts)] or [pa.array([], pa.list_(pa.int32()))])
 
-    return docs.select(*columns).mapInArrow(run, schema)
+    columns = [c for c in docs.columns if c.lower() != "piece_ids"]
+    return docs.select(*columns, run(F.col("text").cast("string")).alias("piece_ids"))
 
 
 def digest(docs: DataFrame, path: str | None = None) -> DataFrame:
@@ -213,20 +312,16 @@ def digest(docs: DataFrame, path: str | None = None) -> DataFrame:
     path = path or model_path()
 
     def run(batches):
-        import hashlib
-
-        import pyarrow as pa
-
         machine = machine_of(path)
         single = np.zeros(len(machine.text), bool)
         single[machine.bytes] = True
         for batch in batches:
-            for lo in range(0, len(batch), 200):
-                part, rows = batch.slice(lo, 200), []
-                for t in part.column(1).to_pylist():
-                    ids = machine.encode(t or "")
+            for lo, n in sliced(batch.column(1)):
+                part, rows = batch.slice(lo, n), []
+                texts = pc.fill_null(part.column(1), "")
+                for t, ids in zip(texts.to_pylist(), machine.encode_all(texts), strict=True):
                     back = machine.decode(ids)
-                    rows.append((len(ids), zlib.crc32(ids.astype("<u4").tobytes()), int(single[ids].sum()), hashlib.sha256(back.encode()).hexdigest(), back == (t or "")))
+                    rows.append((len(ids), zlib.crc32(ids.astype("<u4").tobytes()), int(single[ids].sum()), hashlib.sha256(back.encode()).hexdigest(), back == t))
                 n, crc, few, sha, same = zip(*rows, strict=True)
                 yield pa.RecordBatch.from_arrays([part.column(0), pa.array(n, pa.int64()), pa.array(crc, pa.int64()), pa.array(few, pa.int64()), pa.array(sha), pa.array(same)], names=["doc_id", "n_pieces", "ids_crc32", "n_bytes", "decoded_sha256", "round_trip"])
 
