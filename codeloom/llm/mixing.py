@@ -183,8 +183,8 @@ def op8_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def take_mix(docs: DataFrame) -> DataFrame:
-    """The mix as rows with the columns of docs, laid out by output shard: for each row, epoch and shard the words that the mix takes,
-    in order. A row taken whole keeps its text as it is; of others the taken words are joined by blanks.
+    """The mix as rows with the columns of docs: for each row and epoch the words that the mix takes, in order. A row taken whole keeps
+    its text as it is; of others the taken words are joined by blanks.
 
     Texts are shuffled once, to the parts that are taken of them. Rows are told apart by a hash of all their columns, so repeated
     rows share one text and have parts of their own."""
@@ -192,14 +192,14 @@ def take_mix(docs: DataFrame) -> DataFrame:
     plain = [F.col(f.name) if not has_map(f.dataType) else F.to_json(F.col(f.name)) for f in docs.schema]
     rows = packed(docs, row_key(*plain))
     sources = written(plan(rows), "sources")
-    taken = pieces(rows.select("uid", "key", "start", "size"), sources).groupBy("uid", "epoch", "shard").agg(F.array_sort(F.collect_list(F.struct("first", "words"))).alias("p"), F.sum("words").alias("taken"))
+    taken = pieces(rows.select("uid", "key", "start", "size"), sources).groupBy("uid", "epoch").agg(F.array_sort(F.collect_list(F.struct("first", "words"))).alias("p"), F.sum("words").alias("taken"))
     taken = written(taken.join(rows.select("uid", "row", "size"), "uid").drop("uid", "epoch"), "taken")
-    mark, p, part, full, shard = (fresh(docs, c) for c in ("row", "p", "taken", "size", "shard"))
+    mark, p, part, full = (fresh(docs, c) for c in ("row", "p", "taken", "size"))
     texts = docs.withColumn(mark, row_key(*plain))
     repeats = written(rows.groupBy("row").agg(F.count("*").alias("n")).where("n > 1").select(F.col("row").alias(mark)), "repeats")
     if not repeats.isEmpty():
         texts = with_ids(texts, repeats, mark, "left_anti").unionByName(with_ids(texts, repeats, mark).dropDuplicates([mark]))
-    parts = taken.select(F.col("row").alias(mark), F.col("p").alias(p), F.col("taken").alias(part), F.col("size").alias(full), F.col("shard").alias(shard))
+    parts = taken.select(F.col("row").alias(mark), F.col("p").alias(p), F.col("taken").alias(part), F.col("size").alias(full))
     out = texts.join(parts.hint("merge"), mark)
     words = F.regexp_extract_all(F.col("text"), F.lit(WORD), F.lit(0))
     some = F.transform(F.array(words), lambda w: F.array_join(F.flatten(F.transform(p, lambda x: F.slice(w, (x["first"] + 1).cast("int"), x["words"].cast("int")))), " "))[0]
