@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -129,34 +131,43 @@ def identifiers(text: Column) -> Column:
     return F.regexp_extract_all(text, F.lit(r"[A-Za-z_$][A-Za-z0-9_$]*"), F.lit(0))
 
 
+#: Weights of the token estimate, in hundredths of a token (fixed values): digits, line breaks and symbols; runs of blanks; other
+#: characters by their bytes; long words for each letter; words up to 12 letters cost one token for each two and a half letters begun.
+SIGN, BLANKS, WIDE, WIDEST, LONG_LETTER, LONG_WORD, BLANK_DIGIT, DENSE_SIGN, DENSE_RUN = 100, 15, 125, 200, 60, 12, 200, 100, 16
 DENSE = r"[A-Za-z0-9+/=_\-]"
-UNITS = r"[A-Za-z]+|[ \t][0-9]|[0-9]|\n|[ \t\r\f\x0B]+|[\x21-\x7e]|[^\x00-\x7f]"
+
+
+def without(text: Column, pattern: str) -> Column:
+    """How many characters the matches of a pattern have."""
+    return F.char_length(text) - F.char_length(F.regexp_replace(text, pattern, ""))
 
 
 def token_cost(text: Column) -> Column:
-    """A cautious estimate of a text's tokens, from weights of its letter runs, digits, blanks and symbols.
-
-    Summed in hundredths. Runs of 16 or more letters, digits and joiners with both a letter and a digit cost 1 for each.
-    """
-    dense = rf"(?={DENSE}*[0-9])(?={DENSE}*[A-Za-z]){DENSE}{{16,}}"
-    runs = F.regexp_extract_all(text, F.lit(dense), F.lit(0))
-    rest = F.regexp_extract_all(F.regexp_replace(text, dense, "\x00"), F.lit(UNITS), F.lit(0))
-    n = F.char_length
-
-    def cost(u: Column) -> Column:
-        return (
-            F.when(u.rlike("^[A-Za-z]"), F.when(n(u) <= 12, F.ceil(n(u) / 2.5) * 100).otherwise(n(u) * 60))
-            .when(u.rlike("^[ \t][0-9]$"), 200)
-            .when(u.rlike("^[0-9\n\x21-\x7e]$"), 100)
-            .when(u.rlike("^[ \t\r\f\x0B]"), 15)
-            .when(F.octet_length(u) >= 4, 200)
-            .otherwise(125)
-            .cast("long")
-        )
-
-    zero = F.lit(0).cast("long")
-    total = F.aggregate(rest, zero, lambda a, u: a + cost(u)) + F.aggregate(runs, zero, lambda a, u: a + n(u) * 100)
-    return F.ceil(total / 100).cast("long")
+    """A cautious estimate of a text's tokens, summed in hundredths from counts of its letter runs, digits, blanks and signs.
+
+    Runs of 16 or more letters, digits and joiners with both a letter and a digit cost 1 for each character; they part what stands
+    around them. A single blank right before a digit costs a token of its own, any other run of blanks a little."""
+    dense = rf"(?<!{DENSE})(?={DENSE}*[0-9])(?={DENSE}*[A-Za-z]){DENSE}{{{DENSE_RUN},}}+"
+    count = lambda t, p: F.regexp_count(t, F.lit(p))
+    words = [math.floor(2.5 * k) + 1 for k in range(math.ceil(LONG_WORD / 2.5))]  # from these lengths on a word costs one token more
+    long = rf"[A-Za-z]{{{LONG_WORD + 1},}}+"
+
+    def total(rest: Column) -> Column:
+        other = F.regexp_replace(rest, r"[\x00-\x7f]+", "")
+        short = F.lit(0)
+        for k in words:
+            short = short + count(rest, rf"[A-Za-z]{{{k},}}+")
+        letters = SIGN * (short - len(words) * count(rest, long)) + LONG_LETTER * without(rest, long)
+        signs = without(rest, r"[0-9\n\x21-\x2f\x3a-\x40\x5b-\x60\x7b-\x7e]+")
+        blanks = BLANKS * count(rest, r"[ \t\r\f\x0B]+") + (BLANK_DIGIT - SIGN - BLANKS) * count(rest, r"(?<![ \t\r\f\x0B])[ \t](?=[0-9])")
+        wide = WIDE * F.char_length(other) + (WIDEST - WIDE) * F.char_length(F.regexp_replace(other, "[^\\x{10000}-\\x{10FFFF}]+", ""))
+        return letters + SIGN * signs + blanks + wide
+
+    bound = lambda value, then: F.transform(F.array(value), then)[0]  # noqa: E731  (computes value once)
+    runs = text.rlike(rf"{DENSE}{{{DENSE_RUN}}}")
+    plain = bound(text, total)
+    parted = bound(F.regexp_replace(text, dense, "\x00"), total) + DENSE_SIGN * without(text, dense)
+    return F.ceil(F.when(runs, parted).otherwise(plain) / 100).cast("long")
 
 
 def uuid5(namespace: str, name: Column) -> Column:

@@ -56,18 +56,43 @@ def quote_found(quote: Column, cited: Column) -> Column:
     return (F.regexp_count(q, F.lit(r"(?U)\p{Alnum}")) >= MIN_QUOTE_LETTERS) & F.contains(T.collapsed(cited), q)
 
 
-def quotes_in(quotes: DataFrame, texts: DataFrame, words: int = 6) -> DataFrame:
-    """(item_id, doc_id): quotes that stand in a text. The first words of a quote are an equi-join key over the texts'
-    word runs, so no quote is held against every text."""
-    run = lambda w, i: F.xxhash64(F.array_join(F.slice(w, i, words), " "))
-    q = quotes.select("item_id", F.col("text").alias("quote"), F.split("text", r"\s+").alias("w")).where(F.size("w") >= words)
-    q = q.select("item_id", "quote", run(F.col("w"), F.lit(1)).alias("key"))
-    t = texts.select("doc_id", "text", F.split("text", r"\s+").alias("w")).where(F.size("w") >= words)
-    t = t.select("doc_id", F.explode(F.array_distinct(F.transform(F.sequence(F.lit(1), F.size("w") - (words - 1)), lambda i: run(F.col("w"), i)))).alias("key"))
-    hits = t.join(q, "key").select("item_id", "doc_id", "quote").distinct()
+#: Words and characters of a quote's key at most, and the keys that are sent to every executor.
+KEY_WORDS, KEY_CHARS, FEW_KEYS = 4, 8, 100_000
+
+
+def quotes_in(quotes: DataFrame, texts: DataFrame) -> DataFrame:
+    """(item_id, doc_id): quotes that stand in a text, wherever they start and however short they are. A null or empty quote stands
+    in none.
+
+    A key that the quote must share with the text is an equi-join key, so no quote is held against every text: a run of its inner words
+    (its first and last may be parts of words of the text), or its first characters if it has none. Texts give runs of only those
+    lengths that a quote has; where keys are few, they are sent to every executor and other runs are dropped where they are read."""
+    words = lambda c: F.regexp_extract_all(c, F.lit(r"[\p{L}\p{N}]+"), F.lit(0))
+    q = quotes.where(F.char_length("text") > 0).select("item_id", F.col("text").alias("quote"), words(F.col("text")).alias("w"))
+    inner = F.greatest(F.size("w") - 2, F.lit(0))
+    n = F.when(inner > 0, F.least(inner, F.lit(KEY_WORDS))).otherwise(-F.least(F.char_length("quote"), F.lit(KEY_CHARS)))
+    q = q.withColumn("n", n).withColumn("key", run_key(F.when(F.col("n") > 0, F.col("w")).otherwise(F.split("quote", "")), F.when(F.col("n") > 0, 2).otherwise(1), F.abs("n"), F.col("n") > 0))
+    lengths = sorted(r["n"] for r in q.select("n").distinct().collect())  # KEY_WORDS + KEY_CHARS at most
+    keys = q.select("key").distinct()
+    few = keys.limit(FEW_KEYS + 1).count() <= FEW_KEYS
+
+    def runs(parts: str, n: int, are_words: bool) -> Column:
+        every = F.transform(F.sequence(F.lit(1), F.size(parts) - (n - 1)), lambda i: run_key(F.col(parts), i, F.lit(n), F.lit(are_words)))
+        return F.when(F.size(parts) >= n, every).otherwise(F.array().cast("array<bigint>"))
+
+    t = texts.select("doc_id", words(F.col("text")).alias("w"), *([F.split("text", "").alias("c")] if any(n < 0 for n in lengths) else []))
+    some = F.array_distinct(F.flatten(F.array(F.array().cast("array<bigint>"), *[runs("w", n, True) if n > 0 else runs("c", -n, False) for n in lengths])))
+    t = t.select("doc_id", F.explode(some).alias("key"))
+    t = t.join(F.broadcast(keys) if few else keys.hint("merge"), "key", "left_semi")
+    hits = t.join(q.select("item_id", "key", "quote"), "key").select("item_id", "doc_id", "quote").distinct()
     return hits.join(texts.select("doc_id", "text"), "doc_id").where(F.contains("text", F.col("quote"))).select("item_id", "doc_id").distinct()
 
 
+def run_key(parts: Column, at: Column, n: Column, are_words: Column) -> Column:
+    """A hash of n parts of a text from the at-th on."""
+    return F.xxhash64(F.array_join(F.slice(parts, at, n), " "), n, are_words)
+
+
 def verified(findings: DataFrame) -> DataFrame:
     """findings (id, location, quote_ok, confidence) with verification and the confidence that it allows."""
     v = F.when((F.col("location") == "in_context") & F.col("quote_ok"), "source_verified").when(F.col("location") == "in_context", "hypothesis").otherwise("unsupported")

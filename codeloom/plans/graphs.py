@@ -85,7 +85,7 @@ def grf4_entry_points(spark, sf_dir):
 def part_cycle_edges(spark, sf_dir):
     """Loops of three parts, with tails that lead into them."""
     k = F.col("p_partkey")
-    p = table(spark, sf_dir, "part").where(k < 900)
+    p = table(spark, sf_dir, "part")
     step = F.when(k % 9 == 2, k - 2).when(k % 9 < 2, k + 1).when(k % 9 == 5, k).otherwise(k - 1)
     return p.select(k.alias("source"), step.alias("target"))
 
@@ -95,7 +95,7 @@ def grf2_cycles(spark, sf_dir):
 
 
 def grf3_hops(spark, sf_dir):
-    edges = table(spark, sf_dir, "lineitem").where("l_partkey <= 400 and l_suppkey <= 400").select((F.col("l_partkey")).alias("source"), ((F.col("l_partkey") * 3 + F.col("l_linenumber")) % 400).alias("target"))
+    edges = table(spark, sf_dir, "lineitem").select((F.col("l_partkey")).alias("source"), ((F.col("l_partkey") * 3 + F.col("l_linenumber")) % 4001).alias("target"))
     return G.distances(edges, 1).select("node", F.col("hops").cast("long").alias("hops"), "via")
 
 
@@ -191,10 +191,10 @@ ORACLES = {
       SELECT source, CASE i % 6 WHEN 0 THEN 'p' || (i + 5) || '.html?x=1#y' WHEN 1 THEN '/w0/p5.html' WHEN 3 THEN '//cdn.org/x.js' WHEN 4 THEN '../../out.css' ELSE '../w' || ((i + 1) % 5) || '/%70' || (i + 1) || '.html' END AS specifier,
         CASE WHEN i % 6 = 3 THEN 'external' WHEN i % 6 = 4 THEN 'unresolved' WHEN there AND t % 9 = 0 THEN 'excluded' WHEN there THEN 'resolved' WHEN i % 6 = 1 THEN 'unresolved' ELSE 'missing' END AS status,
         CASE WHEN there AND t % 9 <> 0 THEN 'w' || (t % 5) || '/p' || t || '.html' END AS target FROM r""",
-    "grf2_cycles": """WITH RECURSIVE e AS (SELECT p_partkey AS a, CASE WHEN p_partkey % 9 = 2 THEN p_partkey - 2 WHEN p_partkey % 9 < 2 THEN p_partkey + 1 WHEN p_partkey % 9 = 5 THEN p_partkey ELSE p_partkey - 1 END AS b FROM part WHERE p_partkey < 900),
+    "grf2_cycles": """WITH RECURSIVE e AS (SELECT p_partkey AS a, CASE WHEN p_partkey % 9 = 2 THEN p_partkey - 2 WHEN p_partkey % 9 < 2 THEN p_partkey + 1 WHEN p_partkey % 9 = 5 THEN p_partkey ELSE p_partkey - 1 END AS b FROM part),
       r AS (SELECT a, b FROM e UNION SELECT r.a, e.b FROM r JOIN e ON e.a = r.b), s AS (SELECT x.a, x.b FROM r x JOIN r y ON x.a = y.b AND x.b = y.a)
       SELECT DISTINCT min(b) AS component, count(*) AS size, string_agg(b::VARCHAR, ',' ORDER BY b) AS files FROM s GROUP BY a""",
-    "grf3_hops": """WITH RECURSIVE e AS (SELECT DISTINCT l_partkey AS a, (l_partkey * 3 + l_linenumber) % 400 AS b FROM lineitem WHERE l_partkey <= 400 AND l_suppkey <= 400), r(node, hops) AS (SELECT b, 1 FROM e WHERE a = 1 UNION SELECT e.b, hops + 1 FROM r JOIN e ON e.a = r.node WHERE hops < 30),
+    "grf3_hops": """WITH RECURSIVE e AS (SELECT DISTINCT l_partkey AS a, (l_partkey * 3 + l_linenumber) % 4001 AS b FROM lineitem), r(node, hops) AS (SELECT b, 1 FROM e WHERE a = 1 UNION SELECT e.b, hops + 1 FROM r JOIN e ON e.a = r.node WHERE hops < 30),
       d AS (SELECT node, min(hops) AS hops FROM r GROUP BY 1) SELECT d.node, CAST(d.hops AS BIGINT) AS hops, (SELECT min(e.a) FROM e LEFT JOIN d f ON f.node = e.a WHERE e.b = d.node AND (d.hops = 1 AND e.a = 1 OR d.hops > 1 AND f.hops = d.hops - 1)) AS via FROM d""",
     "grf4_entry_points": """WITH f AS (SELECT s_suppkey AS k, 'd' || s_suppkey || '/' || ['main.py', 'app.js', 'util.py', 'index.html', 'about.html', '__main__.py', 'server.mjs'][CAST(s_suppkey % 7 + 1 AS INTEGER)] AS path FROM supplier)
       SELECT path, reason FROM (SELECT path, CASE WHEN k % 7 IN (0, 2, 5) AND k % 5 = 0 THEN 'main_guard' WHEN k % 7 = 5 THEN 'package_main' WHEN k % 7 IN (0, 1, 6) AND k % 3 <> 0 THEN 'conventional_name' WHEN k % 7 = 3 THEN 'index_page' WHEN k % 7 = 4 AND k % 3 <> 0 THEN 'unreferenced_page' END AS reason FROM f) WHERE reason IS NOT NULL""",

@@ -99,7 +99,7 @@ def win5_first_wins(spark, sf_dir):
 
 
 def win1_numbered_lines(spark, sf_dir):
-    b = table(spark, sf_dir, "documents").where("n_chars < 2000")
+    b = table(spark, sf_dir, "documents")
     lines = F.split("text", "\n", -1)
     rows = b.select("doc_id", F.char_length(F.size(lines).cast("string")).alias("w"), F.posexplode(lines).alias("n", "line"))
     clip = F.when(F.char_length("line") > 400, F.concat(F.substring("line", 1, 400), F.lit(" +"), (F.char_length("line") - 400).cast("string"), F.lit(" not shown"))).otherwise(F.rtrim("line"))
@@ -116,7 +116,7 @@ def stm1_sessions(spark, sf_dir):
 
 
 def stm3_concurrent(spark, sf_dir):
-    e = table(spark, sf_dir, "events").where("value >= 0").select(F.col("ts").alias("start"), F.timestamp_add("SECOND", (F.floor("value") * 60 + 1).cast("int"), F.col("ts")).alias("end"))
+    e = table(spark, sf_dir, "events").select(F.col("ts").alias("start"), F.timestamp_add("SECOND", (F.floor(F.abs("value")) * 60 + 1).cast("int"), F.col("ts")).alias("end"))
     return S.concurrent(e).groupBy("running").agg(F.count("*").alias("times"))
 
 
@@ -150,12 +150,12 @@ ORACLES = {
     "win10_prefix_pack": "SELECT conv_id, turn, CAST(used AS BIGINT) AS used FROM (SELECT conv_id, turn, sum(length(text)) OVER (PARTITION BY conv_id ORDER BY turn) AS used FROM conversations) WHERE used <= 600",
     "win11_history_tail": "SELECT conv_id, turn, role FROM conversations QUALIFY row_number() OVER (PARTITION BY conv_id ORDER BY turn DESC) <= 3",
     "win5_first_wins": "SELECT l_orderkey, l_suppkey, l_linenumber, l_partkey FROM lineitem QUALIFY row_number() OVER (PARTITION BY l_orderkey, l_suppkey ORDER BY l_linenumber, l_partkey) = 1",
-    "win1_numbered_lines": """WITH b AS (SELECT doc_id, string_split(text, chr(10)) AS ls FROM documents WHERE n_chars < 2000), x AS (SELECT doc_id, ls, unnest(range(1, len(ls) + 1)) AS n FROM b)
+    "win1_numbered_lines": """WITH b AS (SELECT doc_id, string_split(text, chr(10)) AS ls FROM documents), x AS (SELECT doc_id, ls, unnest(range(1, len(ls) + 1)) AS n FROM b)
       SELECT doc_id, n AS line, lpad(n::VARCHAR, length(len(ls)::VARCHAR)::INTEGER, ' ') || ' | ' || CASE WHEN length(ls[n]) > 400 THEN substr(ls[n], 1, 400) || ' +' || (length(ls[n]) - 400) || ' not shown' ELSE rtrim(ls[n], ' ') END AS shown FROM x""",
     "win14_rank_by_degree": "SELECT l_suppkey, dependents, place FROM (SELECT *, row_number() OVER (PARTITION BY l_suppkey % 8 ORDER BY dependents DESC, l_suppkey) AS place FROM (SELECT l_suppkey, count(DISTINCT l_partkey) AS dependents FROM lineitem GROUP BY 1)) WHERE place <= 5",
     "stm1_sessions": """WITH e AS (SELECT user_id, ts, CASE WHEN ts - lag(ts) OVER (PARTITION BY user_id ORDER BY ts) <= INTERVAL 1 HOUR THEN 0 ELSE 1 END AS new FROM events), s AS (SELECT *, sum(new) OVER (PARTITION BY user_id ORDER BY ts) AS k FROM e)
       SELECT user_id, strftime(min(ts), '%Y-%m-%d %H:%M:%S') AS started, strftime(max(ts), '%Y-%m-%d %H:%M:%S') AS last_used, count(*) AS uses FROM s GROUP BY user_id, k""",
-    "stm3_concurrent": """WITH e AS (SELECT ts AS a, ts + to_seconds(CAST(floor(value) * 60 + 1 AS BIGINT)) AS z FROM events WHERE value >= 0), c AS (SELECT a AS t, 1 AS d FROM e UNION ALL SELECT z, -1 FROM e), g AS (SELECT t, sum(d) AS d FROM c GROUP BY 1)
+    "stm3_concurrent": """WITH e AS (SELECT ts AS a, ts + to_seconds(CAST(floor(abs(value)) * 60 + 1 AS BIGINT)) AS z FROM events), c AS (SELECT a AS t, 1 AS d FROM e UNION ALL SELECT z, -1 FROM e), g AS (SELECT t, sum(d) AS d FROM c GROUP BY 1)
       SELECT CAST(running AS BIGINT) AS running, count(*) AS times FROM (SELECT sum(d) OVER (ORDER BY t) AS running FROM g) GROUP BY 1""",
     "srt13_lru": "SELECT user_id, strftime(max(ts), '%Y-%m-%d %H:%M:%S') AS last_used FROM events GROUP BY 1 ORDER BY max(ts) DESC, user_id LIMIT 8",
 }
