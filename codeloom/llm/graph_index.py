@@ -1,21 +1,28 @@
 """Approximate nearest neighbours by robust-pruned directed graphs.
 
-Vectors are dealt by hash of vec_id to shards of about `SHARD_ROWS`; each shard builds one graph. Building walks
-over the points in random order, in batches: a greedy beam search from the medoid on the graph so far proposes
+Vectors are dealt by nearness: two levels of centroids, fitted by k-means on a bounded sample (`SAMPLE_FLOATS` numbers, the rows with the
+smallest hashes), give every vector a cell of about `SHARD_ROWS` rows; a cell that has more is split by hash. Each shard builds one
+graph. Building walks over the points in random order, in batches: a greedy beam search from the medoid on the graph so far proposes
 neighbours; relaxed distance pruning keeps a proposed neighbour only if no kept one is `ALPHA` times nearer to it
 than the point is, so edges stay diverse; reverse edges are added and pruned alike. A shard's vectors and edges are one row
-of a written table. Queries go to every shard in blocks of about `QUERY_ROWS`, are searched with a beam, and the shards'
-best are merged. Scores are the cosines of the original vectors in double precision.
+of a written table. A query is searched with a beam in the shards of its nearest cells, and the shards' best are merged. How many cells
+that are is measured on the sample: as many as hold `REACH` of the sample's own neighbours. Where vectors lie in clusters that is a few
+whatever their number; where they are spread evenly in all directions no cell can be left out, and every shard is queried.
+Scores are the cosines of the original vectors in double precision.
 
 Of equal vectors only the k + 1 smallest ids are indexed: no other can be among the k nearest of any query.
 
 Edge cases: vectors that are null, empty or zero or hold null or non-finite numbers take no part, as queries neither;
 vectors of different lengths are never compared; null vec_ids take no part; rows of one vec_id are one candidate (its
-nearest vector) and no neighbours of each other; fewer candidates than k are all returned; equal scores go by vec_id.
+nearest vector) and no neighbours of each other, and several queries of one vec_id are one; fewer candidates than k are all returned;
+equal scores go by vec_id; extra columns are left out; an empty table gives an empty result.
 """
 
 from __future__ import annotations
 
+import math
+from dataclasses import dataclass
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
@@ -24,9 +31,13 @@ from pyspark.sql.window import Window
 
 from codeloom.llm.common import read, written
 
-SHARD_ROWS, QUERY_ROWS = 4096, 1024
+SHARD_ROWS, QUERY_ROWS = 8192, 1024
 DEGREE, BUILD_BEAM, BEAM, ALPHA, EXPAND, BATCH = 32, 56, 192, 1.2, 4, 256
-INDEX = "dim int, shard int, ids binary, vectors binary, edges binary, entry int"
+#: Sample rows for each cell, the sample's numbers at most, rounds of k-means, and the cells of which a row may be sent to every executor.
+CELL_SAMPLE, SAMPLE_FLOATS, ROUNDS, FEW = 256, 16_000_000, 6, 100_000
+#: The share of the sample's neighbours that the queried cells must hold, and the sample's queries for that.
+REACH, ASKED = 0.99, 256
+INDEX = "dim int, cell int, part int, ids binary, vectors binary, edges binary, entry int"
 
 
 def beam_search(x: np.ndarray, edges: np.ndarray, entry: int, q: np.ndarray, beam: int) -> tuple[np.ndarray, np.ndarray]:
@@ -137,11 +148,110 @@ def unit(v: np.ndarray) -> np.ndarray:
     return (v / np.sqrt((v * v).sum(axis=1, keepdims=True))).astype(np.float32)
 
 
+def means(x: np.ndarray, k: int, rng: np.random.Generator) -> np.ndarray:
+    """Unit centroids of unit vectors by k-means on the sphere; a centroid that loses all its rows takes the worst served one."""
+    k = min(k, len(x))
+    c = x[rng.choice(len(x), k, replace=False)]
+    for _ in range(ROUNDS):
+        near = x @ c.T
+        own = near.argmax(axis=1)
+        total = np.zeros_like(c)
+        np.add.at(total, own, x)
+        lost = np.flatnonzero(np.bincount(own, minlength=k) == 0)
+        total[lost] = x[np.argsort(near.max(axis=1))[: len(lost)]]
+        norm = np.linalg.norm(total, axis=1, keepdims=True)
+        c = np.where(norm > 0, total / np.maximum(norm, 1e-12), c).astype(np.float32)
+    return c
+
+
+@dataclass
+class Cells:
+    """Two levels of centroids: the cells of top centroid i are first[i] .. first[i + 1] - 1. probes: how many cells a query visits."""
+
+    top: np.ndarray
+    leaves: np.ndarray
+    first: np.ndarray
+    probes: int = 0
+
+    @classmethod
+    def fit(cls, x: np.ndarray, cells: int, k: int = 5, seed: int = 1) -> Cells:
+        rng = np.random.default_rng(seed)
+        top = means(x, math.ceil(math.sqrt(cells)), rng)
+        own = (x @ top.T).argmax(axis=1)
+        share = [max(1, round(cells * (own == i).sum() / len(x))) for i in range(len(top))]
+        parts = [means(x[own == i], n, rng) if (own == i).any() else top[i : i + 1] for i, n in enumerate(share)]
+        found = cls(top, np.concatenate(parts), np.cumsum([0, *(len(p) for p in parts)]))
+        found.probes = found.needed(x, k)
+        return found
+
+    def needed(self, x: np.ndarray, k: int) -> int:
+        """How many of its nearest cells hold REACH of the k nearest of each of the first vectors among all of them."""
+        q, all_cells = x[:ASKED], len(self.leaves)
+        near = q @ x.T
+        near[np.arange(len(q)), np.arange(len(q))] = -np.inf
+        best = np.argsort(-near, axis=1)[:, : min(k, len(x) - 1)]
+        if not best.size:
+            return all_cells
+        own = self.nearest(x, 1)[:, 0]
+        place = np.argsort(np.argsort(-(q @ self.leaves.T), axis=1, kind="stable"), axis=1)
+        return int(np.quantile(place[np.arange(len(q))[:, None], own[best]], REACH, method="higher")) + 1
+
+    def nearest(self, x: np.ndarray, probes: int) -> np.ndarray:
+        """The nearest cells of each vector, nearest first, among those of as many top centroids (-1 where there are fewer); all of them
+        if they are half of all cells or more."""
+        if probes > 1 and 2 * probes >= len(self.leaves):
+            return np.tile(np.arange(len(self.leaves)), (len(x), 1))
+        tops = np.argsort(-(x @ self.top.T), axis=1, kind="stable")[:, :probes]
+        out = np.full((len(x), probes), -1, np.int64)
+        for i, own in enumerate(tops):
+            ids = np.concatenate([np.arange(self.first[t], self.first[t + 1]) for t in own])
+            best = ids[np.argsort(-(self.leaves[ids] @ x[i]), kind="stable")[:probes]]
+            out[i, : len(best)] = best
+        return out
+
+
+def fitted(rows: DataFrame, n: int, shard_rows: int, k: int) -> dict[int, Cells]:
+    """The cells of each vector length that the sample has."""
+    cells = max(1, -(-n // shard_rows))
+    dim = rows.agg(F.max("dim").alias("d")).first()["d"] or 1
+    some = rows.orderBy(F.xxhash64("vec_id"), "vec_id").limit(max(1, min(CELL_SAMPLE * cells, SAMPLE_FLOATS // dim))).select("dim", F.col("v").cast("array<float>").alias("v")).toArrow()
+    if not len(some):
+        return {}
+    dims, v = some["dim"].to_numpy(), some["v"].combine_chunks()
+    flat, at = v.values.to_numpy(), v.offsets.to_numpy()
+    found = {}
+    for d in np.unique(dims):
+        x = np.stack([flat[at[i] : at[i + 1]] for i in np.flatnonzero(dims == d)]).astype(np.float64)
+        x = unit(x[np.isfinite(x).all(axis=1) & (x != 0).any(axis=1)])
+        if len(x):
+            found[int(d)] = Cells.fit(x, max(1, round(cells * len(x) / len(dims))), k)
+    return found
+
+
+def with_cells(rows: DataFrame, cells: dict[int, Cells], asked: bool) -> DataFrame:
+    """rows (vec_id, v, dim) with cell: a row for each cell that a query visits, or the nearest one. A length that the sample did not have
+    is cell 0."""
+    shared = rows.sparkSession.sparkContext.broadcast(cells)
+
+    def run(parts):
+        for pdf in parts:
+            for d, own in pdf.groupby("dim", sort=False):
+                if d in shared.value:
+                    near = shared.value[d].nearest(unit(np.stack(own["v"].to_list())), shared.value[d].probes if asked else 1)
+                else:
+                    near = np.zeros((len(own), 1), np.int64)
+                at, which = np.nonzero(near >= 0)
+                yield own.iloc[at].assign(cell=near[at, which].astype("int32"))
+
+    return rows.select("vec_id", "v", "dim").mapInPandas(run, "vec_id long, v array<double>, dim int, cell int")
+
+
 def build_shard(pdf: pd.DataFrame) -> pd.DataFrame:
     pdf = pdf.sort_values("vec_id", kind="stable")
     v = np.stack(pdf["v"].to_list()).astype(np.float64)
     edges, entry = build_graph(unit(v))
-    return pd.DataFrame({"dim": [v.shape[1]], "shard": [int(pdf["shard"].iloc[0])], "ids": [pdf["vec_id"].to_numpy(np.int64).tobytes()], "vectors": [v.tobytes()], "edges": [edges.tobytes()], "entry": [entry]})
+    place = {c: [int(pdf[c].iloc[0])] for c in ("cell", "part")}
+    return pd.DataFrame({"dim": [v.shape[1]], **place, "ids": [pdf["vec_id"].to_numpy(np.int64).tobytes()], "vectors": [v.tobytes()], "edges": [edges.tobytes()], "entry": [entry]})
 
 
 def search_shard(k: int, beam: int):
@@ -153,13 +263,14 @@ def search_shard(k: int, beam: int):
         row = index.iloc[0]
         ids, v = np.frombuffer(row["ids"], np.int64), np.frombuffer(row["vectors"]).reshape(-1, row["dim"])
         edges, own = np.frombuffer(row["edges"], np.int32).reshape(len(ids), -1), np.stack(queries["v"].to_list()).astype(np.float64)
-        found, _ = beam_search(unit(v), edges, int(row["entry"]), unit(own), min(max(beam, 2 * k), len(ids) + EXPAND))
-        found, norms, out = found[:, : 4 * k + 8], np.sqrt((v * v).sum(axis=1)), []
+        found, _ = beam_search(unit(v), edges, int(row["entry"]), unit(own), min(max(beam, 4 * k), len(ids) + EXPAND))
+        norms, out = np.sqrt((v * v).sum(axis=1)), []
         for q, vec, near in zip(queries["vec_id"], own, found, strict=True):
             near = near[(near >= 0)]
             near = near[ids[near] != q]
             score = (v[near] @ vec) / (norms[near] * np.sqrt(vec @ vec))
-            best = np.lexsort((ids[near], -score))[:k]
+            best = np.lexsort((ids[near], -score))
+            best = best[np.sort(np.unique(ids[near[best]], return_index=True)[1])][:k]  # of a repeated id its nearest vector
             out.append(pd.DataFrame({"query_id": q, "vec_id": ids[near[best]], "score": score[best]}))
         return pd.concat(out)
 
@@ -172,22 +283,29 @@ def usable(vectors: DataFrame) -> DataFrame:
     return vectors.select(F.col("vec_id").cast("long").alias("vec_id"), v.alias("v")).where(F.col("vec_id").isNotNull() & F.col("v").isNotNull() & ok).withColumn("dim", F.size("v"))
 
 
+def beside(rows: DataFrame, counts: DataFrame) -> DataFrame:
+    """rows with the counts of their cells, which are sent to every executor if they are few."""
+    return rows.join(F.broadcast(counts) if counts.limit(FEW + 1).count() <= FEW else counts.hint("merge"), ["dim", "cell"])
+
+
 def nearest(vectors: DataFrame, queries: DataFrame, k: int = 5, beam: int = BEAM, shard_rows: int = SHARD_ROWS) -> DataFrame:
     """query_id, rank, vec_id, score: the k nearest found of each row of queries among vectors, (vec_id, embedding) both."""
-    rows = usable(vectors)
+    rows = usable(vectors).dropDuplicates(["vec_id", "v"])
     same = Window.partitionBy("v").orderBy("vec_id")
     rows = rows.withColumn("__n", F.row_number().over(same)).where(F.col("__n") <= k + 1).drop("__n")
     rows = written(rows, "vectors")
-    n = rows.count()
-    shards = max(1, -(-n // shard_rows))
-    rows = rows.withColumn("shard", F.pmod(F.xxhash64("vec_id"), F.lit(shards)).cast("int"))
-    index = written(rows.repartition(shards, "dim", "shard").groupBy("dim", "shard").applyInPandas(build_shard, INDEX), "graphs")
-    asked = written(usable(queries), "queries")
-    blocks = max(1, -(-asked.count() // QUERY_ROWS))
-    every = lambda m: F.explode(F.sequence(F.lit(0), F.lit(m - 1)))
-    asked = asked.withColumn("block", F.pmod(F.xxhash64("vec_id"), F.lit(blocks)).cast("int")).withColumn("shard", every(shards))
-    tables = index.withColumn("block", every(blocks))
-    keys = ["dim", "shard", "block"]
+    cells = fitted(rows, rows.count(), shard_rows, k)
+    dealt = written(with_cells(rows, cells, False), "cells")
+    parts = written(dealt.groupBy("dim", "cell").agg(F.ceil(F.count("*") / shard_rows).cast("int").alias("parts")), "parts")
+    part = F.pmod(F.xxhash64("vec_id"), F.col("parts")).cast("int")
+    index = written(beside(dealt, parts).withColumn("part", part).groupBy("dim", "cell", "part").applyInPandas(build_shard, INDEX), "graphs")
+    asked = written(with_cells(usable(queries).dropDuplicates(["vec_id", "v"]), cells, True), "queries")
+    blocks = asked.groupBy("dim", "cell").agg(F.ceil(F.count("*") / QUERY_ROWS).cast("int").alias("blocks"))
+    sizes = written(parts.join(blocks, ["dim", "cell"]), "sizes")
+    every = lambda c: F.explode(F.sequence(F.lit(0), F.col(c) - 1))
+    asked = beside(asked, sizes).withColumn("block", F.pmod(F.xxhash64("vec_id"), F.col("blocks")).cast("int")).withColumn("part", every("parts")).drop("parts", "blocks")
+    tables = beside(index, sizes).withColumn("block", every("blocks")).drop("parts", "blocks")
+    keys = ["dim", "cell", "part", "block"]
     found = asked.groupBy(*keys).cogroup(tables.groupBy(*keys)).applyInPandas(search_shard(k, beam), "query_id long, vec_id long, score double")
     best = found.groupBy("query_id", "vec_id").agg(F.max("score").alias("score"))
     place = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id"))
