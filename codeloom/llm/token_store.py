@@ -5,7 +5,8 @@ hash of the last `WINDOW` ids says so. The store has three Parquet datasets:
 
 * `placed`: in `kind=chunk` each distinct chunk once: its SHA-256 address, length and ids (little-endian unsigned
   integers); in `kind=use` a row for each chunk of each document;
-* `recipes`: one row for each document, in ascending doc_id order over the files: its chunks' addresses;
+* `recipes`: one row for each document, in ascending doc_id order over the files: its chunks' addresses. A file has about
+  `FILE_DOCS` documents or `FILE_CHUNKS` chunks, so there are more files, never larger ones, where there is more text;
 * `manifest`: one row for each recipe file: its number of documents and ids, and the Merkle root of its documents
   (a document's leaf is the SHA-256 of its id and its addresses).
 
@@ -16,7 +17,8 @@ Encoding keeps a bounded table of ids by chunk of text between blanks: the vocab
 blank, so equal pieces have equal ids. Every piece is encoded by the library.
 
 Edge cases: null text is empty and has only the end id; null doc_ids come first; repeated doc_ids are documents
-of their own, in the order of their texts; an empty table gives empty datasets and an empty result.
+of their own, in the order of a hash of their texts; extra columns, whatever their names, are left out; an empty table gives empty
+datasets and an empty result.
 """
 
 from __future__ import annotations
@@ -35,13 +37,15 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from codeloom.llm.common import new_path, partitions, range_bucket, range_splits, read
+from codeloom.llm.common import new_path, partitions, read
 
 TOKENIZER = "word_bpe_49k.json"
 END_ID = 1
 WINDOW, MEAN, LEAST, MOST = 8, 256, 64, 2048
-#: Pieces of text whose ids a task keeps.
-KNOWN = 300_000
+#: Pieces of text whose ids a task keeps, and the longest of them.
+KNOWN, LONGEST = 300_000, 64
+#: Documents and chunks of a recipe file, and the files of which a row may be sent to every executor.
+FILE_DOCS, FILE_CHUNKS, FEW = 10_000, 50_000, 100_000
 #: Multiplier of the rolling hash, and the mask that a boundary's hash has none of.
 FACTOR, MASK = np.uint64(0x9E3779B97F4A7C15), np.uint64(MEAN - 1)
 CRC_POLY = 0xEDB88320
@@ -117,6 +121,9 @@ class Encoder:
         known, pieces = self.known, coded.dictionary.to_pylist()
         self.learn([p for p in pieces if p not in known])
         held = [known[p] for p in pieces]
+        for p in pieces:
+            if len(p) > LONGEST:
+                known.pop(p, None)
         size = np.fromiter(map(len, held), np.int64, len(held)) // self.type.itemsize
         start, flat, at = np.cumsum(size) - size, np.frombuffer(b"".join(held), dtype=self.type), coded.indices.to_numpy()
         n = size[at]
@@ -259,12 +266,11 @@ def write_store(docs: DataFrame, where: str, path: str, end_id: int = END_ID) ->
     placed.select("doc_id", "order", "uid", "chunk", "address", "n", "ids", kind.alias("kind")).write.option("compression", "zstd").partitionBy("kind").parquet(f"{where}/placed")
     uses = read_placed(spark, where).where("kind = 'use'")
     one = uses.groupBy("doc_id", "order", "uid").agg(F.array_sort(F.collect_list(F.struct("chunk", "address", "n"))).alias("c"))
-    splits = range_splits(docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(-(2**63))).alias("k")), "k")
-    recipes = one.select("doc_id", "order", "uid", F.transform("c", lambda c: c["address"]).alias("addresses"), F.transform("c", lambda c: c["n"]).alias("sizes"), range_bucket(F.col("doc_id"), splits).alias("file"))
-    recipes.repartition(partitions(spark), "file").sortWithinPartitions("file", "doc_id", "order", "uid").write.partitionBy("file").parquet(f"{where}/recipes")
-    stored = read_recipes(spark, where)
-    manifest = stored.groupBy("file").applyInPandas(summed_up, "file int, n_docs long, n_ids long, root binary")
-    manifest.coalesce(1).write.parquet(f"{where}/manifest")
+    n = uses.agg(F.ceil(F.greatest(F.count_if(F.col("chunk") == 0) / FILE_DOCS, F.count("*") / FILE_CHUNKS)).cast("int").alias("n")).first()["n"]
+    recipes = one.select("doc_id", "order", "uid", F.transform("c", lambda c: c["address"]).alias("addresses"), F.transform("c", lambda c: c["n"]).alias("sizes"))
+    recipes = recipes.repartitionByRange(max(1, n or 0), F.asc_nulls_first("doc_id"), "order", "uid").withColumn("file", F.spark_partition_id())
+    recipes.sortWithinPartitions(F.asc_nulls_first("doc_id"), "order", "uid").write.parquet(f"{where}/recipes")
+    read_recipes(spark, where).groupBy("file").applyInPandas(summed_up, "file int, n_docs long, n_ids long, root binary").write.parquet(f"{where}/manifest")
 
 
 def read_recipes(spark: SparkSession, where: str) -> DataFrame:
@@ -339,7 +345,8 @@ def read_back(spark: SparkSession, where: str, width: int) -> DataFrame:
     uses = uses.select("doc_id", "order", "uid", "file", "pos", "c.address", "c.n")
     parts = uses.join(chunk_sums(read_chunks(spark, where), width), "address", "left")
     one = parts.groupBy("file", "doc_id", "order", "uid").agg(F.collect_list(F.struct("pos", "address", "n", "size", "crc")).alias("parts"))
-    return one.join(F.broadcast(manifest), "file").groupBy("file").applyInPandas(check_file, "doc_id long, start long, n_tokens long, ids_crc32 long")
+    manifest = F.broadcast(manifest) if manifest.limit(FEW + 1).count() <= FEW else manifest.hint("merge")
+    return one.join(manifest, "file").groupBy("file").applyInPandas(check_file, "doc_id long, start long, n_tokens long, ids_crc32 long")
 
 
 def ids_of(spark: SparkSession, where: str, width: int) -> DataFrame:
