@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import ctypes
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -14,6 +17,13 @@ WORD = r"[^\x20\x09-\x0D]+"
 BROADCAST_IDS = 1_000_000
 
 
+def give_back() -> None:
+    """Returns a Python process's freed memory to the system: workers live on and share an executor's memory, as the driver does."""
+    pa.default_memory_pool().release_unused()
+    if trim := getattr(ctypes.CDLL(None), "malloc_trim", None):
+        trim(0)
+
+
 def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")
 
@@ -87,7 +97,7 @@ def components(edges: DataFrame, a: str = "a", b: str = "b", rounds: int = 60) -
     """
     first = lambda c: F.struct(F.xxhash64(c).alias("h"), F.col(c).alias("id"))
     left = written(edges.select(F.least(a, b).alias("u"), F.greatest(a, b).alias("v")).where("u <> v").distinct(), "edges")
-    labels = None
+    labels, used = None, []
     for _ in range(rounds):
         both = left.select("u", "v").union(left.select("v", "u"))
         near = both.groupBy("u").agg(F.min(first("v")).alias("n"))
@@ -103,9 +113,10 @@ def components(edges: DataFrame, a: str = "a", b: str = "b", rounds: int = 60) -
         labels = written(labels, "labels")
         ends = left.join(to, "u").select(F.col("to").alias("p"), F.col("v").alias("u")).join(to, "u").select("p", F.col("to").alias("q"))
         rest = written(ends.where("p <> q").select(F.least("p", "q").alias("u"), F.greatest("p", "q").alias("v")).distinct(), "edges")
-        forget(left, once, to, *([before] if before is not None else []))
+        used += [left, once, to, *([before] if before is not None else [])]
         left = rest
         if left.isEmpty():
+            forget(*used)
             least = labels.groupBy("root").agg(F.min("node").alias("component"))
             return labels.join(least, "root").select("node", "component")
     raise RuntimeError(f"edges are left after {rounds} rounds")

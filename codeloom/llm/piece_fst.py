@@ -36,16 +36,16 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from codeloom.llm.common import read
+from codeloom.llm.common import give_back, read
 
 MODEL = "piece_bpe_32k.model"
 SPACE = "▁"
 #: Parts whose paths a worker keeps (twice: new and old), the longest that it keeps, and pairs of pieces whose order it keeps.
-KNOWN, LONGEST, PAIRS = 150_000, 32, 300_000
+KNOWN, LONGEST, PAIRS = 80_000, 32, 300_000
 UNIGRAM, BYTE_PAIR = 1, 2
 NOTHING: dict[str, bool] = {}
-#: Bytes of text that are encoded together.
-SLICE = 4_000_000
+#: Bytes of text that are encoded together, and new parts whose arcs are relaxed together.
+SLICE, TOGETHER = 4_000_000, 10_000
 #: What stands between parts while Arrow cuts a text.
 SEPARATOR = "\x1e"
 PART = re.compile(f"{SPACE}*[^{SPACE}]+|{SPACE}+")
@@ -135,6 +135,7 @@ class Machine:
         self.order: dict[str, dict[str, bool]] = {}
         self.pairs = 0
         self.known, self.old, self.most = {}, {}, known
+        self.tables()
 
     def merged(self, text: str) -> list[str]:
         """The model's merges: always the neighbours that form the piece with the highest score, the leftmost first."""
@@ -206,24 +207,116 @@ class Machine:
         elif state not in to or weight < to[state][0]:
             to[state] = weight, i, u
 
+    def tables(self) -> None:
+        """The machines as arrays, for `relaxed`: the trie's arcs by (state, character), the piece that ends at each state, and the order
+        machine's known arcs."""
+        state = {p: i for i, p in enumerate(["", *self.trie])}
+        arcs = sorted((state[p[:-1]] << 21 | ord(p[-1]), i) for p, i in state.items() if p)
+        self.arc_keys, self.arc_to = (np.array(x, np.int64) for x in zip(*arcs, strict=True))
+        self.piece_at = np.array([self.id.get(p, -1) for p in state], np.int64)
+        self.piece = {i: p for p, i in self.id.items()}
+        weights = np.zeros(max(self.piece, default=0) + 1)
+        weights[list(self.piece)] = [self.trie[p] for p in self.piece.values()]
+        self.weights, self.start = weights, len(weights)  # the order machine's start is numbered after all pieces
+        self.pair_keys, self.pair_told = np.zeros(0, np.int64), np.zeros(0, bool)
+
+    def allowed(self, u: np.ndarray, t: np.ndarray) -> np.ndarray:
+        """Which arcs of the order machine, from pieces u to pieces t, have a finite weight."""
+        key = u << 32 | t
+        at = np.minimum(np.searchsorted(self.pair_keys, key), max(0, len(self.pair_keys) - 1))
+        if not len(self.pair_keys) or (lost := self.pair_keys[at] != key).any():
+            new = np.unique(key[lost] if len(self.pair_keys) else key)
+            if len(self.pair_keys) > PAIRS:
+                self.pair_keys, self.pair_told = np.zeros(0, np.int64), np.zeros(0, bool)
+                new = np.unique(key)
+            told = [self.merged(("" if k >> 32 == self.start else self.piece[k >> 32]) + self.piece[k & 0xFFFFFFFF]) == [x for x in (self.piece.get(k >> 32), self.piece[k & 0xFFFFFFFF]) if x] for k in new.tolist()]
+            keys, told = np.concatenate((self.pair_keys, new)), np.concatenate((self.pair_told, np.array(told, bool)))
+            order = np.argsort(keys, kind="stable")
+            self.pair_keys, self.pair_told = keys[order], told[order]
+            at = np.searchsorted(self.pair_keys, key)
+        return self.pair_told[at]
+
+    def relaxed(self, parts: list[str]) -> list[bytes]:
+        """The ids of many short parts, of characters that are pieces: the relaxation of `path`, for all of them at once, with one state
+        for each position. A part in which a position is reached in two states of the order machine goes to `path`."""
+        n, size = len(parts), np.array([len(p) for p in parts])
+        most, none = int(size.max()), len(self.weights)
+        code = np.zeros((n, most), np.int64)
+        code[np.arange(most) < size[:, None]] = np.frombuffer("".join(parts).encode("utf-32-le"), np.uint32)
+        least, last, back = np.full((n, most + 1), np.inf), np.full((n, most + 1), none), np.zeros((n, most + 1), np.int64)
+        least[:, 0], twice = 0, np.zeros(n, bool)
+        for i in range(most):
+            rows = np.flatnonzero((size > i) & np.isfinite(least[:, i]))
+            state = np.zeros(len(rows), np.int64)
+            for j in range(i + 1, most + 1):
+                inside = size[rows] >= j
+                rows, state = rows[inside], state[inside]
+                key = state << 21 | code[rows, j - 1]
+                at = np.minimum(np.searchsorted(self.arc_keys, key), len(self.arc_keys) - 1)
+                found = self.arc_keys[at] == key
+                rows, state = rows[found], self.arc_to[at[found]]
+                if not len(rows):
+                    break
+                t = self.piece_at[state]
+                own, t = rows[t >= 0], t[t >= 0]
+                if self.ordered and len(own):
+                    fine = self.allowed(last[own, i], t)
+                    own, t = own[fine], t[fine]
+                    twice[own[np.isfinite(least[own, j]) & (last[own, j] != t)]] = True
+                weight = least[own, i] + self.weights[t]
+                less = weight < least[own, j]
+                own, t = own[less], t[less]
+                least[own, j], last[own, j], back[own, j] = weight[less], t, i
+        pieces = np.full((n, most), -1, np.int64)
+        at, k = size.copy(), most
+        while (open_ := np.flatnonzero(at > 0)).size:
+            k -= 1
+            pieces[open_, k] = last[open_, at[open_]]
+            at[open_] = back[open_, at[open_]]
+        good = np.isfinite(least[np.arange(n), size]) & ~twice
+        count, flat = (pieces >= 0).sum(axis=1), pieces[pieces >= 0].astype(self.type)
+        ends = np.cumsum(count)
+        return [flat[e - c : e].tobytes() if ok else self.ids_of(p) for p, e, c, ok in zip(parts, ends.tolist(), count.tolist(), good.tolist(), strict=True)]
+
     def ids_of(self, part: str) -> bytes:
         found = []
         for p in self.path(part):
             found += [self.id[p]] if p in self.id else [self.bytes[b] for b in p.encode()]
         return np.array(found, dtype=self.type).tobytes()
 
+    def cut(self, part: str) -> list[str]:
+        """A part, cut where no piece spans its neighbours, so that words share paths with and without marks."""
+        inside, at, found = self.inside, 0, []
+        for i in range(1, len(part)):
+            if part[i - 1 : i + 1] not in inside:
+                found.append(part[at:i])
+                at = i
+        return [*found, part[at:]] if part else []
+
+    def learn(self, parts: list[str]) -> list[bytes]:
+        """Ids of parts that the table does not have."""
+        known, old, told, inside = self.known, self.old, {}, self.inside
+        cuts, short = [], []
+        for p in parts:
+            own = [p] if all(map(inside.__contains__, map(str.__add__, p, p[1:]))) else self.cut(p)
+            for c in own:
+                if c not in told:
+                    ids = told[c] = known.get(c) or old.get(c)
+                    if ids is None and 1 < len(c) <= LONGEST:
+                        short.append(c)
+                    elif ids is None:
+                        told[c] = self.ids_of(c)
+            cuts.append(own)
+        for lo in range(0, len(short), TOGETHER):
+            some = short[lo : lo + TOGETHER]
+            told.update(zip(some, self.relaxed(some), strict=True))
+        out = [told[own[0]] if len(own) == 1 else b"".join([told[c] for c in own]) for own in cuts]
+        for c, ids in (*told.items(), *zip(parts, out, strict=True)):
+            self.keep(c, ids)
+        return out
+
     def look_up(self, part: str) -> bytes:
-        """Ids of a part; it is cut where no piece spans its neighbours, so that words share paths with and without marks."""
-        found, at = [], 0
-        for i in range(1, len(part) + 1):
-            if i == len(part) or part[i - 1 : i + 1] not in self.inside:
-                p, at = part[at:i], i
-                ids = self.known.get(p) or self.old.get(p) or self.ids_of(p)
-                self.keep(p, ids)
-                found.append(ids)
-        ids = b"".join(found)
-        self.keep(part, ids)
-        return ids
+        return self.old.get(part) or self.learn([part])[0]
 
     def keep(self, part: str, ids: bytes) -> None:
         if len(part) <= LONGEST:
@@ -243,7 +336,12 @@ class Machine:
         spaced = pc.replace_substring(pc.if_else(pc.equal(texts, ""), "", pc.binary_join_element_wise(SPACE, texts, "")), " ", SPACE)
         lists = pc.split_pattern(pc.replace_substring_regex(spaced, f"({SPACE}*[^{SPACE}]+|{SPACE}+)", rf"\1{SEPARATOR}"), SEPARATOR)
         coded = lists.flatten().dictionary_encode()
-        held = [(self.known.get(p) or self.look_up(p)) if p else b"" for p in coded.dictionary.to_pylist()]
+        parts = coded.dictionary.to_pylist()
+        known, old = self.known, self.old
+        held = [known.get(p) or old.get(p) if p else b"" for p in parts]
+        new = [i for i, ids in enumerate(held) if ids is None]
+        for i, ids in zip(new, self.learn([parts[i] for i in new]), strict=True):
+            held[i] = ids
         size = np.fromiter(map(len, held), np.int64, len(held)) // self.type.itemsize
         start, flat, at = np.cumsum(size) - size, np.frombuffer(b"".join(held), dtype=self.type), coded.indices.to_numpy()
         n = size[at]
@@ -287,6 +385,7 @@ def encode(docs: DataFrame, path: str | None = None) -> DataFrame:
                 ids = machine.encode_all(pc.fill_null(part.column(1), ""))
                 decoded = pa.array([machine.decode(x) if known else None for known, x in zip(part.column(1).is_valid().to_pylist(), ids, strict=True)], pa.string())
                 yield pa.RecordBatch.from_arrays([part.column(0), lists_of(ids), decoded], names=["doc_id", "ids", "decoded"])
+        give_back()
 
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(run, "doc_id long, ids array<int>, decoded string")
 
@@ -301,6 +400,7 @@ def encoded(docs: DataFrame, path: str | None = None) -> DataFrame:
         for texts in batches:
             texts = pc.fill_null(texts, "")
             yield pa.concat_arrays([lists_of(machine.encode_all(texts.slice(lo, n))) for lo, n in sliced(texts)] or [pa.array([], pa.list_(pa.int32()))])
+        give_back()
 
     columns = [c for c in docs.columns if c.lower() != "piece_ids"]
     return docs.select(*columns, run(F.col("text").cast("string")).alias("piece_ids"))
@@ -324,6 +424,7 @@ def digest(docs: DataFrame, path: str | None = None) -> DataFrame:
                     rows.append((len(ids), zlib.crc32(ids.astype("<u4").tobytes()), int(single[ids].sum()), hashlib.sha256(back.encode()).hexdigest(), back == t))
                 n, crc, few, sha, same = zip(*rows, strict=True)
                 yield pa.RecordBatch.from_arrays([part.column(0), pa.array(n, pa.int64()), pa.array(crc, pa.int64()), pa.array(few, pa.int64()), pa.array(sha), pa.array(same)], names=["doc_id", "n_pieces", "ids_crc32", "n_bytes", "decoded_sha256", "round_trip"])
+        give_back()
 
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(run, "doc_id long, n_pieces long, ids_crc32 long, n_bytes long, decoded_sha256 string, round_trip boolean")
 

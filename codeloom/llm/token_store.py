@@ -37,7 +37,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from codeloom.llm.common import new_path, partitions, read
+from codeloom.llm.common import give_back, new_path, partitions, read
 
 TOKENIZER = "word_bpe_49k.json"
 END_ID = 1
@@ -248,6 +248,7 @@ def encode_chunks(docs: DataFrame, path: str, end_id: int) -> DataFrame:
                 take = pa.array(rows, pa.int32())
                 columns = [*(part.column(c).take(take) for c in range(3)), pa.array(chunks, pa.int32()), pa.array(addresses, pa.binary()), pa.array(sizes, pa.int32()), pa.array(data, pa.binary())]
                 yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "order", "uid", "chunk", "address", "n", "ids"])
+        give_back()
 
     return docs.mapInArrow(run, "doc_id long, order long, uid long, chunk int, address binary, n int, ids binary")
 
