@@ -51,11 +51,16 @@ def written(df: DataFrame, name: str) -> DataFrame:
     return out
 
 
+def settle(spark: SparkSession) -> None:
+    """Lets Spark remove the shuffle files and broadcasts of finished queries: it does so only for what the driver's garbage collector
+    has found, and its own timer for that is half an hour."""
+    spark._jvm.System.gc()
+
+
 def forget(*tables: DataFrame) -> None:
-    """Deletes tables of `written` that nothing will read again, and lets Spark remove the shuffle files and broadcasts of finished
-    queries, which it does only for what the driver's garbage collector has found (its own timer for that is half an hour)."""
+    """Deletes tables of `written` that nothing will read again, and what is left of finished queries."""
     for t in tables:
         path = t.sparkSession._jvm.org.apache.hadoop.fs.Path(t._kept_at)
         path.getFileSystem(t.sparkSession._jsparkSession.sessionState().newHadoopConf()).delete(path, True)
     if tables:
-        tables[0].sparkSession._jvm.System.gc()
+        settle(tables[0].sparkSession)
