@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from codeloom.session import forget, new_path, written  # noqa: F401  (used by the operators)
+from codeloom.session import forget, new_path, settle, written  # noqa: F401  (used by the operators)
 
 #: Words of a text, as the contracts of this package define them.
 WORD = r"[^\x20\x09-\x0D]+"
