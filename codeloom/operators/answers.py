@@ -114,9 +114,10 @@ def used_symbols(targets: DataFrame, symbols: DataFrame, most: int = 12) -> Data
 
 
 def picked(requests: DataFrame, files: DataFrame) -> DataFrame:
-    """requests (id, file_id, path) with the file that is meant, or why there is none. files: (file_id, path, status, reason)."""
+    """requests (id, file_id, path) with the file that is meant (of a repeated path the first), or why there is none. files: (file_id,
+    path, status, reason)."""
     by_id = files.select(F.col("file_id"), F.col("path").alias("id_path"), F.col("status").alias("id_status"), F.col("reason").alias("id_reason"))
-    by_path = files.select("path", F.col("status").alias("path_status"), F.col("reason").alias("path_reason"))
+    by_path = files.groupBy("path").agg(F.min_by(F.struct("status", "reason"), "file_id").alias("f")).select("path", F.col("f.status").alias("path_status"), F.col("f.reason").alias("path_reason"))
     r = requests.join(by_id, "file_id", "left").join(by_path, "path", "left")
     asked = F.col("file_id").isNotNull()
     path, status, reason = (F.when(asked, F.col(f"id_{c}")).otherwise(F.col(p)) for c, p in (("path", "path"), ("status", "path_status"), ("reason", "path_reason")))

@@ -34,7 +34,7 @@ def src10_snippets(spark, sf_dir):
 
 def src18_lookup(spark, sf_dir):
     """Each request's file by its path."""
-    f = files(spark, sf_dir).select("path", "project_id", "size_bytes")
+    f = files(spark, sf_dir).groupBy("path").agg(F.min_by("size_bytes", "doc_id").alias("size_bytes"))  # the first of a repeated path
     asked = table(spark, sf_dir, "orders").select("o_orderkey", F.col("o_custkey").alias("doc_id")).join(files(spark, sf_dir).select("doc_id", "path"), "doc_id", "left")
     return asked.join(f, "path", "left").select("o_orderkey", "path", "size_bytes")
 
@@ -375,7 +375,7 @@ ORACLES = {
       ELSE trim(regexp_replace(CASE i % 7 WHEN 1 THEN 'a/' || u ELSE u END, '/+', '/', 'g'), '/') END AS path FROM n""",
     "src9_uploaded_files": "SELECT l_orderkey, count(*) AS files, count(*) - count(DISTINCT l_partkey % 3) AS repeated FROM lineitem GROUP BY 1",
     "src10_snippets": "SELECT role, count(*) AS snippets, CAST(sum(length(text)) AS BIGINT) AS chars FROM conversations WHERE trim(text) <> '' AND NOT contains(text, chr(0)) AND length(text) <= 100000 GROUP BY 1",
-    "src18_lookup": f"WITH {FILES_SQL} SELECT o_orderkey, path, size_bytes FROM orders LEFT JOIN files ON doc_id = o_custkey",
+    "src18_lookup": f"WITH {FILES_SQL}, g AS (SELECT path, arg_min(size_bytes, doc_id) AS size_bytes FROM files GROUP BY 1) SELECT o_orderkey, f.path, g.size_bytes FROM orders LEFT JOIN files f ON doc_id = o_custkey LEFT JOIN g ON g.path = f.path",
     "src20b_split": "SELECT unnest(['all', CASE WHEN doc_id % 5 = 0 THEN 'heldout' ELSE 'dev' END]) AS split, count(*) AS fixtures, CAST(sum(toxic) AS BIGINT) AS bugs FROM labels GROUP BY 1",
     "flt6_folder": f"WITH {FILES_SQL} SELECT doc_id, path FROM files WHERE doc_id % 10 <> 3",
     "flt7_uploads": f"""WITH {FILES_SQL}, g AS (SELECT project_id, doc_id % 7 AS kind, count(*) AS n, sum(size_bytes) AS t, bool_and(doc_id % 31 <> 0 AND doc_id % 7 NOT IN (4, 6)) AS s, max(size_bytes) AS m FROM files GROUP BY 1, 2)
