@@ -150,12 +150,12 @@ def test_stages_keep_clashing_columns_and_repeated_rows(spark):
     kept = toxicity.reject(twice, labels)
     assert kept.columns == df.columns and kept.where("doc_id = 41").count() == 2
     clean = secrets.redact(twice)
-    assert clean.columns == df.columns and clean.count() == 44
+    assert clean.columns == df.columns and clean.count() == 46
     assert [r.text for r in clean.where("doc_id = 40").collect()] == ["key [SECRET] é"] * 2 and {r.n_chars for r in clean.where("doc_id = 40").collect()} == {14}
     mix = mixing.take_mix(twice)
     assert mix.columns == df.columns and mix.count() > 0
     both = piece_fst.encoded(twice)
-    assert both.columns == [*df.columns, "piece_ids"] and both.count() == 44
+    assert both.columns == [*df.columns, "piece_ids"] and both.count() == 46
     for f in (secrets.redact, mixing.take_mix, piece_fst.encoded, lambda d: toxicity.reject(d, labels)):
         assert f(df.limit(0)).count() == 0
 
