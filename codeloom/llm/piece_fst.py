@@ -41,7 +41,7 @@ from codeloom.llm.common import give_back, read
 MODEL = "piece_bpe_32k.model"
 SPACE = "▁"
 #: Parts whose paths a worker keeps (twice: new and old), the longest that it keeps, and pairs of pieces whose order it keeps.
-KNOWN, LONGEST, PAIRS = 80_000, 32, 300_000
+KNOWN, LONGEST, PAIRS = 200_000, 32, 300_000
 UNIGRAM, BYTE_PAIR = 1, 2
 NOTHING: dict[str, bool] = {}
 #: Bytes of text that are encoded together, and new parts whose arcs are relaxed together.
