@@ -4,7 +4,9 @@ from __future__ import annotations
 
 import ctypes
 
+import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -24,6 +26,16 @@ def give_back() -> None:
         trim(0)
 
 
+def byte_runs(texts: pa.Array, most: int) -> list[tuple[int, int]]:
+    """(first row, rows) of runs of rows with about `most` bytes of text or binary; a longer one is in a run with few others."""
+    if not len(texts):
+        return []
+    group = np.cumsum(pc.fill_null(pc.binary_length(texts), 0).to_numpy(zero_copy_only=False).astype(np.int64)) // most
+    first = np.flatnonzero(np.diff(group, prepend=-1))
+    first[0] = 0
+    return list(zip(first.tolist(), np.diff(np.append(first, len(texts))).tolist(), strict=True))
+
+
 def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")
 
