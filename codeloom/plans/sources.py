@@ -4,7 +4,10 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from codeloom.sources import modules as M
+from codeloom.sources import pages as H
 from codeloom.sources import parsers as P
+from codeloom.sources import scripts as S
 from codeloom.sources.tables import table
 
 MODULE = ['"""Part %1$d."""', "import pkg%2$d.m%3$d", "from os import path as p", "", "LIMIT = %1$d", "", "", "class Part%1$d(Base):", '    """One part."""', "", "    def size(self):", "        return 1", "", "", "async def load_%1$d(items, seen=[]):", "    for i in range(len(items)%4$s):", "        print(items[i])", "    %5$s", "    if items %6$s 'x':", "        return 1", "", "%7$s", "%8$s"]
@@ -19,18 +22,18 @@ def modules(spark, sf_dir):
 
 
 def prs1_symbols(spark, sf_dir):
-    rows = P.parse_modules(modules(spark, sf_dir)).where("row in ('symbol', 'guard')")
+    rows = M.module_symbols(M.module_nodes(modules(spark, sf_dir)))
     return rows.select("path", "name", "kind", F.col("start").cast("long").alias("start"), F.col("end").cast("long").alias("end"))
 
 
 def prs1_imports(spark, sf_dir):
-    rows = P.parse_modules(modules(spark, sf_dir)).where("row = 'ref'")
-    return rows.select("path", F.col("name").alias("specifier"), F.col("start").cast("long").alias("line"), F.array_join("names", ",").alias("names"), F.col("level").cast("long").alias("level"))
+    rows = M.module_refs(M.module_nodes(modules(spark, sf_dir)))
+    return rows.select("path", "specifier", F.col("line").cast("long").alias("line"), F.array_join("names", ",").alias("names"), F.col("level").cast("long").alias("level"))
 
 
 def rul_modules(spark, sf_dir):
-    rows = P.parse_modules(modules(spark, sf_dir)).where("row = 'hit'")
-    return rows.select("path", F.col("name").alias("rule"), F.col("start").cast("long").alias("start"), F.col("end").cast("long").alias("end"))
+    rows = M.module_hits(M.module_nodes(modules(spark, sf_dir)))
+    return rows.select("path", "rule", F.col("line").cast("long").alias("start"), F.col("end").cast("long").alias("end"))
 
 
 def scripts(spark, sf_dir):
@@ -40,15 +43,15 @@ def scripts(spark, sf_dir):
 
 
 def prs4_script_refs(spark, sf_dir):
-    return P.script_refs(P.script_tokens(scripts(spark, sf_dir))).select("path", "kind", "specifier", F.col("line").cast("long").alias("line"))
+    return S.script_refs(S.script_tokens(scripts(spark, sf_dir))).select("path", "kind", "specifier", F.col("line").cast("long").alias("line"))
 
 
 def prs4_script_functions(spark, sf_dir):
-    return P.script_functions(P.script_tokens(scripts(spark, sf_dir))).select("path", "name", "kind", F.col("line").cast("long").alias("line"), "exported")
+    return S.script_functions(S.script_tokens(scripts(spark, sf_dir))).select("path", "name", "kind", F.col("line").cast("long").alias("line"), "exported")
 
 
 def rul_scripts(spark, sf_dir):
-    return P.script_hits(P.script_tokens(scripts(spark, sf_dir))).select("path", "rule", F.col("line").cast("long").alias("line"))
+    return S.script_hits(S.script_tokens(scripts(spark, sf_dir))).select("path", "rule", F.col("line").cast("long").alias("line"))
 
 
 def prs6_styles(spark, sf_dir):
@@ -60,7 +63,7 @@ def prs6_styles(spark, sf_dir):
 
 def prs5_pages(spark, sf_dir):
     files = table(spark, sf_dir, "pages").select(F.lit("all").alias("project_id"), F.col("page_id").cast("string").alias("path"), F.col("html").alias("text"))
-    return P.parse_pages(files).select(F.col("path").cast("long").alias("page_id"), F.col("inline_scripts").cast("long").alias("scripts"), F.col("inline_styles").cast("long").alias("styles"), F.col("title").isNotNull().alias("titled"), F.size("ids").cast("long").alias("ids"))
+    return H.parse_pages(files).select(F.col("path").cast("long").alias("page_id"), F.col("inline_scripts").cast("long").alias("scripts"), F.col("inline_styles").cast("long").alias("styles"), F.col("title").isNotNull().alias("titled"), F.size("ids").cast("long").alias("ids"))
 
 
 QUERIES = {f.__name__: f for f in (prs1_symbols, prs1_imports, rul_modules, prs4_script_refs, prs4_script_functions, rul_scripts, prs5_pages, prs6_styles)}

@@ -5,7 +5,7 @@ import zipfile
 from pyspark.sql import functions as F
 
 from codeloom.operators import evidence, graph, packing, ranges
-from codeloom.sources import archives, parsers
+from codeloom.sources import archives, modules
 from codeloom.streaming import sessions
 
 
@@ -84,7 +84,7 @@ def test_rules_stay_silent_on_guarded_code(spark):
     quiet = ["def f(x):\n    for i in range(len(x) + 1):\n        if i < len(x):\n            print(x[i])\n", "def f(x):\n    try:\n        for i in range(len(x) + 1):\n            print(x[i])\n    except IndexError:\n        pass\n", "def f(a=[]):\n    a = a or []\n    a.append(1)\n", "def f(x):\n    best = x[0]\n    for i in range(1, len(x)):\n        best = max(best, x[i])\n"]
     loud = ["def f(x):\n    for i in range(1, len(x)):\n        print(x[i])\n"]
     df = spark.createDataFrame([("p", str(i), t) for i, t in enumerate(quiet + loud)], "project_id string, path string, text string")
-    assert rows(parsers.parse_modules(df).where("row = 'hit'"), "path", "name") == [("4", "PY_SKIPS_FIRST_ITEM")]
+    assert rows(modules.module_hits(modules.module_nodes(df)), "path", "rule") == [("4", "PY_SKIPS_FIRST_ITEM")]
 
 
 def test_session_stream_matches_batch(spark, tmp_path):
