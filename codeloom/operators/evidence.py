@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from codeloom.functions import text as T
+from codeloom.operators.running import in_ranges, sum_before
 
 MIN_QUOTE_LETTERS = 8
 
@@ -108,14 +109,31 @@ def survivors(findings: DataFrame, most: int = 3) -> DataFrame:
     return first.withColumn("finding_id", F.concat(F.lit("F"), F.row_number().over(Window.partitionBy("request_id").orderBy("ord")).cast("string")))
 
 
-ASSUMPTION = r"(?i)\b(if|when|unless)\b.{0,40}\b(empty|missing|null|none|negative|zero|invalid)\b"
+#: Claims about inputs that the code was never shown to receive (fixed values): the words, and the Python value None unless "of" follows.
+ASSUMED = [
+    r"empty", r"blank", r"null", r"undefined", r"nan", r"(?:un)?validat\w*", r"(?:un)?sanitiz\w*", r"(?:un)?sanitis\w*", r"(?:error|input|exception)\s+handling",
+    r"(?:invalid|unexpected|unusual|malformed|improper|illegal|negative|non-numeric|non-integer|incorrect\s+type|wrong\s+type)\s+(?:\w+\s+){0,2}?(?:input|value|argument|parameter|data|type|format|number|quantit\w+|price)s?",
+    r"(?:missing|lack\s+of|lacks|lacking|without|no|insufficient|absent)\s+(?:\w+\s+){0,3}?(?:checks?|checking|handling|validation|guards?|verification)",
+    r"(?:missing|absent)\s+(?:input|value|argument|parameter|data|field|key|element|item)s?", r"edge[\s-]cases?", r"corner[\s-]cases?", r"boundary\s+(?:case|condition|check)s?",
+    r"divi(?:sion|de|ded|ding)\s+by\s+(?:zero|0)", r"by\s+zero", r"zerodivisionerror", r"unhandled\s+(?:input|value|case)s?",
+]
+ASSUMED_VALUE = r"\bNone\b(?!\s+of\b)"
+#: How much of a problem's text is read for it (fixed value).
+PROBLEM_CHARS = 90
+
+
+def assumes_input(title: Column, problem: Column) -> Column:
+    """Whether a finding's title or the beginning of its problem is about inputs alone."""
+    text = F.concat(F.coalesce(title, F.lit("")), F.lit(". "), F.substring(F.coalesce(problem, F.lit("")), 1, PROBLEM_CHARS))
+    return text.rlike(rf"(?iU)\b(?:{'|'.join(ASSUMED)})\b") | text.rlike(ASSUMED_VALUE)
 
 
 def tiered(findings: DataFrame) -> DataFrame:
-    """findings (request_id, ord, verification, in_demo, title, corroborated) with reasons, tier and place."""
+    """findings (request_id, ord, verification, in_demo, title, corroborated, and problem if they have one) with reasons, tier and place."""
+    problem = F.col("problem") if "problem" in findings.columns else F.lit("")
     reasons = F.array_compact(F.array(
         F.when(F.col("verification") == "unsupported", "LOCATION_NOT_VERIFIED").when(F.col("verification") == "hypothesis", "QUOTE_NOT_MATCHED"), F.when(F.col("in_demo"), "IN_DEMO_CODE"),
-        F.when(F.substring("title", 1, 90).rlike(ASSUMPTION), "INPUT_ASSUMPTION"), F.when(F.col("corroborated"), "CORROBORATED_BY_RULE"),
+        F.when(assumes_input(F.col("title"), problem), "INPUT_ASSUMPTION"), F.when(F.col("corroborated"), "CORROBORATED_BY_RULE"),
     ))
     rows = findings.withColumn("reasons", reasons)
     tier = F.when(F.col("corroborated") | (F.size("reasons") == 0), "possible_problem").otherwise("worth_checking")
@@ -124,11 +142,18 @@ def tiered(findings: DataFrame) -> DataFrame:
 
 
 def latency(rows: DataFrame, value: str, *keys: str) -> DataFrame:
-    """n, median, nearest-rank 90th percentile (half-even place) and maximum of each group."""
-    sorted_ = F.array_sort(F.collect_list(value))
-    return rows.groupBy(*keys).agg(F.count(value).alias("n"), F.median(value).alias("median"), F.max(value).alias("max"), sorted_.alias("__s")).withColumn(
-        "p90", F.element_at("__s", (F.bround(F.lit(0.9) * (F.size("__s") - 1)) + 1).cast("int"))
-    ).drop("__s")
+    """n, median, nearest-rank 90th percentile (half-even place) and maximum of each group, from counts of its distinct values over
+    ranges of them: no group meets in one task."""
+    keys = list(keys)
+    counts = rows.where(F.col(value).isNotNull()).groupBy(*keys, value).agg(F.count("*").alias("c"))
+    ranged = sum_before(in_ranges(counts, keys, [value]), keys, [value], "c", "before")
+    sizes = rows.groupBy(*keys).agg(F.count(value).alias("n"), F.max(value).alias("max"))
+    held = sizes.select(*[F.col(k).alias(f"_{k}") for k in keys], "n", "max")
+    both = held.join(ranged, [F.col(k).eqNullSafe(F.col(f"_{k}")) for k in keys], "left")
+    at = lambda place: F.max(F.when((F.col("before") <= place) & (place < F.col("before") + F.col("c")), F.col(value)))
+    last = F.col("n") - 1
+    found = both.groupBy(*[F.col(f"_{k}").alias(k) for k in keys], "n", "max").agg(at(F.floor(last / 2)).alias("lo"), at(F.ceil(last / 2)).alias("hi"), at(F.bround(F.lit(0.9) * last)).alias("p90"))
+    return found.select(*keys, "n", ((F.col("lo") + F.col("hi")) / 2).alias("median"), "max", "p90")
 
 
 def rates(rows: DataFrame, *keys: str) -> DataFrame:

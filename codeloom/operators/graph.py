@@ -227,6 +227,45 @@ def cycles(edges: DataFrame) -> DataFrame:
     return out.withColumn("size", F.size("files").cast("long"))
 
 
+def loops(edges: DataFrame, rounds: int = 1000) -> DataFrame:
+    """(component, length, files): for each component of `cycles` a shortest loop through its first member, of equally short ones the first by
+    its path; files begin with that member.
+
+    Breadth-first search runs backwards from all first members at once, inside their components, until each is met again: so every node knows how
+    many steps lead back. From there each node's next one is its first neighbour that is a step nearer, and the path is written by
+    doubling: what is 2^k places on is known for every node before the places themselves are filled in as many rounds."""
+    e = saved(edges.select("source", "target").where("source is not null and target is not null").distinct())
+    found = cycles(e)
+    member = saved(found.select("component", F.explode("files").alias("node")))
+    ends = lambda c: member.select(F.col("component").alias(f"_{c}"), F.col("node").alias(c))
+    inner = saved(e.join(ends("source"), "source").join(ends("target"), "target").where("_source = _target").select(F.col("_source").alias("component"), "source", "target"))
+    back = front = saved(inner.where("target = component").select("component", F.col("source").alias("node"), F.lit(1).alias("steps")))
+    for steps in range(2, rounds):
+        closed = back.where("node = component").select("component")
+        step = front.join(closed, "component", "left_anti").select("component", F.col("node").alias("target")).join(inner, ["component", "target"]).select("component", F.col("source").alias("node")).distinct()
+        front = saved(step.join(back, ["component", "node"], "left_anti").withColumn("steps", F.lit(steps)))
+        if front.isEmpty():
+            break
+        back = saved(back.unionByName(front))
+    else:
+        raise RuntimeError("a loop is longer than rounds")
+    lengths = saved(back.where("node = component").select("component", F.col("steps").alias("length")))
+    near = back.select("component", F.col("node").alias("target"), (F.col("steps") + 1).alias("steps")).unionByName(lengths.select("component", F.col("component").alias("target"), F.lit(1).alias("steps")))
+    jump = back.withColumnRenamed("node", "source").join(inner, ["component", "source"]).join(near, ["component", "target", "steps"])
+    jump = saved(jump.groupBy("component", F.col("source").alias("node")).agg(F.min("target").alias("to")))
+    path, jumps, far = lengths.select("component", "length", F.lit(0).alias("pos"), F.col("component").alias("node")), [jump], 1
+    longest = lengths.agg(F.max("length")).first()[0] or 0
+    while 2**far < longest:
+        last = jumps[-1]
+        jumps.append(saved(last.withColumnRenamed("to", "via").join(last.select("component", F.col("node").alias("via"), "to"), ["component", "via"]).select("component", "node", "to")))
+        far += 1
+    for k in reversed(range(len(jumps))):
+        on = path.join(jumps[k], ["component", "node"]).where(F.col("pos") + 2**k < F.col("length"))
+        path = saved(path.unionByName(on.select("component", "length", (F.col("pos") + 2**k).alias("pos"), F.col("to").alias("node"))))
+    rows = path.groupBy("component", "length").agg(F.array_sort(F.collect_list(F.struct("pos", "node"))).alias("p"))
+    return rows.select("component", F.col("length").cast("long").alias("length"), F.transform("p", lambda p: p["node"]).alias("files"))
+
+
 def distances(edges: DataFrame, start: str, rounds: int = 1000) -> DataFrame:
     """(node, hops, via): breadth-first from start; via is the smallest node that leads there in as few hops."""
     e = edges.select("source", "target").where("target is not null").distinct()

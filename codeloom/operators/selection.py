@@ -6,6 +6,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from codeloom.operators.packing import FEW, greedy_packed
+from codeloom.operators.running import in_ranges, sum_before
+
 
 def best_exercise(requests: DataFrame, exercises: DataFrame) -> DataFrame:
     """(request_id, id, matched): of the exercises in the language and difficulty the one with most concepts in common."""
@@ -28,21 +31,20 @@ def clamped(citations: DataFrame, excerpts: DataFrame) -> DataFrame:
     return both.withColumn("n", first).where("n = 1").select("id", "file", F.greatest("start", "a").alias("start"), F.least("end", "z").alias("end"))
 
 
-def quota(items: DataFrame, most_files: int, most_bytes: int, *keys: str) -> DataFrame:
+def quota(items: DataFrame, most_files: int, most_bytes: int, *keys: str, few: int = FEW) -> DataFrame:
     """(keys, ord, taken): files taken in order while there are fewer than most_files and the bytes still fit; a file
-    that does not fit uses up nothing."""
-    rows = items.groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct("ord", F.col("size").cast("long").alias("size")))).alias("i"))
-    kind = items.schema["ord"].dataType.simpleString()
-    start = F.struct(F.lit(0).alias("n"), F.lit(0).cast("long").alias("bytes"), F.array().cast(f"array<struct<ord:{kind},taken:boolean>>").alias("out"))
-    fits = lambda a, x: (a["n"] < most_files) & (a["bytes"] + x["size"] <= most_bytes)
-    step = lambda a, x: F.struct((a["n"] + fits(a, x).cast("int")).alias("n"), (a["bytes"] + F.when(fits(a, x), x["size"]).otherwise(0)).alias("bytes"), F.concat(a["out"], F.array(F.struct(x["ord"].alias("ord"), fits(a, x).alias("taken")))).alias("out"))
-    return rows.select(*keys, F.explode(F.aggregate("i", start, step, lambda a: a["out"])).alias("o")).select(*keys, "o.ord", "o.taken")
+    that does not fit uses up nothing. What the bytes alone let through decides which are the first most_files."""
+    packed = greedy_packed(items, most_bytes, "size", ["ord"], *keys, few=few)
+    rows = in_ranges(packed.withColumn("one", F.col("placed").cast("long")), list(keys), ["ord"])
+    counted = sum_before(rows, list(keys), ["ord"], "one", "n")
+    return counted.select(*keys, "ord", (F.col("placed") & (F.col("n") < most_files)).alias("taken"))
 
 
 def review_sheet(items: DataFrame, seed: int, key: str) -> DataFrame:
-    """items in an order that the seed decides, with blind ids A001, A002, ..."""
-    place = F.row_number().over(Window.orderBy(F.md5(F.concat(F.col(key).cast("string"), F.lit(f"/{seed}"))), key))
-    return items.withColumn("sheet_id", F.format_string("A%03d", place))
+    """items in an order that the seed decides, with blind ids A001, A002, ... Places are counted over ranges of the order."""
+    dealt = items.withColumns({"_place": F.md5(F.concat(F.col(key).cast("string"), F.lit(f"/{seed}"))), "_one": F.lit(1)})
+    counted = sum_before(in_ranges(dealt, [], ["_place", key]), [], ["_place", key], "_one", "_n")
+    return counted.withColumn("sheet_id", F.format_string("A%03d", (F.col("_n") + 1).cast("int"))).drop("_place", "_one", "_n", "bucket")
 
 
 def unknown_names(answers: DataFrame, known: DataFrame) -> DataFrame:

@@ -99,6 +99,20 @@ def grf3_hops(spark, sf_dir):
     return G.distances(edges, 1).select("node", F.col("hops").cast("long").alias("hops"), "via")
 
 
+def grf3_edges(spark, sf_dir):
+    """Parts in rings of five, with a way across each second ring and one back from each third."""
+    k = F.col("p_partkey")
+    p = table(spark, sf_dir, "part").select(k)
+    ring = p.select(k.alias("source"), F.when(k % 5 == 4, k - 4).otherwise(k + 1).alias("target"))
+    across = p.where((k % 10 == 1)).select(k.alias("source"), (k + 2).alias("target"))
+    return ring.union(across).union(p.where(k % 15 == 2).select(k.alias("source"), (k - 2).alias("target"))).union(p.where(k % 35 == 0).select(k.alias("source"), k.alias("target")))
+
+
+def grf3_loops(spark, sf_dir):
+    found = G.loops(grf3_edges(spark, sf_dir))
+    return found.select("component", "length", F.array_join(F.transform("files", lambda x: x.cast("string")), ",").alias("files"))
+
+
 def grf6_relationships(spark, sf_dir):
     edges = script_edges(spark, sf_dir).withColumn("project_id", F.split("source", "/")[0])
     return G.relationships(edges).select("project_id", "source", "specifier", "status", F.col("place").cast("long").alias("place"))
@@ -169,7 +183,7 @@ def agg12_totals(spark, sf_dir):
     return r.select(F.coalesce(F.col("quality").cast("string"), F.lit("TOTAL")).alias("quality"), "rows", "toxic")
 
 
-QUERIES = {f.__name__: f for f in (jn1_resolve_scripts, jn2_resolve_web, jn3_resolve_modules, jn6_missing, agg3_degrees, agg4_externals, grf2_cycles, grf3_hops, grf4_entry_points, grf6_relationships, ver1_location, ver3_findings, jn22_quotes, tri2_tiers, agg8_rates, agg10_latency, agg12_totals, agg19_grade)}
+QUERIES = {f.__name__: f for f in (jn1_resolve_scripts, jn2_resolve_web, jn3_resolve_modules, jn6_missing, agg3_degrees, agg4_externals, grf2_cycles, grf3_hops, grf3_loops, grf4_entry_points, grf6_relationships, ver1_location, ver3_findings, jn22_quotes, tri2_tiers, agg8_rates, agg10_latency, agg12_totals, agg19_grade)}
 REFS_SQL = f"x AS (SELECT DISTINCT {KEYS}, l_partkey AS s, {TARGET} AS t FROM lineitem), y AS (SELECT x.*, p_partkey IS NOT NULL AND t % 10 <> 0 AS there, t % 10 <> 1 AS kept FROM x LEFT JOIN part ON p_partkey = t)"
 SCRIPTS_SQL = f"""{REFS_SQL}, e AS (SELECT 'pkg' || (s % 7) || '/m' || s || '.js' AS source,
   CASE l_linenumber WHEN 1 THEN './../pkg' || (t % 7) || '/m' || t WHEN 2 THEN '../pkg' || (t % 7) || '/m' || t || '.js' WHEN 3 THEN 'lib' || l_suppkey || '/x' WHEN 4 THEN 'node:fs' WHEN 5 THEN 'https://x.org/y.js' WHEN 6 THEN '/pkg' || (t % 7) || '/m' || t ELSE '@/alias' END AS specifier,
@@ -196,6 +210,13 @@ ORACLES = {
       SELECT DISTINCT min(b) AS component, count(*) AS size, string_agg(b::VARCHAR, ',' ORDER BY b) AS files FROM s GROUP BY a""",
     "grf3_hops": """WITH RECURSIVE e AS (SELECT DISTINCT l_partkey AS a, (l_partkey * 3 + l_linenumber) % 4001 AS b FROM lineitem), r(node, hops) AS (SELECT b, 1 FROM e WHERE a = 1 UNION SELECT e.b, hops + 1 FROM r JOIN e ON e.a = r.node WHERE hops < 30),
       d AS (SELECT node, min(hops) AS hops FROM r GROUP BY 1) SELECT d.node, CAST(d.hops AS BIGINT) AS hops, (SELECT min(e.a) FROM e LEFT JOIN d f ON f.node = e.a WHERE e.b = d.node AND (d.hops = 1 AND e.a = 1 OR d.hops > 1 AND f.hops = d.hops - 1)) AS via FROM d""",
+    "grf3_loops": """WITH RECURSIVE e AS (
+        SELECT p_partkey AS a, CASE WHEN p_partkey % 5 = 4 THEN p_partkey - 4 ELSE p_partkey + 1 END AS b FROM part UNION SELECT p_partkey, p_partkey + 2 FROM part WHERE p_partkey % 10 = 1
+        UNION SELECT p_partkey, p_partkey - 2 FROM part WHERE p_partkey % 15 = 2 UNION SELECT p_partkey, p_partkey FROM part WHERE p_partkey % 35 = 0),
+      r AS (SELECT a, b FROM e UNION SELECT r.a, e.b FROM r JOIN e ON e.a = r.b), c AS (SELECT x.a, min(x.b) AS component FROM r x JOIN r y ON x.a = y.b AND x.b = y.a GROUP BY x.a),
+      w(component, node, path) AS (SELECT component, a, [a] FROM c WHERE a = component UNION ALL SELECT w.component, e.b, list_append(path, e.b) FROM w JOIN e ON e.a = w.node JOIN c ON c.a = e.b AND c.component = w.component WHERE NOT list_contains(path, e.b)),
+      l AS (SELECT w.component, path FROM w JOIN e ON e.a = w.node AND e.b = w.component)
+      SELECT component, CAST(len(path) AS BIGINT) AS length, array_to_string(path, ',') AS files FROM l QUALIFY row_number() OVER (PARTITION BY component ORDER BY len(path), path) = 1""",
     "grf4_entry_points": """WITH f AS (SELECT s_suppkey AS k, 'd' || s_suppkey || '/' || ['main.py', 'app.js', 'util.py', 'index.html', 'about.html', '__main__.py', 'server.mjs'][CAST(s_suppkey % 7 + 1 AS INTEGER)] AS path FROM supplier)
       SELECT path, reason FROM (SELECT path, CASE WHEN k % 7 IN (0, 2, 5) AND k % 5 = 0 THEN 'main_guard' WHEN k % 7 = 5 THEN 'package_main' WHEN k % 7 IN (0, 1, 6) AND k % 3 <> 0 THEN 'conventional_name' WHEN k % 7 = 3 THEN 'index_page' WHEN k % 7 = 4 AND k % 3 <> 0 THEN 'unreferenced_page' END AS reason FROM f) WHERE reason IS NOT NULL""",
     "grf6_relationships": f"""WITH {SCRIPTS_SQL}, p AS (SELECT DISTINCT split_part(source, '/', 1) AS project_id, source, specifier, status, target FROM e), u AS (SELECT project_id, target, count(DISTINCT source) AS dependents FROM p WHERE status = 'resolved' GROUP BY 1, 2)

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from codeloom.functions import prose as P
-from codeloom.operators import packing
+from codeloom.operators import evidence, packing
 from codeloom.operators import selection as S
 from codeloom.sources.tables import table
 
@@ -92,7 +92,23 @@ def agg14_concepts(spark, sf_dir):
     return d.join(concepts, "c", "left_semi").groupBy("source").agg(F.array_join(F.array_sort(F.collect_set("c")), ",").alias("concepts"))
 
 
-QUERIES = {f.__name__: f for f in (flt5_language, str4_control_tokens, str5_orders, jsn1_validated, chl2_exercise, stm5_first_valid, ver4_clamped, src7_quota, snk5_review_sheet, set4_unknown_names, stm2_newest, agg14_concepts)}
+#: Findings' titles and problems, and whether they are about inputs alone.
+FINDINGS = [
+    ("Total is wrong", "the loop starts at one", False), ("Fails on an EMPTY list", "", True), ("Wrong", "may be null", True), ("Wrong", "x" * 89 + " null", False), ("Nothing is returned", "annulled", False),
+    ("Crash", "Division by zero", True), ("Crash", "invalid user supplied value", True), ("Crash", "an invalid loop", False), ("Crash", "no check", True), ("Crash", "lack of proper error handling", True),
+    ("Crash", "no loop here", False), ("Edge-case", "", True), ("x", "None of the branches", False), ("x", "returns None", True), ("x", "none is left", False), ("Unvalidated", "", True), ("x", "missing element", True),
+    ("x", "a boundary condition", True), ("x", "unhandled inputs", True), ("x", "negative quantities", True), ("x", "negative thinking", False), ("x", "it is NaN", True),
+]
+
+
+def str6_assumptions(spark, sf_dir):
+    li = table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey")
+    given = F.element_at(F.array(*[F.struct(F.lit(t).alias("t"), F.lit(p).alias("p")) for t, p, _ in FINDINGS]), ((F.col("l_partkey") * 3 + F.col("l_suppkey")) % len(FINDINGS) + 1).cast("int"))
+    rows = li.select("l_orderkey", given.alias("f")).select("l_orderkey", evidence.assumes_input(F.col("f.t"), F.col("f.p")).alias("assumes"))
+    return rows.groupBy("l_orderkey").agg(F.count_if("assumes").alias("assumed"), F.count("*").alias("findings"))
+
+
+QUERIES = {f.__name__: f for f in (str6_assumptions, flt5_language, str4_control_tokens, str5_orders, jsn1_validated, chl2_exercise, stm5_first_valid, ver4_clamped, src7_quota, snk5_review_sheet, set4_unknown_names, stm2_newest, agg14_concepts)}
 _words = lambda words: ", ".join(f"'{w}'" for w in words)
 ORACLES = {
     "flt5_language": f"""WITH c AS (SELECT page_id, CASE WHEN page_id % 4 = 0 THEN 'a.' || (['PY', 'txt', 'htm'])[CAST(page_id % 3 + 1 AS INTEGER)] ELSE '' END AS name,
@@ -117,6 +133,7 @@ ORACLES = {
     "stm5_first_valid": """SELECT user_id AS request_id, coalesce(g, l) AS attempt, CASE WHEN g IS NULL THEN 'failed' WHEN g = 1 THEN 'first' ELSE 'retried' END AS mode FROM (SELECT user_id, min(event_id % 3 + 1) FILTER (event_id % 7 = 0) AS g, max(event_id % 3 + 1) AS l FROM events GROUP BY 1)""",
     "ver4_clamped": """WITH c AS (SELECT DISTINCT l_orderkey, l_partkey, l_orderkey % 50 AS file, l_partkey % 60 AS s, l_partkey % 60 + l_partkey % 9 AS e FROM lineitem), x AS (SELECT *, CASE WHEN e >= 20 AND s <= 30 THEN [20, 30] WHEN e >= 5 AND s <= 22 THEN [5, 22] WHEN e >= 45 AND s <= 50 THEN [45, 50] END AS r FROM c)
       SELECT file, count(*) AS kept, CAST(sum(greatest(s, r[1])) AS BIGINT) AS starts, CAST(sum(least(e, r[2])) AS BIGINT) AS ends FROM x WHERE r IS NOT NULL GROUP BY 1""",
+    "str6_assumptions": f"SELECT l_orderkey, count(*) FILTER ({[a for _, _, a in FINDINGS]}[CAST((l_partkey * 3 + l_suppkey) % {len(FINDINGS)} + 1 AS INTEGER)]) AS assumed, count(*) AS findings FROM lineitem GROUP BY 1",
     "src7_quota": """WITH RECURSIVE d AS (SELECT source, doc_id, strlen(text) AS b, row_number() OVER (PARTITION BY source ORDER BY doc_id) AS k FROM documents),
       f AS (SELECT source, k, doc_id, b <= 30000 AS t, CASE WHEN b <= 30000 THEN b ELSE 0 END AS bytes, CASE WHEN b <= 30000 THEN 1 ELSE 0 END AS n FROM d WHERE k = 1
         UNION ALL SELECT d.source, d.k, d.doc_id, f.n < 12 AND f.bytes + d.b <= 30000, CASE WHEN f.n < 12 AND f.bytes + d.b <= 30000 THEN f.bytes + d.b ELSE f.bytes END, CASE WHEN f.n < 12 AND f.bytes + d.b <= 30000 THEN f.n + 1 ELSE f.n END FROM f JOIN d ON d.source = f.source AND d.k = f.k + 1)

@@ -54,6 +54,34 @@ def rul_scripts(spark, sf_dir):
     return S.script_hits(S.script_tokens(scripts(spark, sf_dir))).select("path", "rule", F.col("line").cast("long").alias("line"))
 
 
+BODY = [
+    "for (let i = %1$d; i <= this.rows%2$d.length; i++) {", "%3$s", "  const s = `row ${ rows.map(r => `${r} <= ${'}'}`) } NaN === s`;", "  %4$s", "}", "rows%2$d[i]; /* } */ const re = /[}/]/g.test(x) ? y / 2 : `}`;",
+    "class C%1$d { total(a) { return a / 2; } async load() { return null; } }", "const pick%1$d = async (a, b) => a, one = { a: 1 }; export { C%1$d };", "if (this.ready = -1) { } %5$s",
+]
+
+
+def long_scripts(spark, sf_dir):
+    """A loop whose body reads what it counts to, if at all, after k % 90 lines; every seventh looks at the length itself; every eleventh is unbalanced."""
+    k = F.col("p_partkey")
+    read = F.when(k % 7 == 0, F.format_string("if (i < this.rows%d.length) use(this.rows%d[i]);", k % 3, k % 3)).when(k % 2 == 0, F.format_string("use(this.rows%d[i]);", k % 3)).otherwise(F.format_string("use(rows%d[i]);", k % 3))
+    text = F.format_string("\n".join(BODY), k, k % 3, F.array_join(F.array_repeat(F.lit("  step(a[0], { b: [1] });"), (k % 90).cast("int") + 1), "\n"), read, F.when(k % 11 == 0, ")").otherwise(""))
+    return table(spark, sf_dir, "part").select(F.lit("all").alias("project_id"), F.format_string("m%d.js", k).alias("path"), text.alias("text"))
+
+
+def rul_script_bodies(spark, sf_dir):
+    return S.script_hits(S.script_tokens(long_scripts(spark, sf_dir))).select("path", "rule", F.col("line").cast("long").alias("line"), F.col("end").cast("long").alias("end"))
+
+
+def prs4_script_members(spark, sf_dir):
+    return S.script_functions(S.script_tokens(long_scripts(spark, sf_dir))).select("path", "name", "kind", F.col("line").cast("long").alias("line"), "exported")
+
+
+def prs3_brackets(spark, sf_dir):
+    """Of each script its tokens, the deepest one, and how far apart brackets are."""
+    t = S.script_tokens(long_scripts(spark, sf_dir))
+    return t.groupBy("path").agg(F.count("*").alias("tokens"), F.max("depth").cast("long").alias("deepest"), F.bool_and("balanced").alias("balanced"), F.count_if(F.col("shape") == "`").alias("templates"), F.count_if(F.col("shape") == "/re/").alias("patterns"))
+
+
 def prs6_styles(spark, sf_dir):
     k = F.col("p_partkey")
     text = F.format_string('@import url("base%1$d.css");\n/* .no { } */\n.c%1$d, #i%1$d:hover { background: url(img%2$d.png); }\n@media print { .p%2$d { color: red } }', k, k % 3)
@@ -66,7 +94,7 @@ def prs5_pages(spark, sf_dir):
     return H.parse_pages(files).select(F.col("path").cast("long").alias("page_id"), F.col("inline_scripts").cast("long").alias("scripts"), F.col("inline_styles").cast("long").alias("styles"), F.col("title").isNotNull().alias("titled"), F.size("ids").cast("long").alias("ids"))
 
 
-QUERIES = {f.__name__: f for f in (prs1_symbols, prs1_imports, rul_modules, prs4_script_refs, prs4_script_functions, rul_scripts, prs5_pages, prs6_styles)}
+QUERIES = {f.__name__: f for f in (prs1_symbols, prs1_imports, rul_modules, prs4_script_refs, prs4_script_functions, prs4_script_members, prs3_brackets, rul_scripts, rul_script_bodies, prs5_pages, prs6_styles)}
 GOOD = "good AS (SELECT p_partkey AS k, 'm' || p_partkey || '.py' AS path FROM part WHERE p_partkey % 13 <> 0)"
 ORACLES = {
     "prs1_symbols": f"""WITH {GOOD} SELECT path, 'LIMIT' AS name, 'variable' AS kind, 5 AS start, 5 AS "end" FROM good UNION ALL SELECT path, 'Part' || k, 'class', 8, 12 FROM good UNION ALL SELECT path, 'Part' || k || '.size', 'method', 11, 12 FROM good
@@ -78,6 +106,13 @@ ORACLES = {
     "prs4_script_functions": "SELECT 'm' || p_partkey || '.js' AS path, 'f' || p_partkey AS name, 'function' AS kind, 3 AS line, true AS exported FROM part",
     "rul_scripts": """SELECT 'm' || p_partkey || '.js' AS path, 'JS_INDEX_PAST_END' AS rule, 5 AS line FROM part WHERE p_partkey % 7 = 0 UNION ALL SELECT 'm' || p_partkey || '.js', 'JS_ASSIGN_IN_CONDITION', 6 FROM part WHERE p_partkey % 5 = 0
       UNION ALL SELECT 'm' || p_partkey || '.js', 'JS_NAN_COMPARE', 7 FROM part WHERE p_partkey % 3 = 0""",
+    "rul_script_bodies": """WITH p AS (SELECT p_partkey AS k, 'm' || p_partkey || '.js' AS path FROM part WHERE p_partkey % 11 <> 0)
+      SELECT path, 'JS_INDEX_PAST_END' AS rule, 1 AS line, k % 90 + 4 AS "end" FROM p WHERE k % 2 = 0 AND k % 7 <> 0 UNION ALL SELECT path, 'JS_ASSIGN_IN_CONDITION', k % 90 + 9, k % 90 + 9 FROM p""",
+    "prs4_script_members": """WITH p AS (SELECT p_partkey AS k, 'm' || p_partkey || '.js' AS path, p_partkey % 90 + 1 AS n FROM part), r AS (SELECT *, unnest([
+        {name: 'C' || k, kind: 'class', off: 6, exported: true}, {name: 'C' || k || '.total', kind: 'method', off: 6, exported: false}, {name: 'C' || k || '.load', kind: 'async_method', off: 6, exported: false}, {name: 'pick' || k, kind: 'async_arrow', off: 7, exported: false}]) AS x FROM p)
+      SELECT path, x.name AS name, x.kind AS kind, n + x.off AS line, x.exported AS exported FROM r""",
+    "prs3_brackets": """SELECT 'm' || p_partkey || '.js' AS path, 106 + 16 * (p_partkey % 90 + 1) + CASE WHEN p_partkey % 7 = 0 THEN 20 WHEN p_partkey % 2 = 0 THEN 10 ELSE 8 END + CASE WHEN p_partkey % 11 = 0 THEN 1 ELSE 0 END AS tokens,
+      4 AS deepest, p_partkey % 11 <> 0 AS balanced, 2 AS templates, 1 AS patterns FROM part""",
     "prs6_styles": """WITH p AS (SELECT p_partkey AS k, 'm' || p_partkey || '.css' AS path FROM part) SELECT path, 'class' AS row, 'c' || k AS name FROM p UNION ALL SELECT path, 'class', 'p' || (k % 3) FROM p UNION ALL SELECT path, 'id', 'i' || k FROM p
       UNION ALL SELECT path, 'import', 'base' || k || '.css' FROM p UNION ALL SELECT path, 'url', 'img' || (k % 3) || '.png' FROM p""",
     "prs5_pages": "SELECT page_id, CAST(len(regexp_extract_all(html, '<script>')) AS BIGINT) AS scripts, CAST(len(regexp_extract_all(html, '<style>')) AS BIGINT) AS styles, regexp_matches(html, '<title>\\s*[^<\\s]') AS titled, 0 AS ids FROM pages",
