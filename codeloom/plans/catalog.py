@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from codeloom.plans import answers, files, graphs, misc, sources, windows
+from codeloom.plans import answers, context, files, graphs, misc, sources, windows
 
-PARTS = [files, windows, graphs, sources, misc, answers]
+PARTS = [files, windows, graphs, sources, context, misc, answers]
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {name: f for part in PARTS for name, f in part.QUERIES.items()}
 ORACLES: dict[str, str] = {name: sql for part in PARTS for name, sql in part.ORACLES.items()}
 FLAGSHIP = "agg1_summary"
