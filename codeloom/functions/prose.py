@@ -54,3 +54,27 @@ def gives_orders(text: Column, reach: int = 5) -> Column:
     """Whether a verb that orders a model is followed, within a few words, by what models are told to leave."""
     words = F.regexp_extract_all(F.lower(text), F.lit("[a-z]+"), F.lit(0))
     return F.transform(F.array(words), lambda w: F.exists(F.transform(w, lambda x, i: x.isin(ORDER_VERBS) & F.exists(F.slice(w, i + 2, F.lit(reach)), lambda y: y.isin(ORDER_NOUNS))), lambda hit: hit))[0]
+
+
+#: Words that have no everyday meaning to guess them by, and ordinary words that also have a technical one (fixed values).
+JARGON = """iterate iterates iterated iterating iteration initialize initializes initialized initializing initialise initialised initialises
+initialising initialization parameter parameters argument arguments boolean booleans syntax instantiate instantiates instantiated operator operators
+modulo index indexes indices conditional conditionals callback callbacks integer integers array arrays module modules attribute attributes recursion
+recursive concatenate concatenation dereference iterable iterator polymorphism closure runtime variable variables function functions method methods
+class classes object objects string strings exception exceptions parse parses parsed parsing compile scope dictionary""".split()
+EVERYDAY = "list lists loop loops return returns returned returning condition conditions".split()
+#: What explains the word before it (fixed values): a bracket, a dash, a colon, or how a definition goes on; blanks and quotes may stand between.
+EXPLAINS = r"[\s\"'`)]*(?:\(|\u2014|-|:|,\s*(?:which|a|an|the)\b|\s*(?:means|is a|is an|is like|are)\b)"
+
+
+def unexplained(text: Column, words: list[str]) -> Column:
+    """How often one of words stands in text and nothing right behind it explains it."""
+    return F.regexp_count(F.lower(text), F.lit(rf"\b(?:{'|'.join(words)})\b(?!{EXPLAINS})")).cast("long")
+
+
+def word_count(text: Column) -> Column:
+    return F.regexp_count(text, F.lit("[A-Za-z']+")).cast("long")
+
+
+def per_hundred(hits: Column, words: Column) -> Column:
+    return F.when(words > 0, F.bround(100 * hits / words, 2)).otherwise(0.0)

@@ -127,6 +127,17 @@ def clipped_prose(text: Column, most: int, margin: int = 4) -> Column:
     return F.when((n < most) & near, F.concat(bare(t), F.lit("…"))).when(n < most, t).otherwise(F.concat(bare(words), F.lit("…")))
 
 
+#: A collation that knows neither case nor how accents are composed, and letters that case folding spells otherwise than it does.
+CASELESS, SPELT = "UNICODE_CI", {"\u00df": "ss", "\u1e9e": "ss", "\u017f": "s"}
+
+
+def caseless(text: Column) -> Column:
+    """text as a key of joins, groups and comparisons that case and composition do not tell apart. Full-width forms equal plain ones."""
+    for letter, spelling in SPELT.items():
+        text = F.replace(text, F.lit(letter), F.lit(spelling))
+    return F.collate(text, CASELESS)
+
+
 def identifiers(text: Column) -> Column:
     return F.regexp_extract_all(text, F.lit(r"[A-Za-z_$][A-Za-z0-9_$]*"), F.lit(0))
 

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from codeloom.functions import text as T
 from codeloom.operators.packing import FEW, greedy_packed
 from codeloom.operators.running import in_ranges, sum_before
 
@@ -40,6 +41,18 @@ def quota(items: DataFrame, most_files: int, most_bytes: int, *keys: str, few: i
     return counted.select(*keys, "ord", (F.col("placed") & (F.col("n") < most_files)).alias("taken"))
 
 
+def case_clashes(paths: DataFrame) -> DataFrame:
+    """(project_id, path, twice, folder): paths (project_id, path) that an earlier one (by path) equals but for case or composition, and files
+    whose path is also a folder of another one, in the same sense."""
+    key = T.caseless(F.col("path"))
+    rows = paths.distinct().withColumns({"key": key, "nth": F.row_number().over(Window.partitionBy("project_id", key).orderBy("path"))})
+    parts = paths.select("project_id", F.split("path", "/").alias("p")).where(F.size("p") > 1)
+    above = F.transform(F.sequence(F.lit(1), F.size("p") - 1), lambda k: F.array_join(F.slice("p", F.lit(1), k), "/"))
+    folders = parts.select("project_id", F.explode(above).alias("f")).distinct().select("project_id", T.caseless(F.col("f")).alias("key")).distinct().withColumn("folder", F.lit(True))
+    told = rows.join(folders, ["project_id", "key"], "left")
+    return told.select("project_id", "path", (F.col("nth") > 1).alias("twice"), F.coalesce("folder", F.lit(False)).alias("folder"))
+
+
 def review_sheet(items: DataFrame, seed: int, key: str) -> DataFrame:
     """items in an order that the seed decides, with blind ids A001, A002, ... Places are counted over ranges of the order."""
     dealt = items.withColumns({"_place": F.md5(F.concat(F.col(key).cast("string"), F.lit(f"/{seed}"))), "_one": F.lit(1)})

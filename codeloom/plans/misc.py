@@ -108,7 +108,36 @@ def str6_assumptions(spark, sf_dir):
     return rows.groupBy("l_orderkey").agg(F.count_if("assumes").alias("assumed"), F.count("*").alias("findings"))
 
 
-QUERIES = {f.__name__: f for f in (str6_assumptions, flt5_language, str4_control_tokens, str5_orders, jsn1_validated, chl2_exercise, stm5_first_valid, ver4_clamped, src7_quota, snk5_review_sheet, set4_unknown_names, stm2_newest, agg14_concepts)}
+#: Pieces of answers with their words, and their unexplained technical and everyday words.
+PHRASES = [
+    ("We iterate here.", 3, 1, 0), ("An array (a row of values) helps.", 7, 0, 0), ("The index: where it is.", 5, 0, 0), ("A class means a kind.", 5, 0, 0), ("The Loop ends, the function returns", 6, 1, 2), ("`string` - text", 2, 0, 0),
+    ("variables are names", 3, 0, 0), ("subclass and stringy", 3, 0, 0), ("a boolean, which is yes or no", 7, 0, 0), ("parse. Parses", 2, 2, 0), ("the list is a row; lists", 6, 0, 1), ("don't return 5", 2, 0, 1), ("an object is like a box", 6, 0, 0),
+]
+
+
+def agg18_jargon(spark, sf_dir):
+    """Of each order's lines as an answer: words, unexplained words of both kinds, and their rates."""
+    li = table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey")
+    given = F.element_at(F.array(*[F.lit(t) for t, *_ in PHRASES]), ((F.col("l_partkey") + 5 * F.col("l_suppkey")) % len(PHRASES) + 1).cast("int"))
+    text = li.groupBy("l_orderkey").agg(F.array_join(F.array_sort(F.collect_list(F.struct("l_linenumber", "l_partkey", "l_suppkey", given.alias("t")))).getField("t"), "\n/ ").alias("t"))
+    hits = text.select("l_orderkey", P.word_count(F.col("t")).alias("words"), P.unexplained(F.col("t"), P.JARGON).alias("jargon"), P.unexplained(F.col("t"), P.EVERYDAY).alias("everyday"))
+    return hits.withColumns({"jargon_per_100": P.per_hundred(F.col("jargon"), F.col("words")), "both_per_100": P.per_hundred(F.col("jargon") + F.col("everyday"), F.col("words"))})
+
+
+#: Forms of one name that differ by case or composition, and names apart.
+NAMES = ["Straße", "STRASSE", "strasse", "caf\u00e9", "cafe\u0301", "CAF\u00c9", "cafe", "\u0130x", "i\u0307x", "ix", "a.py", "A.PY", "src", "Src/b.py", "src/B.py", "d/e/f"]
+NAME_KEYS = ["strasse", "strasse", "strasse", "caf\u00e9", "caf\u00e9", "caf\u00e9", "cafe", "i\u0307x", "i\u0307x", "ix", "a.py", "a.py", "src", "src/b.py", "src/b.py", "d/e/f"]
+
+
+def src6_case_keys(spark, sf_dir):
+    """Paths of each supplier's parts that clash with others of theirs, or with a folder."""
+    li = table(spark, sf_dir, "lineitem").select("l_partkey", "l_suppkey").distinct()
+    name = F.element_at(F.array(*[F.lit(x) for x in NAMES]), ((F.col("l_partkey") * 7 + F.col("l_suppkey")) % len(NAMES) + 1).cast("int"))
+    found = S.case_clashes(li.select(F.col("l_suppkey").alias("project_id"), name.alias("path")))
+    return found.groupBy("project_id").agg(F.count("*").alias("paths"), F.count_if("twice").alias("twice"), F.count_if("folder").alias("folders"))
+
+
+QUERIES = {f.__name__: f for f in (str6_assumptions, agg18_jargon, src6_case_keys, flt5_language, str4_control_tokens, str5_orders, jsn1_validated, chl2_exercise, stm5_first_valid, ver4_clamped, src7_quota, snk5_review_sheet, set4_unknown_names, stm2_newest, agg14_concepts)}
 _words = lambda words: ", ".join(f"'{w}'" for w in words)
 ORACLES = {
     "flt5_language": f"""WITH c AS (SELECT page_id, CASE WHEN page_id % 4 = 0 THEN 'a.' || (['PY', 'txt', 'htm'])[CAST(page_id % 3 + 1 AS INTEGER)] ELSE '' END AS name,
@@ -134,6 +163,12 @@ ORACLES = {
     "ver4_clamped": """WITH c AS (SELECT DISTINCT l_orderkey, l_partkey, l_orderkey % 50 AS file, l_partkey % 60 AS s, l_partkey % 60 + l_partkey % 9 AS e FROM lineitem), x AS (SELECT *, CASE WHEN e >= 20 AND s <= 30 THEN [20, 30] WHEN e >= 5 AND s <= 22 THEN [5, 22] WHEN e >= 45 AND s <= 50 THEN [45, 50] END AS r FROM c)
       SELECT file, count(*) AS kept, CAST(sum(greatest(s, r[1])) AS BIGINT) AS starts, CAST(sum(least(e, r[2])) AS BIGINT) AS ends FROM x WHERE r IS NOT NULL GROUP BY 1""",
     "str6_assumptions": f"SELECT l_orderkey, count(*) FILTER ({[a for _, _, a in FINDINGS]}[CAST((l_partkey * 3 + l_suppkey) % {len(FINDINGS)} + 1 AS INTEGER)]) AS assumed, count(*) AS findings FROM lineitem GROUP BY 1",
+    "agg18_jargon": f"""WITH x AS (SELECT l_orderkey, {[list(p[1:]) for p in PHRASES]}[CAST((l_partkey + 5 * l_suppkey) % {len(PHRASES)} + 1 AS INTEGER)] AS n FROM lineitem),
+      s AS (SELECT l_orderkey, CAST(sum(n[1]) AS BIGINT) AS words, CAST(sum(n[2]) AS BIGINT) AS jargon, CAST(sum(n[3]) AS BIGINT) AS everyday FROM x GROUP BY 1)
+      SELECT *, round_even(100 * jargon / words, 2) AS jargon_per_100, round_even(100 * (jargon + everyday) / words, 2) AS both_per_100 FROM s""",
+    "src6_case_keys": f"""WITH x AS (SELECT DISTINCT l_suppkey AS project_id, CAST((l_partkey * 7 + l_suppkey) % {len(NAMES)} + 1 AS INTEGER) AS n FROM lineitem), k AS (SELECT project_id, n, {NAME_KEYS}[n] AS key FROM x),
+      f AS (SELECT *, row_number() OVER (PARTITION BY project_id, key ORDER BY n) > 1 AS twice, EXISTS (SELECT 1 FROM k o WHERE o.project_id = k.project_id AND k.key = 'src' AND o.key = 'src/b.py') AS folder FROM k)
+      SELECT project_id, count(*) AS paths, count(*) FILTER (twice) AS twice, count(*) FILTER (folder) AS folders FROM f GROUP BY 1""",
     "src7_quota": """WITH RECURSIVE d AS (SELECT source, doc_id, strlen(text) AS b, row_number() OVER (PARTITION BY source ORDER BY doc_id) AS k FROM documents),
       f AS (SELECT source, k, doc_id, b <= 30000 AS t, CASE WHEN b <= 30000 THEN b ELSE 0 END AS bytes, CASE WHEN b <= 30000 THEN 1 ELSE 0 END AS n FROM d WHERE k = 1
         UNION ALL SELECT d.source, d.k, d.doc_id, f.n < 12 AND f.bytes + d.b <= 30000, CASE WHEN f.n < 12 AND f.bytes + d.b <= 30000 THEN f.bytes + d.b ELSE f.bytes END, CASE WHEN f.n < 12 AND f.bytes + d.b <= 30000 THEN f.n + 1 ELSE f.n END FROM f JOIN d ON d.source = f.source AND d.k = f.k + 1)

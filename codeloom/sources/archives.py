@@ -41,7 +41,7 @@ def members(archives: DataFrame) -> DataFrame:
 def verdicts(rows: DataFrame, limits: dict[str, int] = LIMITS) -> DataFrame:
     """(project_id, code): the first failed check of each archive in the order of entries and checks; null if none."""
     safe = T.safe_path(F.col("path"))
-    folded = F.lower(safe)
+    folded = T.caseless(safe)
     by = Window.partitionBy("project_id")
     run = by.orderBy("ord").rowsBetween(Window.unboundedPreceding, 0)
     checked = rows.withColumns({"safe": safe, "twice": F.count("*").over(Window.partitionBy("project_id", folded).orderBy("ord").rowsBetween(Window.unboundedPreceding, 0)) > 1, "total": F.sum("size").over(run), "n": F.count("*").over(by)})

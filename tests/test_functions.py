@@ -1,10 +1,14 @@
 import posixpath
+import random
+import re
+import unicodedata
 import uuid
 
 from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
+from codeloom.functions import prose as P
 from codeloom.functions import text as T
 
 
@@ -54,3 +58,20 @@ def test_uuid5(spark):
 def test_decode_verdict(spark):
     data = [bytearray(b"ok\n"), bytearray(b"a\0b"), bytearray(b"\x01\x02\x03abc"), bytearray(b"\xff\xfe"), bytearray("é".encode())]
     assert column(spark, data, T.decode_verdict, "binary") == [None, "binary_content", "binary_content", "invalid_encoding", None]
+
+
+def test_caseless_keys_are_those_of_composed_case_folding(spark):
+    pairs = [("straße", "STRASSE"), ("ß", "ss"), ("İ", "i\u0307"), ("I", "ı"), ("é", "e\u0301"), ("É", "e\u0301"), ("Σ", "ς"), ("ﬁ", "fi"), ("K", "k"), ("a", "á"), ("a b", "ab"), ("a.py", "A.PY"), ("a-b", "ab"), ("ſ", "s"), ("", " ")]
+    fold = lambda t: unicodedata.normalize("NFC", unicodedata.normalize("NFC", t).casefold())
+    df = spark.createDataFrame(pairs, "a string, b string")
+    assert [r[0] for r in df.select(T.caseless(F.col("a")) == T.caseless(F.col("b"))).collect()] == [fold(a) == fold(b) for a, b in pairs]
+    assert spark.createDataFrame([("A",), ("a",), ("Á",), ("á",)], "p string").groupBy(T.caseless(F.col("p"))).count().count() == 2
+
+
+def test_unexplained_words_by_every_place(spark):
+    rng = random.Random(8)
+    bits = ["index", "indexes", "Array", "list", "(", " - ", ": ", ", which", ", a ", ", b", " means", " is a", " is an", " is like", " are", " area", '"', ")", " ", "x", ". ", "\u2014"]
+    texts = ["".join(rng.choice(bits) for _ in range(rng.randrange(9))) for _ in range(900)]
+    marks = re.compile(r"^[\s\"'`)]*(\(|\u2014|-|:|,\s*(which|a|an|the)\b|\s*(means|is a|is an|is like|are)\b)")
+    want = [sum(not marks.match(t.lower()[m.end() : m.end() + 40]) for w in P.JARGON for m in re.finditer(rf"\b{w}\b", t.lower())) for t in texts]
+    assert column(spark, texts, lambda c: P.unexplained(c, P.JARGON)) == want and sum(want) > 50
