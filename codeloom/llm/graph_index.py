@@ -7,7 +7,7 @@ neighbours; relaxed distance pruning keeps a proposed neighbour only if no kept
 than the point is, so edges stay diverse; reverse edges are added and pruned alike. A shard's vectors and edges are one row
 of a written table. A query is searched with a beam in the shards of its nearest cells, and the shards' best are merged. How many cells
 that are is measured on the sample: as many as hold `REACH` of the sample's own neighbours. Where vectors lie in clusters that is a few
-whatever their number; where they are spread evenly in all directions no cell can be left out, and every shard is queried.
+whatever their number (and as many more as it takes to have k + 1 ids in reach); where they are spread evenly in all directions no cell can be left out, and every shard is queried.
 Scores are the cosines of the original vectors in double precision.
 
 Of equal vectors only the k + 1 smallest ids are indexed: no other can be among the k nearest of any query.
@@ -196,6 +196,23 @@ class Cells:
         place = np.argsort(np.argsort(-(q @ self.leaves.T), axis=1, kind="stable"), axis=1)
         return int(np.quantile(place[np.arange(len(q))[:, None], own[best]], REACH, method="higher")) + 1
 
+    def in_reach(self, x: np.ndarray, sizes: np.ndarray, least: int) -> np.ndarray:
+        """The cells that each query visits (-1 where there are fewer): `probes` nearest ones, and if these have fewer than `least` rows of
+        sizes (rows in each cell), the next nearest of all cells until they have as many, or no cell is left."""
+        near = self.nearest(x, self.probes)
+        held = np.where(near >= 0, sizes[near], 0).sum(axis=1)
+        more = {}
+        for i in np.flatnonzero(held < least):
+            order = np.argsort(-(self.leaves @ x[i]), kind="stable")
+            rest = order[~np.isin(order, near[i]) & (sizes[order] > 0)]
+            n = int(np.searchsorted(held[i] + np.cumsum(sizes[rest]), least)) + 1
+            more[i] = rest[:n]
+        out = np.full((len(x), near.shape[1] + max(map(len, more.values()), default=0)), -1, np.int64)
+        out[:, : near.shape[1]] = near
+        for i, cells in more.items():
+            out[i, near.shape[1] : near.shape[1] + len(cells)] = cells
+        return out
+
     def nearest(self, x: np.ndarray, probes: int) -> np.ndarray:
         """The nearest cells of each vector, nearest first, among those of as many top centroids (-1 where there are fewer); all of them
         if they are half of all cells or more."""
@@ -228,16 +245,28 @@ def fitted(rows: DataFrame, n: int, shard_rows: int, k: int) -> dict[int, Cells]
     return found
 
 
-def with_cells(rows: DataFrame, cells: dict[int, Cells], asked: bool) -> DataFrame:
-    """rows (vec_id, v, dim) with cell: a row for each cell that a query visits, or the nearest one. A length that the sample did not have
-    is cell 0."""
-    shared = rows.sparkSession.sparkContext.broadcast(cells)
+def sizes_of(dealt: DataFrame, cells: dict[int, Cells]) -> dict[int, np.ndarray]:
+    """Ids in each cell, a number beside each centroid; an id with vectors in several cells counts in the first of them."""
+    first = dealt.groupBy("dim", "vec_id").agg(F.min("cell").alias("cell")).groupBy("dim", "cell").agg(F.count("*").alias("n")).collect()
+    found = {d: np.zeros(len(c.leaves), np.int64) for d, c in cells.items()}
+    for r in first:
+        if r["dim"] in found:
+            found[r["dim"]][r["cell"]] = r["n"]
+    return found
+
+
+def with_cells(rows: DataFrame, cells: dict[int, Cells], sizes: dict[int, np.ndarray] | None = None, least: int = 0) -> DataFrame:
+    """rows (vec_id, v, dim) with cell: the nearest one; with sizes a row for each cell that a query visits to have `least` ids in reach. A
+    length that the sample did not have is cell 0."""
+    shared = rows.sparkSession.sparkContext.broadcast((cells, sizes))
 
     def run(parts):
         for pdf in parts:
             for d, own in pdf.groupby("dim", sort=False):
-                if d in shared.value:
-                    near = shared.value[d].nearest(unit(np.stack(own["v"].to_list())), shared.value[d].probes if asked else 1)
+                known, held = shared.value
+                if d in known:
+                    x = unit(np.stack(own["v"].to_list()))
+                    near = known[d].nearest(x, 1) if held is None else known[d].in_reach(x, held[d], least)
                 else:
                     near = np.zeros((len(own), 1), np.int64)
                 at, which = np.nonzero(near >= 0)
@@ -295,11 +324,11 @@ def nearest(vectors: DataFrame, queries: DataFrame, k: int = 5, beam: int = BEAM
     rows = rows.withColumn("__n", F.row_number().over(same)).where(F.col("__n") <= k + 1).drop("__n")
     rows = written(rows, "vectors")
     cells = fitted(rows, rows.count(), shard_rows, k)
-    dealt = written(with_cells(rows, cells, False), "cells")
+    dealt = written(with_cells(rows, cells), "cells")
     parts = written(dealt.groupBy("dim", "cell").agg(F.ceil(F.count("*") / shard_rows).cast("int").alias("parts")), "parts")
     part = F.pmod(F.xxhash64("vec_id"), F.col("parts")).cast("int")
     index = written(beside(dealt, parts).withColumn("part", part).groupBy("dim", "cell", "part").applyInPandas(build_shard, INDEX), "graphs")
-    asked = written(with_cells(usable(queries).dropDuplicates(["vec_id", "v"]), cells, True), "queries")
+    asked = written(with_cells(usable(queries).dropDuplicates(["vec_id", "v"]), cells, sizes_of(dealt, cells), k + 1), "queries")
     blocks = asked.groupBy("dim", "cell").agg(F.ceil(F.count("*") / QUERY_ROWS).cast("int").alias("blocks"))
     sizes = written(parts.join(blocks, ["dim", "cell"]), "sizes")
     every = lambda c: F.explode(F.sequence(F.lit(0), F.col(c) - 1))

@@ -10,9 +10,10 @@ import zipfile
 import zlib
 
 import duckdb
+import numpy as np
 import pytest
 
-from codeloom.llm import fill_middle, prefix_trie, zip_warc
+from codeloom.llm import fill_middle, graph_index, prefix_trie, zip_warc
 from codeloom.llm.common import new_path
 from codeloom.llm.queries import ORACLES, QUERIES
 
@@ -251,3 +252,47 @@ def test_dense_names_have_no_gaps(spark):
     named = prefix_trie.dense(df, ["a", "b"], "name", ["id", "a", "b"]).collect()
     pairs = {(r["a"], r["b"]): r["name"] for r in named}
     assert len(named) == 500 and sorted(pairs.values()) == list(range(1, len(pairs) + 1)) and all(pairs[r["a"], r["b"]] == r["name"] for r in named)
+
+
+# ---- nearest neighbours: every query has enough rows in reach
+
+
+def test_small_cells_are_filled_up_with_the_next_ones():
+    rng = np.random.default_rng(4)
+    far = graph_index.unit(rng.normal(size=(6, 16)))
+    x = np.concatenate([graph_index.unit(c + 0.05 * rng.normal(size=(400, 16))) for c in rng.normal(size=(20, 16))] + [far])
+    for seed in range(4):
+        cells = graph_index.Cells.fit(x, 26, seed=seed)
+        cells.probes = 1
+        own = cells.nearest(x, 1)[:, 0]
+        sizes = np.bincount(own, minlength=len(cells.leaves))
+        seen = cells.in_reach(x, sizes, 6)
+        assert all(sizes[row[row >= 0]].sum() >= 6 and len(set(row[row >= 0])) == (row >= 0).sum() for row in seen)
+        assert (seen[:, 0] == own).all()
+        assert (np.sort(cells.in_reach(far[:1], sizes, 10**9)[0])[-len(sizes[sizes > 0]) :] >= 0).all()  # more than there are: all cells
+    sizes[:] = 0
+    assert cells.in_reach(far, sizes, 6).shape[0] == 6
+
+
+VECTORS = "vec_id long, embedding array<float>, cell int"
+
+
+@pytest.mark.parametrize("shard_rows", [1, 2])
+def test_queries_of_tiny_cells_get_all_their_neighbours(spark, monkeypatch, shard_rows):
+    needed = graph_index.Cells.needed
+    monkeypatch.setattr(graph_index.Cells, "needed", lambda self, x, k: min(1, needed(self, x, k)))
+    rng = np.random.default_rng(6)
+    x = rng.normal(size=(30, 4)).astype(np.float32)
+    data = [(i, x[i].tolist(), 1) for i in range(30)] + [(3, x[3].tolist(), 1), (3, x[4].tolist(), 1), (None, x[0].tolist(), 1), (40, [0.0] * 4, 1), (41, None, 1)]
+    df = spark.createDataFrame(data, VECTORS)
+    found = graph_index.nearest(df, df, k=5, shard_rows=shard_rows).collect()
+    ranks = collections.Counter(r["query_id"] for r in found)
+    assert ranks == {i: 5 for i in range(30)} and not any(r["vec_id"] == r["query_id"] for r in found)
+    few = df.where("vec_id < 4")
+    assert collections.Counter(r["query_id"] for r in graph_index.nearest(few, few, k=5, shard_rows=shard_rows).collect()) == {i: 3 for i in range(4)}
+
+
+def test_nearest_of_no_rows(spark):
+    none = spark.createDataFrame([], VECTORS)
+    some = spark.createDataFrame([(1, [1.0, 0.0], 1)], VECTORS)
+    assert graph_index.nearest(none, none).count() == graph_index.nearest(none, some).count() == graph_index.nearest(some, some).count() == 0
