@@ -130,7 +130,11 @@ def picked(requests: DataFrame, files: DataFrame) -> DataFrame:
 
 def host_links(refs: DataFrame, files: DataFrame, ids: DataFrame) -> DataFrame:
     """(source, kind, target, resolved): host relations. refs: (source, kind, value); files: (path, skipped); ids: (path, value) that pages
-    define. A reference goes to every candidate that exists, else to its own value."""
+    define. A reference goes to every candidate that exists, else to its own value. If all files stand in one folder, an absolute module
+    is looked for in there too: archives often wrap a project so."""
+    folder = F.when(F.contains("path", F.lit("/")), F.split("path", "/")[0])
+    around = files.agg(F.min(folder).alias("lo"), F.max(folder).alias("hi"), F.count_if(folder.isNull()).alias("bare")).first()
+    wrapper = around["lo"] if around["lo"] == around["hi"] and not around["bare"] else None
     here = T.dir_name(F.col("source"))
     clean = F.regexp_replace("value", r"[?#].*$", "")
     dots = F.char_length(F.regexp_extract("value", r"^(\.*)", 1))
@@ -141,8 +145,9 @@ def host_links(refs: DataFrame, files: DataFrame, ids: DataFrame) -> DataFrame:
     local = F.when(F.startswith(clean, F.lit("/")), F.regexp_replace(clean, "^/+", "")).otherwise(T.normal_path(F.concat_ws("/", F.when(here != "", here), clean)))
     web = ~F.contains("value", F.lit("://")) & ~F.startswith("value", F.lit("//")) & ~F.startswith("value", F.lit("data:")) & ((F.col("kind") != "javascript_import") | F.startswith(clean, F.lit(".")))
     none = F.array().cast("array<string>")
+    modules = lambda stem: F.array(F.concat(stem, F.lit(".py")), F.concat(stem, F.lit("/__init__.py")))
     tried = (
-        F.when(F.col("kind") == "html_id", none).when(F.col("kind") == "python_import", F.array(F.concat(target, F.lit(".py")), F.concat(target, F.lit("/__init__.py"))))
+        F.when(F.col("kind") == "html_id", none).when(F.col("kind") == "python_import", F.concat(modules(target), F.when((dots == 0) & F.lit(wrapper is not None), modules(F.concat(F.lit(f"{wrapper}/"), module))).otherwise(none)))
         .when(web, F.array(local, F.concat(local, F.lit(".js")), F.concat(local, F.lit("/index.js")))).otherwise(none)
     )
     each = refs.distinct().withColumn("tried", tried)

@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from codeloom.functions import text as T
+from codeloom.operators.running import in_ranges, sum_before
 from codeloom.session import written
 
 #: Extensions tried after a script's import path, in order, and after `index` in a folder (fixed values).
@@ -163,6 +164,13 @@ def entry_points(files: DataFrame, edges: DataFrame, guards: DataFrame) -> DataF
     return rows.select("project_id", "path", reason.alias("reason")).where("reason is not null")
 
 
+def ranked_entries(entries: DataFrame) -> DataFrame:
+    """entry points with place: those in outer folders first, then by path, counted for each project over ranges of that order."""
+    depth = F.size(F.split("path", "/"))
+    rows = in_ranges(entries.withColumns({"_depth": depth, "_one": F.lit(1)}), ["project_id"], ["_depth", "path"])
+    return sum_before(rows, ["project_id"], ["_depth", "path"], "_one", "_n").withColumn("place", (F.col("_n") + 1).cast("long")).drop("_depth", "_one", "_n", "bucket")
+
+
 def saved(df: DataFrame) -> DataFrame:
     """df as a table in the folder that all executors share."""
     return written(df, "graph")

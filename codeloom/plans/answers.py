@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from codeloom.operators import answers as A
+from codeloom.operators import graph as G
 from codeloom.plans.graphs import SCRIPTS_SQL, module_files, script_edges
 from codeloom.plans.windows import RANGES_SQL, order_ranges
 from codeloom.sources.tables import FILES_SQL, discovered, files, table
@@ -273,10 +274,11 @@ def srt2_edges(spark, sf_dir):
 
 
 def srt3_entries(spark, sf_dir):
-    """Entry points of each project, those in outer folders first."""
-    d = files(spark, sf_dir).select("project_id", "path").where(F.element_at(F.split("path", r"\."), -1).isin("py", "html"))
-    depth = F.size(F.split("path", "/"))
-    return d.withColumn("place", F.row_number().over(Window.partitionBy("project_id").orderBy(depth, "path")).cast("long"))
+    """Entry points of each project, those in outer folders first: modules with a main guard (every third), and pages that nothing refers to."""
+    found = discovered(files(spark, sf_dir)).where("reason is null")
+    none = spark.createDataFrame([], "project_id string, target string, status string")
+    entries = G.entry_points(found, none, found.where("doc_id % 3 = 0 and language = 'python'"))
+    return G.ranked_entries(entries).select("project_id", "path", "reason", "place")
 
 
 def srt14_omitted(spark, sf_dir):
@@ -426,7 +428,8 @@ ORACLES = {
     "set8_tokens": """WITH w AS (SELECT DISTINCT conv_id, role, unnest(regexp_extract_all(lower(text), '[a-z_][a-z0-9_]+')) AS w FROM conversations), u AS (SELECT DISTINCT conv_id, w FROM w WHERE role = 'assistant'), q AS (SELECT DISTINCT conv_id, w FROM w WHERE role = 'user'), c AS (SELECT DISTINCT conv_id FROM w)
       SELECT c.conv_id, count(u.w) AS used, count(u.w) FILTER (q.w IS NULL) AS new FROM c LEFT JOIN u USING (conv_id) LEFT JOIN q ON q.conv_id = u.conv_id AND q.w = u.w GROUP BY 1""",
     "srt2_edges": f"WITH {SCRIPTS_SQL}, d AS (SELECT DISTINCT source, specifier, status, target FROM e) SELECT *, row_number() OVER (PARTITION BY source ORDER BY specifier, coalesce(target, ''), status) AS place FROM d",
-    "srt3_entries": f"WITH {FILES_SQL} SELECT project_id, path, row_number() OVER (PARTITION BY project_id ORDER BY length(path) - length(replace(path, '/', '')), path) AS place FROM files WHERE doc_id % 31 <> 0 AND doc_id % 7 IN (0, 3)",
+    "srt3_entries": f"""WITH {FILES_SQL}, e AS (SELECT project_id, path, CASE WHEN doc_id % 7 = 3 THEN 'unreferenced_page' WHEN doc_id % 7 = 0 AND doc_id % 3 = 0 THEN 'main_guard' END AS entry FROM judged WHERE reason IS NULL AND doc_id % 31 <> 0)
+      SELECT project_id, path, entry AS reason, row_number() OVER (PARTITION BY project_id ORDER BY length(path) - length(replace(path, '/', '')), path) AS place FROM e WHERE entry IS NOT NULL""",
     "srt14_omitted": f"""WITH {RANGES_SQL}, o AS (SELECT owner % 20 AS request, start, row_number() OVER (PARTITION BY owner % 20 ORDER BY owner::VARCHAR, name, start, "end") AS n, count(*) OVER (PARTITION BY owner % 20) AS total FROM r) SELECT request, count(*) AS shown, max(total) AS total, CAST(sum(start) AS BIGINT) AS starts FROM o WHERE n <= 200 GROUP BY 1""",
     "str3_quotes": "SELECT conv_id, turn, CASE WHEN least(length(text), conv_id % 200) >= 140 THEN '' ELSE substr(text, 1, conv_id % 200) END AS quote FROM conversations",
     "str10_labels": f"""WITH {RANGES_SQL}, g AS (SELECT owner, min(start) AS a, max("end") AS z, list_sort(list_distinct(list(name))) AS n FROM r GROUP BY 1) SELECT owner, CASE WHEN a = z THEN 'line ' || a ELSE 'lines ' || a || '–' || z END AS lines, array_to_string(n[1:2], ', ') || CASE WHEN len(n) > 2 THEN ' (+' || (len(n) - 2) || ' more)' ELSE '' END AS names,

@@ -4,7 +4,7 @@ import zipfile
 
 from pyspark.sql import functions as F
 
-from codeloom.operators import evidence, graph, packing, ranges
+from codeloom.operators import answers, evidence, graph, packing, ranges
 from codeloom.sources import archives, modules
 from codeloom.streaming import sessions
 
@@ -96,3 +96,29 @@ def test_session_stream_matches_batch(spark, tmp_path):
     q.stop()
     batch = rows(sessions.sessions(events).where("user_id < 3"), "user_id", "uses")
     assert rows(spark.table("sessions"), "user_id", "uses") == batch == [(1, 1), (1, 2), (2, 1)]
+
+
+def test_wrapped_archives_resolve_absolute_modules(spark):
+    refs = spark.createDataFrame([("w/a.py", "python_import", "pkg.b"), ("w/a.py", "python_import", ".c"), ("w/a.py", "python_import", "gone")], "source string, kind string, value string")
+    ids = spark.createDataFrame([], "path string, value string")
+    inside = [("w/a.py", False), ("w/pkg/b.py", False), ("w/c.py", False)]
+    links = lambda paths: rows(answers.host_links(refs, spark.createDataFrame(paths, "path string, skipped boolean"), ids), "target", "resolved")
+    assert links(inside) == [("gone", False), ("w/c.py", True), ("w/pkg/b.py", True)]
+    assert links([*inside, ("setup.py", False)]) == [("gone", False), ("pkg.b", False), ("w/c.py", True)]
+
+
+def test_shortest_loops_first_by_path(spark):
+    rng = random.Random(9)
+    pairs = {(10 * g + rng.randrange(10), 10 * g + rng.randrange(10)) for g in range(5) for _ in range(16)} | {(100 + i, 100 + (i + 1) % 9) for i in range(9)} | {(104, 107), (200, 200)}
+    after = {}
+    for a, b in sorted(pairs):
+        after.setdefault(a, []).append(b)
+    want = []
+    for c in graph.cycles(spark.createDataFrame(sorted(pairs), "source long, target long")).collect():
+        held, front, found = set(c["files"]), [[c["component"]]], None
+        while not found:
+            found = min((p for p in front if c["component"] in after.get(p[-1], [])), default=None)
+            front = [] if found else [[*p, b] for p in front for b in after.get(p[-1], []) if b in held and b not in p]
+        want.append((c["component"], len(found), found))
+    assert rows(graph.loops(spark.createDataFrame(sorted(pairs), "source long, target long")), "component", "length", "files") == sorted(want) and len(want) > 4
+    assert graph.loops(spark.createDataFrame([(1, 2)], "source long, target long")).count() == 0
