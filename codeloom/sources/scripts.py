@@ -14,12 +14,13 @@ from __future__ import annotations
 import re
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from codeloom.session import written
+from codeloom.session import by_merge, dealt, written
 
 FILE = ["project_id", "path"]
 TOKENS = pa.schema([("project_id", pa.string()), ("path", pa.string()), ("at", pa.int32()), ("line", pa.int32()), ("shape", pa.string()), ("token", pa.string())])
@@ -97,23 +98,28 @@ def token_rows(files: DataFrame) -> DataFrame:
     """(project_id, path, at, line, shape, token), at counting from 1; comments and blanks left out."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        out = []
+        out, owners = [], []
         for batch in batches:
             for project, path, text in zip(*(batch.column(c) for c in range(3)), strict=True):
-                own = (project.as_py(), path.as_py())
+                owners.append((project.as_py(), path.as_py(), len(out)))
                 for at, found in enumerate(scanned(text.as_py() or ""), 1):
-                    out.append((*own, at, *found))
+                    out.append((at, *found))
                     if len(out) == BATCH:
-                        yield packed(out)
-                        out = []
+                        yield packed(out, owners)
+                        out, owners = [], [(*owners[-1][:2], 0)]
         if out:
-            yield packed(out)
+            yield packed(out, owners)
 
-    return files.select("project_id", "path", "text").mapInArrow(run, "project_id string, path string, at int, line int, shape string, token string")
+    return dealt(files.select("project_id", "path", "text"), FILE).mapInArrow(run, "project_id string, path string, at int, line int, shape string, token string")
 
 
-def packed(rows: list[tuple]) -> pa.RecordBatch:
-    return pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows, strict=True), TOKENS, strict=True)], schema=TOKENS)
+def packed(rows: list[tuple], owners: list[tuple]) -> pa.RecordBatch:
+    """rows (at, line, shape, token) as a batch; owners: (project_id, path, where the file's rows begin)."""
+    project, path, begins = zip(*owners, strict=True)
+    whose = pa.array(np.repeat(np.arange(len(owners)), np.diff([*begins, len(rows)])))
+    own = [pa.array(c, pa.string()).take(whose) for c in (project, path)]
+    rest = [pa.array(c, f.type) for c, f in zip(zip(*rows, strict=True), list(TOKENS)[2:], strict=True)]
+    return pa.RecordBatch.from_arrays([*own, *rest], schema=TOKENS)
 
 
 def script_tokens(files: DataFrame) -> DataFrame:
@@ -124,25 +130,27 @@ def script_tokens(files: DataFrame) -> DataFrame:
     rows = token_rows(files)
     turn = F.when(F.col("shape").isin("(", "[", "{"), 1).when(F.col("shape").isin(")", "]", "}"), -1).otherwise(0)
     level = F.sum("turn").over(by.rowsBetween(Window.unboundedPreceding, 0))
-    rows = rows.withColumn("turn", turn).withColumn("level", level).withColumn("depth", F.when(F.col("turn") == 1, F.col("level") - 1).otherwise(F.col("level")).cast("int"))
+    rows = rows.withColumn("turn", turn).withColumn("level", level)
     shapes = {"p1": F.lag("shape", 1).over(by), "p2": F.lag("shape", 2).over(by), "t1": F.lead("shape", 1).over(by), "t2": F.lead("shape", 2).over(by), "t3": F.lead("shape", 3).over(by)}
     words = {"v1": F.lag("token", 1).over(by), "v2": F.lag("token", 2).over(by), "w1": F.lead("token", 1).over(by), "w2": F.lead("token", 2).over(by)}
-    after = F.min(F.when(F.col("shape") == ";", F.col("at"))).over(by.rowsBetween(0, Window.unboundedFollowing))
+    after = F.when(F.col("shape") == ";", F.col("at")).otherwise(F.expr("lead(if(shape = ';', at, null)) IGNORE NULLS OVER (PARTITION BY project_id, path ORDER BY at)"))
     rows = rows.withColumns(shapes | words | {"after": after})
+    # what a bracket opens is one deeper; brackets stand there once more to be the last one before their content
+    depth = F.when(F.col("turn") == 1, F.col("level") - 1).otherwise(F.col("level")).cast("int")
+    none = F.lit(None).cast("int")
+    itself, again = F.struct(depth.alias("depth"), none.alias("mark")), F.struct((depth + 1).alias("depth"), F.col("at").alias("mark"))
+    rows = rows.withColumn("place", F.explode(F.when(F.col("turn") == 1, F.array(itself, again)).otherwise(F.array(itself))))
+    rows = rows.select("*", "place.depth", "place.mark").withColumn("bracket", F.when((F.col("turn") != 0) & F.col("mark").isNull(), F.struct("at", "shape"))).drop("place")
+    inner = Window.partitionBy(*FILE, "depth").orderBy("at").rowsBetween(Window.unboundedPreceding, 0)
     # brackets of one depth open and close in turn
-    same = Window.partitionBy(*FILE, "depth", F.col("turn") != 0).orderBy("at")
-    rows = rows.withColumns({"next": F.lead("at").over(same), "before": F.lag("at").over(same), "opened": F.lag("shape").over(same)})
-    fits = F.concat(F.coalesce("opened", F.lit("")), F.col("shape")).isin("()", "[]", "{}")
+    beside = lambda f: F.expr(f"{f}(bracket) IGNORE NULLS OVER (PARTITION BY project_id, path, depth ORDER BY at)")
+    rows = rows.withColumns({"around": F.last("mark", ignorenulls=True).over(inner), "next": beside("lead"), "before": beside("lag")}).where("mark is null")
+    fits = F.concat(F.coalesce("before.shape", F.lit("")), F.col("shape")).isin("()", "[]", "{}")
     wrong = F.when((F.col("turn") == -1) & (~fits | (F.col("depth") < 0)), 1).otherwise(0)
     whole = Window.partitionBy(*FILE)
     balanced = (F.max(wrong).over(whole) == 0) & (F.sum("turn").over(whole) == 0)
-    rows = rows.withColumns({"partner": F.when(F.col("turn") == 1, F.col("next")).when(F.col("turn") == -1, F.col("before")), "balanced": balanced})
-    # what a bracket opens is one deeper; brackets stand there once more to be the last one before their content
-    marks = rows.where("turn = 1").select(*FILE, (F.col("depth") + 1).alias("depth"), "at", F.col("at").alias("mark"))
-    held = rows.select(*FILE, "depth", "at", F.lit(None).cast("int").alias("mark")).union(marks)
-    inner = Window.partitionBy(*FILE, "depth").orderBy("at").rowsBetween(Window.unboundedPreceding, 0)
-    held = held.withColumn("around", F.last("mark", ignorenulls=True).over(inner)).where("mark is null").select(*FILE, "at", "around")
-    return written(rows.drop("next", "before", "opened", "turn", "level").join(held, [*FILE, "at"]), "tokens")
+    rows = rows.withColumns({"partner": F.when(F.col("turn") == 1, F.col("next.at")).when(F.col("turn") == -1, F.col("before.at")), "balanced": balanced})
+    return by_merge(written(rows.drop("next", "before", "turn", "level", "mark", "bracket"), "tokens"))
 
 
 def runs(tokens: DataFrame) -> DataFrame:
@@ -272,8 +280,9 @@ def script_functions(tokens: DataFrame) -> DataFrame:
     ends = tokens.where("shape = ')' and t1 = '{'").select(*FILE, F.col("at").alias("partner"))
     opens = tokens.where("shape = '('").select(*FILE, (F.col("at") - 1).alias("at"), "partner").join(ends, [*FILE, "partner"]).select(*FILE, "at")
     members = t.where((F.col("t1") == "(") & ~F.col("token").isin(NO_METHOD)).select(*FILE, "at", "around", "line", "token", "v1").join(opens, [*FILE, "at"])
-    methods = members.join(after.select(*FILE, "around", "class"), [*FILE, "around"]).select(*FILE, F.concat_ws(".", "class", "token").alias("name"), F.when(F.col("v1") == "async", "async_method").otherwise("method").alias("kind"), "line", F.lit(False).alias("exported"))
+    methods = members.join(by_merge(after.select(*FILE, "around", "class")), [*FILE, "around"]).select(*FILE, F.concat_ws(".", "class", "token").alias("name"), F.when(F.col("v1") == "async", "async_method").otherwise("method").alias("kind"), "line", F.lit(False).alias("exported"))
     lists = t.where((F.col("token") == "export") & (F.col("t1") == "{")).select(*FILE, (F.col("at") + 1).alias("around"))
     listed = tokens.where("shape = 'i' and (p1 = '{' or p1 = ',')").join(lists, [*FILE, "around"], "left_semi").select(*FILE, F.col("token").alias("name")).distinct().withColumn("listed", F.lit(True))
+    listed = by_merge(listed)
     rows = named.union(arrows).union(methods).join(listed, [*FILE, "name"], "left")
     return rows.select(*FILE, "name", "kind", "line", (F.col("exported") | F.coalesce("listed", F.lit(False))).alias("exported"))
