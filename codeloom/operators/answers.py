@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from codeloom.functions import text as T
+from codeloom.session import by_merge
 
 #: Folders that the upload form leaves out (fixed values).
 FORM_FOLDERS = ["node_modules", ".git", ".venv", "venv", "__pycache__", "dist", "build", ".next"]
@@ -86,9 +87,13 @@ def without_line(lines: Column, at: Column, language: Column) -> Column:
 def find_symbols(wanted: DataFrame, symbols: DataFrame) -> DataFrame:
     """wanted (id, path, name) with the symbols (path, qualified, name, start) that it means: those with exactly this qualified name, else
     the first few with this plain name."""
+    wanted = by_merge(wanted)
     s = symbols.select("path", F.col("qualified"), F.col("name").alias("plain"), "start")
     exact = wanted.join(s, (wanted["path"] == s["path"]) & (wanted["name"] == s["qualified"])).select("id", F.lit(0).alias("by"), "qualified", "start")
-    plain = wanted.join(s, (wanted["path"] == s["path"]) & (wanted["name"] == s["plain"])).select("id", F.lit(1).alias("by"), "qualified", "start")
+    # no request takes more than the first few of a plain name: so many are kept of each before requests meet them
+    few = F.row_number().over(Window.partitionBy("path", "plain").orderBy("start", "qualified"))
+    p = s.withColumn("nth", few).where(F.col("nth") <= SYMBOLS).select(F.col("path").alias("_path"), "qualified", "plain", "start")
+    plain = wanted.join(p, (wanted["path"] == F.col("_path")) & (wanted["name"] == F.col("plain"))).select("id", F.lit(1).alias("by"), "qualified", "start")
     by_id = Window.partitionBy("id")
     both = exact.union(plain).withColumn("best", F.min("by").over(by_id)).where("by = best")
     place = F.row_number().over(by_id.orderBy("start", "qualified"))
