@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from codeloom.operators.ranges import innermost
-from codeloom.session import written
+from codeloom.session import by_merge, written
 
 #: Symbols of one file that a tier may name, names of a file that users are looked for by, lines of a header, matches of a plain name (fixed values).
 SYMBOLS_PER_FILE, TARGET_NAMES, HEADER_LINES, NAME_MATCHES = 12, 30, 30, 5
@@ -73,6 +73,8 @@ def first_symbols(rows: DataFrame) -> DataFrame:
 def focused_candidates(requests: DataFrame, files: DataFrame, symbols: DataFrame, words: DataFrame, edges: DataFrame, entries: DataFrame, rest: int = REST) -> DataFrame:
     """Candidates (see COLUMNS) of requests to explain or debug a file or a symbol of it: the target, its header, what it depends on, who uses it,
     entry points, other symbols, neighbours and the project's most used files. A request whose symbol is unknown has none."""
+    symbols, edges = written(symbols, "symbols"), written(edges, "edges")  # read by most tiers
+    requests, files, symbols, words, edges = (by_merge(t) for t in (requests, files, symbols, words, edges))
     found = written(matched_symbols(requests, symbols), "matched")
     whole = requests.where("symbol is null").join(files, ["project_id", "path"]).select("request_id", "project_id", "path", "intent", F.lit(1).alias("start"), F.col("line_count").alias("end"))
     whole = whole.where("end >= 1")
