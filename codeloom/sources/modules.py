@@ -20,7 +20,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from codeloom.session import written
+from codeloom.session import by_merge, dealt, written
 
 FILE = ["project_id", "path"]
 NODES = pa.schema(
@@ -119,8 +119,8 @@ def module_nodes(files: DataFrame) -> DataFrame:
         if out:
             yield packed(out)
 
-    rows = files.select("project_id", "path", "text").mapInArrow(run, ", ".join(f"{f.name} {KINDS[f.type]}" for f in NODES))
-    return written(rows, "nodes")
+    rows = dealt(files.select("project_id", "path", "text"), FILE).mapInArrow(run, ", ".join(f"{f.name} {KINDS[f.type]}" for f in NODES))
+    return by_merge(written(rows, "nodes"))
 
 
 def packed(rows: list[tuple]) -> pa.RecordBatch:
@@ -173,7 +173,7 @@ class Facts:
             F.array_sort(F.collect_list(F.when(F.col("field") == "args", F.col("c_name")))).alias("given"), at("args", "c_name").alias("arg"),
             at("value", "c_name").alias("of"), at("slice", "c_kind", "c_name", "c_value", "c_node", "c_last").alias("by"),
         )
-        parts = written(parts, "parts")
+        parts = by_merge(written(parts, "parts"))
         #: (node, scope, line, owner, method, fn, given): calls; fn if a plain name is called, owner and method if `owner.method` is
         calls = parts.where("kind = 'Call'")
         named = F.col("func.c_kind") == "Attribute"
@@ -213,7 +213,7 @@ class Facts:
 
     def without(self, rows: DataFrame, other: DataFrame, keys: list[str], inside: str, lo: str = "from", hi: str = "to") -> DataFrame:
         """rows that have no row of other with the same keys (null-safe keys are not needed) whose `inside` lies from lo to hi."""
-        held = other.select(*[F.col(k).alias(f"_{k}") for k in [*FILE, *keys]], F.col(inside).alias("_in"))
+        held = by_merge(other.select(*[F.col(k).alias(f"_{k}") for k in [*FILE, *keys]], F.col(inside).alias("_in")))
         same = [F.col(k) == F.col(f"_{k}") for k in [*FILE, *keys]]
         return rows.join(held, [*same, F.col("_in").between(F.col(lo), F.col(hi))], "left_anti")
 
@@ -244,7 +244,7 @@ def past_end(facts: Facts) -> DataFrame:
     caught = handlers.join(types, [*FILE, "handler"], "left").join(elements, [*FILE, "c_node"], "left")
     caught = caught.where(F.col("typed").isNull() | ((F.col("c_kind") == "Name") & F.col("c_name").isin(GUARDS)) | ((F.col("c_kind") == "Tuple") & F.col("element"))).select(*FILE, "try").distinct()
     bodies = facts.child.where("field = 'body'").withColumnRenamed("parent", "try").join(caught, [*FILE, "try"], "left_semi").select(*[F.col(c).alias(f"_{c}") for c in FILE], "c_node", "c_last")
-    same = [F.col(c) == F.col(f"_{c}") for c in FILE]
+    same, bodies = [F.col(c) == F.col(f"_{c}") for c in FILE], by_merge(bodies)
     loops = loops.join(bodies, [*same, F.col("loop").between(F.col("c_node"), F.col("c_last"))], "left_anti")
     # comparisons in the body that have both i and len(x)
     tests = facts.nodes.where("kind = 'Compare'").select(*FILE, "scope", F.col("node").alias("c"), F.col("last").alias("z"))
@@ -260,7 +260,7 @@ def skips_first(facts: Facts) -> DataFrame:
     loops = with_reads(facts, loops)
     sums = facts.items.where("i_kind = 'BinOp'").select(*FILE, "scope", "node", "i_node", "i_last")
     counters = facts.names.join(loops.select(*FILE, "i").distinct(), [*FILE, "i"], "left_semi")
-    sums = sums.join(counters, FILE).where(F.col("n").between(F.col("i_node"), F.col("i_last")))
+    sums = sums.join(by_merge(counters), FILE).where(F.col("n").between(F.col("i_node"), F.col("i_last")))
     loops = facts.without(loops, sums.select(*FILE, "scope", "i", "node").distinct(), ["scope", "i"], "node")
     fills = facts.items.where("ctx = 'Store' and i_kind = 'Name'").select(*[F.col(c).alias(f"_{c}") for c in (*FILE, "scope", "i", "seq", "node")])
     same = [F.col(c) == F.col(f"_{c}") for c in (*FILE, "scope", "i")]
@@ -270,7 +270,7 @@ def skips_first(facts: Facts) -> DataFrame:
     firsts = firsts.where("(i_kind = 'Constant' and i_value = 'int' and i = '0') or (i_kind = 'Slice' and (lower is null or lower = 'int:0'))").select(*FILE, F.col("scope").alias("home"), "seq")
     popped = facts.calls.where("method = 'pop'").select(*FILE, F.col("scope").alias("home"), F.col("owner").alias("seq"))
     given = facts.calls.where(F.col("fn").isin(FIRST_TAKERS)).select(*FILE, F.col("scope").alias("home"), F.explode("given").alias("seq"))
-    handled = firsts.union(popped).union(given).distinct()
+    handled = by_merge(firsts.union(popped).union(given).distinct())
     return loops.join(handled, [*FILE, "home", "seq"], "left_anti").select(*FILE, F.col("loop").alias("at"), "line", F.col("read").alias("end"))
 
 
@@ -312,7 +312,7 @@ def mutable_default(facts: Facts) -> DataFrame:
     state = state.union(facts.items.where("ctx = 'Load'").select(*FILE, "scope", F.col("seq").alias("name"), "node")).union(facts.calls.where("method = 'get'").select(*FILE, "scope", F.col("owner").alias("name"), "node"))
     rows = facts.without(rows, rebound.union(outer).union(state), ["scope", "name"], "node")
     grown = facts.calls.where(F.col("method").isin(MUTATORS)).select(*FILE, "scope", F.col("owner").alias("name"), "node", F.col("line").alias("grown"))
-    grown = grown.union(stores.where("added").select(*FILE, "scope", "name", "node", "line"))
+    grown = by_merge(grown.union(stores.where("added").select(*FILE, "scope", "name", "node", "line")))
     both = rows.join(grown, [*FILE, "scope", "name"]).where(F.col("node").between(F.col("from"), F.col("to")))
     return both.groupBy(*FILE, "at", "line").agg(F.min("grown").alias("end"))
 
