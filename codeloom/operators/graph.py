@@ -55,7 +55,11 @@ def resolve_scripts(refs: DataFrame, files: DataFrame) -> DataFrame:
     rows = rows.withColumn("base", F.when(rooted | relative, base))
     local = F.col("base").isNotNull() & ~F.lower("specifier").rlike("^(https?:)?//") & ~F.col("base").rlike(r"^\.\.(/|$)")
     plain = F.when(F.col("base") == ".", F.array([F.lit("index" + e) for e in JS_INDEX_ENDS])).otherwise(F.array(F.col("base"), *[F.concat("base", F.lit(e)) for e in JS_ENDS], *[F.concat("base", F.lit("/index" + e)) for e in JS_INDEX_ENDS]))
-    found = first_known(rows, known, F.when(local, plain).otherwise(F.array().cast("array<string>")))
+    # many references ask for one path: each is looked up once, and those that ask for none meet nothing
+    asks = rows.where(local).select("project_id", "base").distinct().withColumn("id", F.concat_ws("\0", "project_id", "base"))
+    hits = first_known(asks, known, plain).where("path is not null").select("project_id", "base", "path", "kept")
+    found = rows.where(local).join(hits, ["project_id", "base"], "left").select(*rows.columns, "path", "kept")
+    found = found.unionByName(rows.where(~F.coalesce(local, F.lit(False))).withColumns({"path": F.lit(None).cast("string"), "kept": F.lit(None).cast("boolean")}))
     low = F.lower("specifier")
     kind = F.when(low.rlike("^(https?:)?//"), "url").when(F.startswith(low, F.lit("node:")) | F.col("specifier").isin(BUILTINS) | F.col("top").isin(BUILTINS), "builtin")
     alias = F.col("base").isNull() & (F.col("specifier").rlike(ALIASES) | F.coalesce("is_top", F.lit(False)))

@@ -3,7 +3,7 @@
 import pytest
 from pyspark.sql import functions as F
 
-from codeloom.operators import answers
+from codeloom.operators import answers, graph
 from codeloom.sources import modules, scripts
 
 FILES = "project_id string, path string, text string"
@@ -50,6 +50,30 @@ def test_plain_names_meet_only_their_first_symbols(spark):
     assert max(rows) <= 20_000
 
 
+def test_each_path_is_looked_up_once(spark):
+    """A thousand references to one path, and a thousand to none, are not taken through its fourteen endings each."""
+    refs = spark.range(2000).selectExpr("cast(id as string) as id", "'p' as project_id", "'a/x.js' as source", "if(id % 2 = 0, './b', 'node:fs') as specifier")
+    files = spark.createDataFrame([("p", "a/b.js", None), ("p", "a/x.js", None)], "project_id string, path string, reason string")
+    found = graph.resolve_scripts(refs, files)
+    got = {(r["specifier"], r["status"], r["target"], r["n"]) for r in found.groupBy("specifier", "status", "target").agg(F.count("*").alias("n")).collect()}
+    assert got == {("./b", "resolved", "a/b.js", 1000), ("node:fs", "external", None, 1000)}
+    found.collect()
+    assert max(made_rows(found._jdf.queryExecution().executedPlan(), "Generate")) <= 20
+
+
+def made_rows(node, name):
+    """Rows that the steps of an executed plan with this name made."""
+    if node.getClass().getSimpleName() == "AdaptiveSparkPlanExec":
+        node = node.executedPlan()
+    if node.getClass().getSimpleName().endswith("QueryStageExec"):
+        node = node.plan()
+    if name in node.nodeName() and node.metrics().contains("numOutputRows"):
+        yield node.metrics().apply("numOutputRows").value()
+    kids = node.children()
+    for i in range(kids.size()):
+        yield from made_rows(kids.apply(i), name)
+
+
 def max_rows(node):
     """Rows that the joins of an executed plan made."""
     if node.getClass().getSimpleName() == "AdaptiveSparkPlanExec":
