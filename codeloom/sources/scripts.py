@@ -1,9 +1,9 @@
 """Scripts as tables of tokens, and what joins and windows over these tokens say about a file.
 
 A small scanner turns each text into token rows inside `mapInArrow`; it follows templates with substitutions in them to any depth and tells
-a pattern from a division by the token before it. Everything after that is windows over the tokens of a file, all of them behind one
-exchange by file: brackets get their depth and partner, every token the bracket around it, and dotted names become runs. Rules and
-declarations are joins of these tables. A file is one row of the sources and at most `too_large` bytes long, so it is never an unbounded group.
+a pattern from a division by the token before it, and notes each bracket's depth and partner, the bracket around each token and the tokens
+beside it. Rules, declarations and dotted names are joins and windows of these rows. A file is one row of the sources and at most
+`too_large` bytes long, so it is never an unbounded group.
 
 Edge cases: a null text has no tokens; an unclosed string ends with its line, an unclosed comment or template with the file; files
 whose brackets do not pair up keep their tokens, but have no hits (`balanced` is false).
@@ -23,7 +23,13 @@ from pyspark.sql.window import Window
 from codeloom.session import by_merge, dealt, written
 
 FILE = ["project_id", "path"]
-TOKENS = pa.schema([("project_id", pa.string()), ("path", pa.string()), ("at", pa.int32()), ("line", pa.int32()), ("shape", pa.string()), ("token", pa.string())])
+PAIRS = {"(": ")", "[": "]", "{": "}"}
+#: Columns of the tokens beside one: whose column, and how far away.
+BESIDE = {"p1": ("shape", -1), "p2": ("shape", -2), "t1": ("shape", 1), "t2": ("shape", 2), "t3": ("shape", 3), "v1": ("token", -1), "v2": ("token", -2), "w1": ("token", 1), "w2": ("token", 2)}
+TOKENS = pa.schema(
+    [("project_id", pa.string()), ("path", pa.string()), ("at", pa.int32()), ("line", pa.int32()), ("shape", pa.string()), ("token", pa.string())]
+    + [(c, pa.int32()) for c in ("depth", "around", "partner", "after")] + [(c, pa.string()) for c in BESIDE] + [("balanced", pa.bool_())]
+)
 #: Words after which a slash begins a pattern (fixed values).
 BEFORE_PATTERN = frozenset(["return", "typeof", "instanceof", "in", "of", "new", "delete", "void", "throw", "case", "do", "else", "yield", "await"])
 #: Candidate loops of a file that a rule looks at, hits of a rule in a file, and names of constants (fixed values).
@@ -94,63 +100,73 @@ def scanned(text: str) -> Iterator[tuple[int, str, str]]:
         at = end
 
 
+def bracketed(shapes: list[str]) -> tuple[list, bool]:
+    """[(depth, around, partner, after)] of a file's tokens, and whether its brackets pair up (see `script_tokens`)."""
+    places, partners, after, level, opened, unpaired, fits = [], [None] * len(shapes), [], 0, {}, {}, True
+    for at, shape in enumerate(shapes, 1):
+        if shape in PAIRS.values():
+            level -= 1
+            begin = unpaired.pop(level, None)
+            if begin:
+                partners[at - 1], partners[begin - 1] = begin, at
+            fits = fits and level >= 0 and begin is not None and PAIRS.get(shapes[begin - 1]) == shape
+        places.append((level, opened.get(level)))
+        if shape in PAIRS:
+            unpaired[level] = at
+            level += 1
+            opened[level] = at
+        elif shape == ";":
+            after += [at] * (at - len(after))
+    after += [None] * (len(shapes) - len(after))
+    return [(*place, partner, semicolon) for place, partner, semicolon in zip(places, partners, after, strict=True)], fits and level == 0
+
+
 def token_rows(files: DataFrame) -> DataFrame:
-    """(project_id, path, at, line, shape, token), at counting from 1; comments and blanks left out."""
+    """The columns of `script_tokens`, at counting from 1; comments and blanks left out."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         out, owners = [], []
         for batch in batches:
             for project, path, text in zip(*(batch.column(c) for c in range(3)), strict=True):
-                owners.append((project.as_py(), path.as_py(), len(out)))
-                for at, found in enumerate(scanned(text.as_py() or ""), 1):
-                    out.append((at, *found))
-                    if len(out) == BATCH:
-                        yield packed(out, owners)
-                        out, owners = [], [(*owners[-1][:2], 0)]
+                found = list(scanned(text.as_py() or ""))
+                places, balanced = bracketed([shape for _, shape, _ in found])
+                owners.append((project.as_py(), path.as_py(), balanced, len(out)))
+                out += [(at, *token, *place) for at, (token, place) in enumerate(zip(found, places, strict=True), 1)]
+                if len(out) >= BATCH:
+                    yield from packed(out, owners)
+                    out, owners = [], []
         if out:
-            yield packed(out, owners)
+            yield from packed(out, owners)
+
+    schema = ", ".join(f"{f.name} {'string' if f.type == pa.string() else 'boolean' if f.type == pa.bool_() else 'int'}" for f in TOKENS)
+    return dealt(files.select("project_id", "path", "text"), FILE).mapInArrow(run, schema)
 
-    return dealt(files.select("project_id", "path", "text"), FILE).mapInArrow(run, "project_id string, path string, at int, line int, shape string, token string")
 
+def packed(rows: list[tuple], owners: list[tuple]) -> Iterator[pa.RecordBatch]:
+    """rows (at, line, shape, token, depth, around, partner, after) of whole files as batches; owners: (project_id, path, balanced, where
+    the file's rows begin). Shapes and words of the tokens beside one are taken from the same columns, a few rows away."""
+    project, path, balanced, begins = zip(*owners, strict=True)
+    whose = np.repeat(np.arange(len(owners)), np.diff([*begins, len(rows)]))
+    own = [pa.array(c, t).take(pa.array(whose)) for c, t in ((project, pa.string()), (path, pa.string()), (balanced, pa.bool_()))]
+    rest = {f.name: pa.array(c, f.type) for c, f in zip(zip(*rows, strict=True), list(TOKENS)[2:10], strict=True)}
+    place = np.arange(len(rows))
 
-def packed(rows: list[tuple], owners: list[tuple]) -> pa.RecordBatch:
-    """rows (at, line, shape, token) as a batch; owners: (project_id, path, where the file's rows begin)."""
-    project, path, begins = zip(*owners, strict=True)
-    whose = pa.array(np.repeat(np.arange(len(owners)), np.diff([*begins, len(rows)])))
-    own = [pa.array(c, pa.string()).take(whose) for c in (project, path)]
-    rest = [pa.array(c, f.type) for c, f in zip(zip(*rows, strict=True), list(TOKENS)[2:], strict=True)]
-    return pa.RecordBatch.from_arrays([*own, *rest], schema=TOKENS)
+    def beside(column: str, step: int) -> pa.Array:
+        to = np.clip(place + step, 0, len(rows) - 1)
+        return rest[column].take(pa.array(to, mask=(to != place + step) | (whose[to] != whose)))
+
+    sides = [beside(column, step) for column, step in BESIDE.values()]
+    batch = pa.RecordBatch.from_arrays([own[0], own[1], *rest.values(), *sides, own[2]], schema=TOKENS)
+    for lo in range(0, len(rows), BATCH):
+        yield batch.slice(lo, BATCH)
 
 
 def script_tokens(files: DataFrame) -> DataFrame:
     """Tokens with depth (brackets around them), partner (of a bracket: where the other one is), around (where the bracket around them opens),
     p1, p2, t1, t2, t3 (shapes before and after), v1, v2, w1, w2 (words there), after (where the next semicolon is) and balanced (of the file).
-    A written table: texts are scanned once, whatever is asked of their tokens."""
-    by = Window.partitionBy(*FILE).orderBy("at")
-    rows = token_rows(files)
-    turn = F.when(F.col("shape").isin("(", "[", "{"), 1).when(F.col("shape").isin(")", "]", "}"), -1).otherwise(0)
-    level = F.sum("turn").over(by.rowsBetween(Window.unboundedPreceding, 0))
-    rows = rows.withColumn("turn", turn).withColumn("level", level)
-    shapes = {"p1": F.lag("shape", 1).over(by), "p2": F.lag("shape", 2).over(by), "t1": F.lead("shape", 1).over(by), "t2": F.lead("shape", 2).over(by), "t3": F.lead("shape", 3).over(by)}
-    words = {"v1": F.lag("token", 1).over(by), "v2": F.lag("token", 2).over(by), "w1": F.lead("token", 1).over(by), "w2": F.lead("token", 2).over(by)}
-    after = F.when(F.col("shape") == ";", F.col("at")).otherwise(F.expr("lead(if(shape = ';', at, null)) IGNORE NULLS OVER (PARTITION BY project_id, path ORDER BY at)"))
-    rows = rows.withColumns(shapes | words | {"after": after})
-    # what a bracket opens is one deeper; brackets stand there once more to be the last one before their content
-    depth = F.when(F.col("turn") == 1, F.col("level") - 1).otherwise(F.col("level")).cast("int")
-    none = F.lit(None).cast("int")
-    itself, again = F.struct(depth.alias("depth"), none.alias("mark")), F.struct((depth + 1).alias("depth"), F.col("at").alias("mark"))
-    rows = rows.withColumn("place", F.explode(F.when(F.col("turn") == 1, F.array(itself, again)).otherwise(F.array(itself))))
-    rows = rows.select("*", "place.depth", "place.mark").withColumn("bracket", F.when((F.col("turn") != 0) & F.col("mark").isNull(), F.struct("at", "shape"))).drop("place")
-    inner = Window.partitionBy(*FILE, "depth").orderBy("at").rowsBetween(Window.unboundedPreceding, 0)
-    # brackets of one depth open and close in turn
-    beside = lambda f: F.expr(f"{f}(bracket) IGNORE NULLS OVER (PARTITION BY project_id, path, depth ORDER BY at)")
-    rows = rows.withColumns({"around": F.last("mark", ignorenulls=True).over(inner), "next": beside("lead"), "before": beside("lag")}).where("mark is null")
-    fits = F.concat(F.coalesce("before.shape", F.lit("")), F.col("shape")).isin("()", "[]", "{}")
-    wrong = F.when((F.col("turn") == -1) & (~fits | (F.col("depth") < 0)), 1).otherwise(0)
-    whole = Window.partitionBy(*FILE)
-    balanced = (F.max(wrong).over(whole) == 0) & (F.sum("turn").over(whole) == 0)
-    rows = rows.withColumns({"partner": F.when(F.col("turn") == 1, F.col("next.at")).when(F.col("turn") == -1, F.col("before.at")), "balanced": balanced})
-    return by_merge(written(rows.drop("next", "before", "turn", "level", "mark", "bracket"), "tokens"))
+    A written table: texts are scanned once, whatever is asked of their tokens; all of this is known where a file is scanned, so tokens
+    are neither shuffled nor sorted for it."""
+    return by_merge(written(token_rows(files), "tokens"))
 
 
 def runs(tokens: DataFrame) -> DataFrame:

@@ -31,6 +31,21 @@ def test_next_semicolon_of_each_token(spark):
     assert [r["after"] for r in tokens.orderBy("at").collect()] == [2, 2, 6, 6, 6, 6, None, None, None]
 
 
+def test_tokens_are_placed_where_they_are_scanned(spark):
+    """One exchange of the files, none of their tokens; brackets that do not pair up keep their tokens' places."""
+    files = sample_files(spark, ".js", "a(b; [c) d]; x", 2)
+    plan = plan_of(scripts.token_rows(files))
+    assert "Window" not in plan and "Sort" not in plan and plan.count("Exchange") == 1
+    got = scripts.script_tokens(files.where("path = '001.js'")).orderBy("at").collect()
+    assert [r["depth"] for r in got] == [0, 0, 1, 1, 1, 2, 1, 1, 0, 0, 0]
+    assert [r["around"] for r in got] == [None, None, 2, 2, 2, 5, 2, 2, None, None, None]
+    assert [r["partner"] for r in got] == [None, 9, None, None, 7, None, 5, None, 2, None, None]
+    assert [r["after"] for r in got] == [4, 4, 4, 4, 10, 10, 10, 10, 10, 10, None]
+    assert [r["p2"] for r in got] == [None, None, "i", "(", "i", ";", "[", "i", ")", "i", "]"]
+    assert [r["w1"] for r in got] == ["(", "b", ";", "[", "c", ")", "d", "]", ";", "x", None]
+    assert not any(r["balanced"] for r in got)
+
+
 def test_nodes_are_made_in_many_tasks_and_joined_without_a_broadcast(spark):
     nodes = modules.module_nodes(sample_files(spark, ".py", "import a\nX = 1\ndef f(b=[]):\n    b.append(1)\n").coalesce(1))
     assert len({f.rsplit("/", 1)[1] for f in nodes.inputFiles()}) > 1
