@@ -41,13 +41,13 @@ from codeloom.llm.common import give_back, read
 MODEL = "piece_bpe_32k.model"
 SPACE = "▁"
 #: Parts whose paths a worker keeps (twice: new and old), the longest that it keeps, and pairs of pieces whose order it keeps.
-KNOWN, LONGEST, PAIRS = 200_000, 32, 300_000
+KNOWN, LONGEST, PAIRS = 150_000, 32, 300_000
+#: Pairs of pieces whose order is kept as arrays (9 bytes each).
+ARCS = 1_000_000
 UNIGRAM, BYTE_PAIR = 1, 2
 NOTHING: dict[str, bool] = {}
 #: Bytes of text that are encoded together, and new parts whose arcs are relaxed together.
-SLICE, TOGETHER = 4_000_000, 10_000
-#: What stands between parts while Arrow cuts a text.
-SEPARATOR = "\x1e"
+SLICE, TOGETHER = 1_000_000, 5_000
 PART = re.compile(f"{SPACE}*[^{SPACE}]+|{SPACE}+")
 
 
@@ -219,6 +219,13 @@ class Machine:
         weights[list(self.piece)] = [self.trie[p] for p in self.piece.values()]
         self.weights, self.start = weights, len(weights)  # the order machine's start is numbered after all pieces
         self.pair_keys, self.pair_told = np.zeros(0, np.int64), np.zeros(0, bool)
+        # characters that stand beside another one in a piece, numbered from 1, and which two stand so
+        chars = sorted({c for pair in self.inside for c in pair})
+        number = {c: i for i, c in enumerate(chars, 1)}
+        self.number, self.beside = np.zeros(0x110000, np.uint16 if len(chars) < 65535 else np.uint32), np.zeros((len(chars) + 1, len(chars) + 1), bool)
+        self.number[[ord(c) for c in chars]] = range(1, len(chars) + 1)
+        for a, b in self.inside:
+            self.beside[number[a], number[b]] = True
 
     def allowed(self, u: np.ndarray, t: np.ndarray) -> np.ndarray:
         """Which arcs of the order machine, from pieces u to pieces t, have a finite weight."""
@@ -226,13 +233,12 @@ class Machine:
         at = np.minimum(np.searchsorted(self.pair_keys, key), max(0, len(self.pair_keys) - 1))
         if not len(self.pair_keys) or (lost := self.pair_keys[at] != key).any():
             new = np.unique(key[lost] if len(self.pair_keys) else key)
-            if len(self.pair_keys) > PAIRS:
+            if len(self.pair_keys) > ARCS:
                 self.pair_keys, self.pair_told = np.zeros(0, np.int64), np.zeros(0, bool)
                 new = np.unique(key)
             told = [self.merged(("" if k >> 32 == self.start else self.piece[k >> 32]) + self.piece[k & 0xFFFFFFFF]) == [x for x in (self.piece.get(k >> 32), self.piece[k & 0xFFFFFFFF]) if x] for k in new.tolist()]
-            keys, told = np.concatenate((self.pair_keys, new)), np.concatenate((self.pair_told, np.array(told, bool)))
-            order = np.argsort(keys, kind="stable")
-            self.pair_keys, self.pair_told = keys[order], told[order]
+            to = np.searchsorted(self.pair_keys, new)
+            self.pair_keys, self.pair_told = np.insert(self.pair_keys, to, new), np.insert(self.pair_told, to, told)
             at = np.searchsorted(self.pair_keys, key)
         return self.pair_told[at]
 
@@ -293,30 +299,24 @@ class Machine:
                 at = i
         return [*found, part[at:]] if part else []
 
-    def learn(self, parts: list[str]) -> list[bytes]:
-        """Ids of parts that the table does not have."""
-        known, old, told, inside = self.known, self.old, {}, self.inside
-        cuts, short = [], []
-        for p in parts:
-            own = [p] if all(map(inside.__contains__, map(str.__add__, p, p[1:]))) else self.cut(p)
-            for c in own:
-                if c not in told:
-                    ids = told[c] = known.get(c) or old.get(c)
-                    if ids is None and 1 < len(c) <= LONGEST:
-                        short.append(c)
-                    elif ids is None:
-                        told[c] = self.ids_of(c)
-            cuts.append(own)
+    def learn(self, cuts: list[str]) -> list[bytes]:
+        """Ids of different parts that `cut` leaves whole and the table does not have."""
+        short = [c for c in cuts if 1 < len(c) <= LONGEST]
+        told = {}
         for lo in range(0, len(short), TOGETHER):
             some = short[lo : lo + TOGETHER]
             told.update(zip(some, self.relaxed(some), strict=True))
-        out = [told[own[0]] if len(own) == 1 else b"".join([told[c] for c in own]) for own in cuts]
-        for c, ids in (*told.items(), *zip(parts, out, strict=True)):
+        out = [told[c] if c in told else self.ids_of(c) for c in cuts]
+        for c, ids in zip(cuts, out, strict=True):
             self.keep(c, ids)
         return out
 
     def look_up(self, part: str) -> bytes:
-        return self.old.get(part) or self.learn([part])[0]
+        if ids := self.old.get(part):
+            return ids
+        ids = b"".join([self.known.get(c) or self.old.get(c) or self.learn([c])[0] for c in self.cut(part)])
+        self.keep(part, ids)
+        return ids
 
     def keep(self, part: str, ids: bytes) -> None:
         if len(part) <= LONGEST:
@@ -328,17 +328,33 @@ class Machine:
         parts = PART.findall(self.normaliser.apply(text))
         return np.frombuffer(b"".join([self.known.get(p) or self.look_up(p) for p in parts]), dtype=self.type)
 
+    def cut_all(self, texts: pa.Array) -> tuple[pa.DictionaryArray, np.ndarray]:
+        """What `cut` makes of all texts, numbered by Arrow, and where each text's parts begin (and the last one's end)."""
+        whole = "".join(texts.to_pylist())
+        code = np.frombuffer(whole.encode("utf-32-le"), np.uint32)
+        begins = np.concatenate(([0], np.cumsum(pc.utf8_length(texts).to_numpy(zero_copy_only=False), dtype=np.int64)))
+        number, apart = self.number[code], np.ones(len(code) + 1, bool)
+        if len(code):
+            apart[1:-1] = ~self.beside[number[:-1], number[1:]] | ((code[1:] == ord(SPACE)) & (code[:-1] != ord(SPACE)))
+        apart[begins] = True
+        starts = np.flatnonzero(apart)
+        width = np.ones(len(code) + 1, np.int32)
+        for least in (0x7F, 0x7FF, 0xFFFF):
+            width[:-1] += code > least
+        at = (np.cumsum(width) - width)[starts].astype(np.int32)
+        parts = pa.StringArray.from_buffers(len(starts) - 1, pa.py_buffer(at), pa.py_buffer(whole.encode()))
+        return parts.dictionary_encode(), np.searchsorted(starts, begins)
+
     def encode_all(self, texts: pa.Array) -> list[np.ndarray]:
-        """Ids of an Arrow array of strings without nulls. Arrow cuts the texts and numbers the distinct parts, each of which is looked up
-        once; a normaliser that Arrow does not know, or a text that has the separator itself, is cut here."""
-        if self.normaliser.squeeze or self.normaliser.first != SPACE or pc.any(pc.match_substring(texts, SEPARATOR)).as_py():
+        """Ids of an Arrow array of strings without nulls. Texts are cut where no piece spans the neighbours, for all of them at once, and each of
+        the different parts is looked up once; texts of a normaliser that is not known here are taken one by one."""
+        if self.normaliser.squeeze or self.normaliser.first != SPACE:
             return [self.encode(t) for t in texts.to_pylist()]
         spaced = pc.replace_substring(pc.if_else(pc.equal(texts, ""), "", pc.binary_join_element_wise(SPACE, texts, "")), " ", SPACE)
-        lists = pc.split_pattern(pc.replace_substring_regex(spaced, f"({SPACE}*[^{SPACE}]+|{SPACE}+)", rf"\1{SEPARATOR}"), SEPARATOR)
-        coded = lists.flatten().dictionary_encode()
+        coded, begins = self.cut_all(spaced)
         parts = coded.dictionary.to_pylist()
         known, old = self.known, self.old
-        held = [known.get(p) or old.get(p) if p else b"" for p in parts]
+        held = [known.get(p) or old.get(p) for p in parts]
         new = [i for i, ids in enumerate(held) if ids is None]
         for i, ids in zip(new, self.learn([parts[i] for i in new]), strict=True):
             held[i] = ids
@@ -347,7 +363,7 @@ class Machine:
         n = size[at]
         ends = np.concatenate(([0], np.cumsum(n)))
         ids = flat[np.arange(ends[-1]) + np.repeat(start[at] - ends[:-1], n)]
-        cut = ends[lists.offsets.to_numpy()].tolist()
+        cut = ends[begins].tolist()
         return [ids[lo:hi] for lo, hi in zip(cut[:-1], cut[1:], strict=True)]
 
     def decode(self, ids: np.ndarray) -> str:
