@@ -189,11 +189,13 @@ def outcome_text(possible: Column, worth: Column, problems: Column) -> Column:
 def checked_hits(hits: DataFrame, shown: DataFrame) -> DataFrame:
     """hits (request, hit, path, rule, strength, start, focus) in the order of output (P1, P2, ...), with shown: all focus lines were in
     ranges (request, path, a, z) that the answer could see."""
-    lines = hits.select("request", "hit", "path", F.explode("focus").alias("line"))
-    seen = lines.join(shown, ["request", "path"], "left").groupBy("request", "hit", "path", "line").agg(F.coalesce(F.bool_or(F.col("line").between(F.col("a"), F.col("z"))), F.lit(False)).alias("seen"))
-    every = seen.groupBy("request", "hit").agg(F.bool_and("seen").alias("shown"))
+    ranges = shown.where("request is not null").groupBy("request").agg(F.collect_set(F.struct("path", "a", "z")).alias("_ranges"))
+    seen = lambda line: F.coalesce(F.exists("_ranges", lambda r: (r["path"] == F.col("path")) & line.between(r["a"], r["z"])), F.lit(False))
+    rows = hits.join(ranges.hint("merge"), "request", "left").withColumn("_seen", F.coalesce(F.forall("focus", seen), F.lit(True))).drop("_ranges")
+    # a hit that stands twice is seen if all its lines are
+    every = F.bool_and("_seen").over(Window.partitionBy("request", "hit")) | F.col("request").isNull() | F.col("hit").isNull()
     place = F.row_number().over(Window.partitionBy("request").orderBy(F.col("strength") != "problem", "start", "rule", "hit"))
-    return hits.join(every, ["request", "hit"], "left").withColumn("id", F.concat(F.lit("P"), place.cast("string"))).select("request", "id", "hit", "rule", F.coalesce("shown", F.lit(True)).alias("shown"))
+    return rows.withColumns({"shown": every, "id": F.concat(F.lit("P"), place.cast("string"))}).select("request", "id", "hit", "rule", "shown")
 
 
 def sections(drafts: DataFrame) -> DataFrame:

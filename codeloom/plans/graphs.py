@@ -7,6 +7,7 @@ from pyspark.sql.window import Window
 
 from codeloom.operators import evidence as E
 from codeloom.operators import graph as G
+from codeloom.session import spread
 from codeloom.sources.tables import table
 
 STDLIB = ["os", "sys", "json", "re"]
@@ -22,7 +23,8 @@ def module_files(spark, sf_dir, end):
 
 
 def line_refs(spark, sf_dir):
-    return table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey").distinct().withColumns({"s": F.col("l_partkey"), "t": F.expr(TARGET), "id": F.concat_ws("-", "l_orderkey", "l_linenumber", "l_partkey", "l_suppkey"), "project_id": F.lit("all")})
+    li = table(spark, sf_dir, "lineitem")
+    return spread(li.select("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey"), li.count(), "l_orderkey").distinct().withColumns({"s": F.col("l_partkey"), "t": F.expr(TARGET), "id": F.concat_ws("-", "l_orderkey", "l_linenumber", "l_partkey", "l_suppkey"), "project_id": F.lit("all")})
 
 
 def script_edges(spark, sf_dir):

@@ -7,6 +7,7 @@ from pyspark.sql.window import Window
 
 from codeloom.operators import packing as P
 from codeloom.operators import ranges as R
+from codeloom.session import spread
 from codeloom.sources.tables import table
 from codeloom.streaming import sessions as S
 
@@ -15,7 +16,8 @@ def order_ranges(spark, sf_dir):
     """(owner, id, start, end, name): each line item as a range of lines of its order."""
     li = table(spark, sf_dir, "lineitem")
     start = (F.col("l_partkey") % 97 + 1).cast("long")
-    return li.select(F.col("l_orderkey").alias("owner"), F.concat_ws("-", "l_orderkey", "l_linenumber", "l_partkey", "l_suppkey").alias("id"), start.alias("start"), (start + F.col("l_quantity").cast("long")).alias("end"), F.concat(F.lit("s"), (F.col("l_suppkey") % 5).cast("string")).alias("name")).dropDuplicates(["owner", "start", "end", "name"])
+    rows = li.select(F.col("l_orderkey").alias("owner"), F.concat_ws("-", "l_orderkey", "l_linenumber", "l_partkey", "l_suppkey").alias("id"), start.alias("start"), (start + F.col("l_quantity").cast("long")).alias("end"), F.concat(F.lit("s"), (F.col("l_suppkey") % 5).cast("string")).alias("name"))
+    return spread(rows, li.count(), "owner").dropDuplicates(["owner", "start", "end", "name"])
 
 
 RANGES_SQL = """r AS (SELECT l_orderkey AS owner, CAST(l_partkey % 97 + 1 AS BIGINT) AS start, CAST(l_partkey % 97 + 1 + CAST(l_quantity AS BIGINT) AS BIGINT) AS "end", 's' || (l_suppkey % 5) AS name

@@ -3,7 +3,8 @@
 import pytest
 from pyspark.sql import functions as F
 
-from codeloom.operators import answers
+from codeloom.operators import answers, graph
+from codeloom.session import ROWS_A_TASK, spread
 from codeloom.sources import modules, scripts
 
 FILES = "project_id string, path string, text string"
@@ -65,6 +66,34 @@ def test_plain_names_meet_only_their_first_symbols(spark):
     assert max(rows) <= 20_000
 
 
+def test_larger_tables_are_dealt_to_more_tasks(spark):
+    df = spark.range(100).withColumn("owner", F.col("id") % 7)
+    assert [spread(df, n, "owner").select(F.spark_partition_id()).rdd.getNumPartitions() for n in (100, 10 * ROWS_A_TASK)] == [4, 10]
+
+
+def test_hits_are_dealt_out_once(spark):
+    hits = spark.createDataFrame([(1, "a", "f", "r", "problem", 3, [3, 9]), (1, "b", "f", "r", "worth", 1, [3]), (1, "b", "g", "r", "worth", 2, [3]), (1, "c", "f", "r", "worth", 4, []), (2, "a", "f", "r", "worth", 1, [5])], "request int, hit string, path string, rule string, strength string, start int, focus array<int>")
+    shown = spark.createDataFrame([(1, "f", 1, 4), (1, "f", 8, 9)], "request int, path string, a int, z int")
+    found = answers.checked_hits(spread(hits, 5, "request"), shown)
+    assert sorted(tuple(r) for r in found.collect()) == [(1, "P1", "a", "r", True), (1, "P2", "b", "r", False), (1, "P3", "b", "r", False), (1, "P4", "c", "r", True), (2, "P1", "a", "r", False)]
+    assert found._jdf.queryExecution().executedPlan().toString().split("== Initial Plan ==")[0].count("Exchange hashpartitioning(request") <= 3
+
+
+def test_alike_references_are_resolved_once(spark, monkeypatch):
+    asked, first = [], graph.first_known
+    monkeypatch.setattr(graph, "first_known", lambda refs, *rest: asked.append(refs.count()) or first(refs, *rest))
+    refs = spark.range(500).selectExpr("cast(id as string) as id", "'p' as project_id", "concat('d/s', id, '.js') as source", "' ./x ' as specifier")
+    files = spark.createDataFrame([("p", "d/x.js", None)], "project_id string, path string, reason string")
+    found = graph.resolve_scripts(refs, files)
+    assert found.groupBy("specifier", "status", "target").count().collect() == [("./x", "resolved", "d/x.js", 500)]
+    assert asked == [1]
+
+
+def test_graph_tables_are_not_broadcast(spark):
+    edges = graph.saved(spark.range(10).selectExpr("id as source", "id + 1 as target"))
+    assert "Broadcast" not in plan_of(edges.join(spark.range(5).withColumnRenamed("id", "source"), "source"))
+
+
 def max_rows(node):
     """Rows that the joins of an executed plan made."""
     if node.getClass().getSimpleName() == "AdaptiveSparkPlanExec":
