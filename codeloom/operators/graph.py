@@ -12,7 +12,7 @@ from pyspark.sql.window import Window
 
 from codeloom.functions import text as T
 from codeloom.operators.running import in_ranges, sum_before
-from codeloom.session import written
+from codeloom.session import by_merge, written
 
 #: Extensions tried after a script's import path, in order, and after `index` in a folder (fixed values).
 JS_ENDS = [".js", ".mjs", ".cjs", ".jsx", ".json", ".ts", ".tsx"]
@@ -44,14 +44,26 @@ def ended(status: Column) -> list[Column]:
 
 
 def resolve_scripts(refs: DataFrame, files: DataFrame) -> DataFrame:
-    """refs (id, project_id, source, specifier) of scripts with status, target and external kind."""
+    """refs (id, project_id, source, specifier) of scripts with status, target and external kind. What files of one folder ask for alike is
+    resolved once."""
+    question = ["project_id", "folder", "specifier"]
+    rows = refs.withColumn("folder", T.dir_name(F.col("source")))
+    asked = written(rows.select(*question).distinct().withColumn("id", F.monotonically_increasing_id()), "asked")
+    told = written(resolved_script_questions(asked, files), "told")
+    same = [rows[c].eqNullSafe(F.col(f"_{c}")) for c in question]
+    out = rows.drop("status", "target", "external_kind").join(told.withColumnsRenamed({c: f"_{c}" for c in question}), same)
+    return out.select(*[F.trim(c).alias(c) if c == "specifier" else c for c in refs.columns], "status", "target", "external_kind")
+
+
+def resolved_script_questions(refs: DataFrame, files: DataFrame) -> DataFrame:
+    """Different questions (id, project_id, folder, specifier) with status, target and external kind."""
     known = known_paths(files)
     tops = known.select("project_id", F.regexp_replace(F.split("path", "/")[0], r"(.)\.[^.]*$", "$1").alias("top")).distinct().withColumn("is_top", F.lit(True))
     spec = F.trim("specifier")
     head = F.split(spec, "/")[0]
     rooted, relative = F.startswith(spec, F.lit("/")), spec.isin(".", "..") | spec.rlike(r"^\.\.?/")
-    base = T.normal_path(F.when(rooted, F.regexp_replace(spec, "^/+", "")).otherwise(F.concat_ws("/", F.when(T.dir_name(F.col("source")) != "", T.dir_name(F.col("source"))), spec)))
-    rows = refs.where(spec != "").withColumns({"specifier": spec, "top": head}).join(tops, ["project_id", "top"], "left")
+    base = T.normal_path(F.when(rooted, F.regexp_replace(spec, "^/+", "")).otherwise(F.concat_ws("/", F.when(F.col("folder") != "", F.col("folder")), spec)))
+    rows = refs.where(spec != "").withColumns({"asked": F.col("specifier"), "specifier": spec, "top": head}).join(tops, ["project_id", "top"], "left")
     rows = rows.withColumn("base", F.when(rooted | relative, base))
     local = F.col("base").isNotNull() & ~F.lower("specifier").rlike("^(https?:)?//") & ~F.col("base").rlike(r"^\.\.(/|$)")
     plain = F.when(F.col("base") == ".", F.array([F.lit("index" + e) for e in JS_INDEX_ENDS])).otherwise(F.array(F.col("base"), *[F.concat("base", F.lit(e)) for e in JS_ENDS], *[F.concat("base", F.lit("/index" + e)) for e in JS_INDEX_ENDS]))
@@ -63,7 +75,7 @@ def resolve_scripts(refs: DataFrame, files: DataFrame) -> DataFrame:
         F.when(kind.isNotNull(), "external").when(alias, "unresolved").when(F.col("base").isNull(), "external").when(F.col("base").rlike(r"^\.\.(/|$)"), "unresolved")
         .when(F.col("kept"), "resolved").when(F.col("path").isNotNull(), "excluded").when(F.startswith("specifier", F.lit("/")), "unresolved").otherwise("missing")
     )
-    return found.select(*refs.columns, *ended(status), F.when(status == "external", F.coalesce(kind, F.lit("package"))).alias("external_kind"))
+    return found.select("project_id", "folder", F.col("asked").alias("specifier"), *ended(status), F.when(status == "external", F.coalesce(kind, F.lit("package"))).alias("external_kind"))
 
 
 def resolve_web(refs: DataFrame, files: DataFrame) -> DataFrame:
@@ -88,12 +100,24 @@ def resolve_modules(refs: DataFrame, files: DataFrame, stdlib: list[str]) -> Dat
     """refs (id, project_id, source, specifier, names, level) of modules: one row for each file that they reach.
 
     Roots are tried in order: for absolute names the importing file's folder, its ancestors, then `src`; relative names
-    have one. The first root with the module or a submodule of it that is imported by name decides.
+    have one. The first root with the module or a submodule of it that is imported by name decides. What files of one folder ask for alike is
+    resolved once.
     """
+    question = ["project_id", "folder", "specifier", "names", "level"]
+    refs = refs.withColumn("folder", T.dir_name(F.col("source")))
+    asked = written(refs.select(*question).distinct().withColumn("id", F.monotonically_increasing_id()), "asked")
+    told = written(resolved_questions(asked, files, stdlib), "told")
+    same = [refs[c].eqNullSafe(F.col(f"_{c}")) for c in question]
+    out = refs.join(told.withColumnsRenamed({c: f"_{c}" for c in question}), same)
+    return out.select("id", "project_id", "source", F.col("dotted").alias("specifier"), "line", "status", "target", "external_kind")
+
+
+def resolved_questions(refs: DataFrame, files: DataFrame, stdlib: list[str]) -> DataFrame:
+    """Different questions (id, project_id, folder, specifier, names, level) with dotted, status, target and external kind, as `resolve_modules` says."""
     known = known_paths(files)
     tree = known.withColumn("parts", F.split("path", "/")).where(F.size("parts") > 1)
     folders = tree.select("project_id", F.explode(F.transform(F.sequence(F.lit(1), F.size("parts") - 1), lambda k: F.array_join(F.slice("parts", F.lit(1), k), "/"))).alias("path")).distinct()
-    here = F.filter(F.split(T.dir_name(F.col("source")), "/"), lambda p: p != "")
+    here = F.filter(F.split("folder", "/"), lambda p: p != "")
     up = F.transform(F.sequence(F.size(here), F.lit(0), F.lit(-1)), lambda k: F.array_join(F.slice(here, F.lit(1), k), "/"))
     above = F.size(here) - F.col("level") + 1
     roots = F.when(F.col("level") == 0, F.concat(up, F.array(F.lit("src")))).when(above < 0, F.array().cast("array<string>")).otherwise(F.array(F.array_join(F.slice(here, F.lit(1), F.greatest(above, F.lit(0))), "/")))
@@ -127,7 +151,7 @@ def resolve_modules(refs: DataFrame, files: DataFrame, stdlib: list[str]) -> Dat
     shown = F.concat(F.repeat(F.lit("."), F.col("level")), F.col("specifier"))
     dotted = F.when(F.coalesce("sub", F.lit("")) == "", shown).otherwise(F.concat(shown, F.when(F.endswith(shown, F.lit(".")), "").otherwise("."), F.col("sub")))
     kind = F.when(status == "external", F.when((F.size("parts") > 0) & lib, "stdlib").otherwise("package"))
-    return out.select("id", "project_id", "source", dotted.alias("specifier"), "line", status.alias("status"), F.when(status == "resolved", F.col("hit.path")).alias("target"), kind.alias("external_kind"))
+    return out.select("project_id", "folder", "specifier", "names", "level", dotted.alias("dotted"), status.alias("status"), F.when(status == "resolved", F.col("hit.path")).alias("target"), kind.alias("external_kind"))
 
 
 def external_label(specifier: Column, kind: Column, source: Column) -> Column:
@@ -172,8 +196,8 @@ def ranked_entries(entries: DataFrame) -> DataFrame:
 
 
 def saved(df: DataFrame) -> DataFrame:
-    """df as a table in the folder that all executors share."""
-    return written(df, "graph")
+    """df as a table in the folder that all executors share. It meets others by sorting: a broadcast in each round would pass the driver."""
+    return by_merge(written(df, "graph"))
 
 
 def trimmed(edges: DataFrame) -> DataFrame:
@@ -290,7 +314,7 @@ def distances(edges: DataFrame, start: str, rounds: int = 1000) -> DataFrame:
 
 def relationships(edges: DataFrame, most: int = 20) -> DataFrame:
     """Each project's edges for an overview: missing ones first, then those to the most used targets."""
-    used = edges.where("status = 'resolved'").groupBy("project_id", "target").agg(F.countDistinct("source").alias("dependents"))
-    one = edges.select("project_id", "source", "specifier", "status", "target").distinct()
+    one = saved(edges.select("project_id", "source", "specifier", "status", "target").distinct())
+    used = one.where("status = 'resolved'").groupBy("project_id", "target").agg(F.countDistinct("source").alias("dependents"))
     place = F.row_number().over(Window.partitionBy("project_id").orderBy(F.col("status") != "missing", F.desc(F.coalesce("dependents", F.lit(0))), "source", "specifier"))
     return one.join(used, ["project_id", "target"], "left").withColumn("place", place).where(F.col("place") <= most)
