@@ -280,7 +280,9 @@ def script_functions(tokens: DataFrame) -> DataFrame:
     # const name = (a, b) => ..., = a => ..., = async ..., = function ...
     let = t.where(F.col("v1").isin("const", "let", "var") & (F.col("t1") == "="))
     let = let.select(*FILE, F.col("token").alias("name"), "line", F.coalesce(F.col("v2") == "export", F.lit(False)).alias("exported"), (F.col("at") + 2).alias("at"))
-    first = tokens.select(*FILE, "at", "shape", "token", "t1", "partner")
+    # only what follows `=`, or `= async`, is asked for, so no other token is shuffled
+    given = (F.col("p1") == "=") | ((F.col("v1") == "async") & (F.col("p2") == "="))
+    first = tokens.where(given).select(*FILE, "at", "shape", "token", "t1", "partner")
     let = let.join(first, [*FILE, "at"])
     late = (F.col("shape") == "i") & (F.col("token") == "async")
     moved = let.where(late).select(*FILE, "name", "line", "exported", (F.col("at") + 1).alias("at"), F.lit("async_").alias("mode")).join(first, [*FILE, "at"])
