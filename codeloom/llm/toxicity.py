@@ -8,9 +8,11 @@ All parameters start at random. Training replaces the maximum over a text by a s
 raises the sharpness s with each epoch (`TrainConfig.sharpness`): first every word of a text learns a little, at the end only those near the
 maximum. Scoring takes the maximum itself, and the cut is calibrated on that.
 
-Training takes a bounded sample of labelled rows (`TrainConfig.toxic_rows`, `clean_rows`: the ids with the smallest hash of
-doc_id in each class, and of an id's rows one) with at most `words` words of all texts together and `longest` of one: whole texts in the order of
-another hash, each that still fits; a text that does not fit is left out alone. It happens in numpy on the driver. Scoring covers every row and never shuffles.
+Training takes every labelled row (of an id's rows one). They are dealt out in a random order and written as words; in each epoch every task
+starts from the same model, takes its own rows in small batches, and the tasks' models are averaged by Spark, word by word over the tasks that
+have the word (`shared_epoch`). The driver holds the averaged model, whose size is fixed. A tenth of the rows, by a hash of the id, calibrates: Spark counts their logits,
+in steps of `STEP`, and the counts give the cuts. Small tables, of whose rows none is beyond `TrainConfig.toxic_rows`, `clean_rows`, `words` and `longest`, are
+learnt in the driver's numpy instead (`sample`). A text of more than `longest` words is learnt whole, in pieces of that size. Scoring covers every row and never shuffles.
 
 Edge cases: null text counts as empty; an empty text scores as the model's all-padding document; labels that are
 null or of unknown documents are left out; without ten labelled texts of both classes nothing can be learnt: every score is the share of toxic
@@ -28,10 +30,13 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
-from codeloom.llm.common import give_back, read, settle
+from codeloom.llm.common import BROADCAST_IDS, forget, give_back, read, settle, written
 
 WIDTHS = (1, 2, 3)
+#: Texts of a file of `learnable`, about: what a task learns from between two averages, at least. Steps of the logits that calibration counts.
+SHARD_TEXTS, STEP = 5000, 1e-3
 
 
 @dataclass(frozen=True)
@@ -212,9 +217,63 @@ def gradients(model: ConvText, texts: list[np.ndarray], y: np.ndarray, sharp: fl
     return loss, [*tables, *grads_w, grads_bias, grads_out]
 
 
+def long_gradients(model: ConvText, text: np.ndarray, y: float, sharp: float, piece: int) -> tuple[float, list]:
+    """`gradients` of one text, whose words are taken in pieces: first for the smooth maximum of all, then for each piece's share of it."""
+    h, f, config = model.config.half, model.config.filters, model.config
+    a, b, _ = padded(np.array([len(text)]), text, config.buckets)
+    n, more = len(a), max(WIDTHS) - 1
+
+    def part(lo: int):
+        hi = min(n, lo + piece)
+        own_a, own_b = a[lo : min(n, hi + more)], b[lo : min(n, hi + more)]
+        x, z = np.concatenate((model.e1[own_a], model.e2[own_b]), axis=1), []
+        for w in model.w:
+            z.append(x[: hi - lo] @ w[0])
+            for j in range(1, len(w)):
+                k = min(hi - lo, len(x) - j)
+                z[-1][:k] += x[j : j + k] @ w[j]
+        z = np.concatenate(z, axis=1)
+        z[own_a[: hi - lo] == config.buckets] = 0
+        return own_a, own_b, x, z
+
+    most, total = np.full(len(WIDTHS) * f, -np.inf), np.zeros(len(WIDTHS) * f)
+    for lo in range(0, n, piece):
+        z = part(lo)[3]
+        top = np.maximum(most, z.max(axis=0))
+        total = total * np.exp(sharp * (most - top)) + np.exp(sharp * (z - top)).sum(axis=0)
+        most = top
+    z = most + np.log(total / n) / sharp + model.bias
+    pool = np.maximum(z, 0)
+    logit = float(np.clip(pool @ model.out[1:] + model.out[0], -30, 30))
+    d = 1 / (1 + np.exp(-logit)) - y
+    to = d * model.out[1:] * (z > 0)
+    grads_w, flat = [np.zeros_like(w) for w in model.w], [np.zeros_like(model.e1), np.zeros_like(model.e2)]
+    for lo in range(0, n, piece):
+        own_a, own_b, x, z = part(lo)
+        dz = np.exp(sharp * (z - most)) * (to / total)
+        dz[own_a[: len(z)] == config.buckets] = 0
+        dx = np.zeros_like(x)
+        for k, w in enumerate(model.w):
+            for j in range(len(w)):
+                m = min(len(z), len(x) - j)
+                own = dz[:m, k * f : (k + 1) * f]
+                grads_w[k][j] += x[j : j + m].T @ own
+                dx[j : j + m] += own @ w[j].T
+        for g, slot, half in ((flat[0], own_a, dx[:, :h]), (flat[1], own_b, dx[:, h:])):
+            for c in range(h):
+                g[:, c] += np.bincount(slot, half[:, c], len(g))
+    tables = []
+    for g, slot in zip(flat, (a, b), strict=True):
+        ids = np.unique(slot)
+        g[config.buckets] = 0
+        tables.append((ids, g[ids]))
+    return float(np.logaddexp(0, logit) - y * logit), [*tables, *grads_w, to, np.concatenate(([d], d * pool))]
+
+
 def step(model: ConvText, texts: list[np.ndarray], y: np.ndarray, sums: list[np.ndarray], rate: float, sharp: float) -> None:
     """One Adagrad step on a batch."""
-    _, grads = gradients(model, texts, y, sharp)
+    longest = model.config.longest
+    _, grads = long_gradients(model, texts[0], float(y[0]), sharp, longest) if len(texts) == 1 and len(texts[0]) > longest else gradients(model, texts, y, sharp)
     for p, g, total in zip(model.parameters(), grads, sums, strict=True):
         ids, g = g if isinstance(g, tuple) else (slice(None), g)
         total[ids] += g * g
@@ -247,7 +306,7 @@ def calibrate(model: ConvText, texts: list[np.ndarray], label: np.ndarray, lang:
 
 
 def sample(docs: DataFrame, labels: DataFrame, config: TrainConfig) -> tuple[list, float]:
-    """The bounded sample: [(hashes, lang, toxic)], and the share of toxic rows among all labels that may be learnt from."""
+    """What the driver can learn from: [(hashes, lang, toxic)], and the share of toxic rows among all labels that may be learnt from."""
     usable = labels.where(F.col("toxic").isin(0, 1) & F.col("doc_id").isNotNull()).groupBy("doc_id").agg(F.max("toxic").alias("toxic")).where(~held_out(F.col("doc_id")))
     n = usable.agg(F.count_if(F.col("toxic") == 1).alias("t"), F.count("*").alias("n")).first()
     if not n["t"] or n["t"] == n["n"]:
@@ -273,18 +332,167 @@ def sample(docs: DataFrame, labels: DataFrame, config: TrainConfig) -> tuple[lis
     return [(np.asarray(w.values, dtype=np.int64), g, t) for w, g, t in zip(found["w"], found["lang"].to_pylist(), found["toxic"].to_pylist(), strict=True)], n["t"] / n["n"]
 
 
+def usable_labels(labels: DataFrame) -> DataFrame:
+    """(doc_id, toxic) of the labels that may be learnt from; an id with both labels is toxic."""
+    return labels.where(F.col("toxic").isin(0, 1) & F.col("doc_id").isNotNull() & ~held_out(F.col("doc_id"))).groupBy(F.col("doc_id").cast("long").alias("doc_id")).agg(F.max("toxic").cast("int").alias("toxic"))
+
+
+def learnable(docs: DataFrame, usable: DataFrame, n: int) -> DataFrame:
+    """(doc_id, toxic, lang, w, tenth): all labelled texts as words, in a random order over files of about SHARD_TEXTS texts. usable: (doc_id,
+    toxic), n rows. A written table."""
+    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("lang").cast("string").alias("lang"), F.col("text").cast("string").alias("text"))
+    told = texts.join(F.broadcast(usable) if n <= BROADCAST_IDS else usable.hint("merge"), "doc_id").withColumn("place", F.xxhash64(F.lit(1), "doc_id"))
+    which = F.row_number().over(Window.partitionBy("place", "doc_id").orderBy(F.xxhash64("text"), F.xxhash64("lang")))
+    told = told.repartition(max(1, n // SHARD_TEXTS), "place", "doc_id").withColumn("which", which).where("which = 1")
+    return written(told.select("doc_id", "toxic", "lang", word_hashes(F.col("text")).alias("w"), F.pmod("place", F.lit(10)).alias("tenth")), "learnt")
+
+
+def random_start(config: TrainConfig) -> tuple[ConvText, list[np.ndarray]]:
+    """A model with random parameters for every slot, and its sums of squared gradients."""
+    every = np.arange(config.buckets, dtype=np.uint64)
+    model = start(np.array([config.buckets]), (every | every << np.uint64(33)).view(np.int64), config)
+    return model, [np.zeros_like(p) + 1e-6 for p in model.parameters()]
+
+
+def as_rows(arrays: list[np.ndarray], half: int) -> np.ndarray:
+    """Parameters behind the two tables as rows of `half` values."""
+    flat = np.concatenate([p.ravel() for p in arrays])
+    return np.concatenate((flat, np.zeros(-len(flat) % half))).reshape(-1, half)
+
+
+def fill(arrays: list[np.ndarray], rows: np.ndarray) -> None:
+    """The other way of `as_rows`, in place."""
+    flat, at = rows.ravel(), 0
+    for p in arrays:
+        p[:] = flat[at : at + p.size].reshape(p.shape)
+        at += p.size
+
+
+def shared_epoch(rows: DataFrame, model: ConvText, sums: list[np.ndarray], epoch: int) -> tuple[ConvText, list[np.ndarray]]:
+    """One pass over rows (toxic, w). Each task takes steps of its own from the given model; what comes back is the mean over the tasks that have a
+    word, weighted by their texts. Only rows of the tables, of which there is a fixed number, leave a task."""
+    config, half = model.config, model.config.half
+    sent = rows.sparkSession.sparkContext.broadcast((model, sums))
+    fields = [f"{kind}{c}" for kind in "vs" for c in range(half)]
+
+    def run(batches_of_rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        given, given_sums = sent.value
+        own = replace(given, e1=given.e1.copy(), e2=given.e2.copy(), w=[w.copy() for w in given.w], bias=given.bias.copy(), out=given.out.copy())
+        total, seen, texts = [t.copy() for t in given_sums], [np.zeros(config.buckets + 1, bool) for _ in range(2)], 0
+        sharp, rng = config.sharpness[min(epoch, len(config.sharpness) - 1)], np.random.default_rng(config.seed + 1 + epoch)
+        for batch in batches_of_rows:
+            lists, y = batch.column(1), batch.column(0).to_numpy().astype(np.float64)
+            flat, at = lists.flatten().to_numpy(zero_copy_only=False), lists.offsets.to_numpy() - lists.offsets[0].as_py()
+            for s, slot in zip(seen, slots(flat, config.buckets), strict=True):
+                s[slot] = True
+            for some in batches(np.diff(at), rng.permutation(len(y)), config):
+                step(own, [flat[at[d] : at[d + 1]] for d in some], y[some], total, config.rate, sharp)
+            texts += len(y)
+        if texts:
+            for t, (p, g) in enumerate([(own.e1, total[0]), (own.e2, total[1]), (as_rows(own.parameters()[2:], half), as_rows(total[2:], half))]):
+                ids = np.flatnonzero(seen[t]) if t < 2 else np.arange(len(p))
+                values = np.concatenate((p[ids], g[ids]), axis=1)
+                columns = [pa.array(np.full(len(ids), t, np.int32)), pa.array(ids.astype(np.int32)), pa.array(np.full(len(ids), float(texts)))]
+                yield pa.RecordBatch.from_arrays([*columns, *(pa.array(np.ascontiguousarray(values[:, c])) for c in range(2 * half))], names=["t", "row", "n", *fields])
+        give_back()
+
+    schema = ", ".join(["t int, row int, n double", *(f"{c} double" for c in fields)])
+    found = rows.select("toxic", "w").mapInArrow(run, schema)
+    mean = found.groupBy("t", "row").agg(*[(F.sum(F.col(c) * F.col("n")) / F.sum("n")).cast("float").alias(c) for c in fields]).toArrow()
+    sent.destroy()
+    settle(rows.sparkSession)
+    t, row = (mean[c].to_numpy() for c in ("t", "row"))
+    values = np.stack([mean[c].to_numpy() for c in fields], axis=1).astype(np.float64)
+    shape = (config.buckets + 1, half)
+    after = ConvText(config, np.zeros(shape), np.zeros(shape), [w.copy() for w in model.w], model.bias.copy(), model.out.copy(), model.shift)
+    after_sums = [np.full(shape, 1e-6), np.full(shape, 1e-6), *[s.copy() for s in sums[2:]]]
+    for k, (p, g) in enumerate(((after.e1, after_sums[0]), (after.e2, after_sums[1]))):
+        p[row[t == k]], g[row[t == k]] = values[t == k, :half], values[t == k, half:]
+    rest = values[t == 2][np.argsort(row[t == 2])]
+    if len(rest):
+        fill(after.parameters()[2:], rest[:, :half])
+        fill(after_sums[2:], rest[:, half:])
+    return after, after_sums
+
+
+def cut_of_counts(logit: np.ndarray, toxic: np.ndarray, clean: np.ndarray) -> float:
+    """`best_cut` of distinct logits with how many toxic and clean rows have each."""
+    order = np.argsort(-logit)
+    logit, hit = logit[order], np.cumsum(toxic[order])
+    f1 = 2 * hit / np.maximum(hit + np.cumsum(clean[order]) + hit[-1], 1e-9)
+    at = int(np.argmax(f1))
+    return float((logit[at] + (logit[at + 1] if at + 1 < len(logit) else logit[at] - 1)) / 2)
+
+
+def calibrate_all(model: ConvText, rows: DataFrame) -> None:
+    """`calibrate` on all of rows (toxic, lang, w), whose logits Spark counts."""
+    logit = F.round(raw_logits(model, rows.sparkSession)(F.col("w")) / STEP).cast("int").alias("step")
+    counts = rows.select(F.coalesce("lang", F.lit("")).alias("lang"), "toxic", logit).groupBy("lang", "step").agg(F.count_if(F.col("toxic") == 1).alias("toxic"), F.count_if(F.col("toxic") == 0).alias("clean"))
+    counts = written(counts, "logits")
+
+    def cut(part: DataFrame) -> float | None:
+        found = part.toArrow()
+        step, toxic, clean = (found[c].to_numpy() for c in ("step", "toxic", "clean"))
+        return cut_of_counts(step * STEP, toxic, clean) if toxic.sum() and clean.sum() else None
+
+    whole = cut(counts.groupBy("step").agg(F.sum("toxic").alias("toxic"), F.sum("clean").alias("clean")))
+    if whole is not None:
+        model.shift = whole
+        least = model.config.min_language_rows
+        for r in counts.groupBy("lang").agg(F.sum("toxic").alias("t"), F.sum("clean").alias("c")).where((F.col("t") >= least) & (F.col("c") >= least)).collect():
+            own = cut(counts.where(F.col("lang") == r["lang"]))
+            model.thresholds[r["lang"]] = float(1 / (1 + np.exp(-np.clip(own - whole, -30, 30))))
+    forget(counts)
+
+
+def train_shared(rows: DataFrame, config: TrainConfig) -> ConvText:
+    """A model trained on all rows of `learnable`; those of the last tenth calibrate."""
+    model, sums = random_start(config)
+    for epoch in range(config.epochs):
+        model, sums = shared_epoch(rows.where("tenth <> 9"), model, sums, epoch)
+    calibrate_all(model, rows.where("tenth = 9"))
+    return model
+
+
 def fit(docs: DataFrame, labels: DataFrame, config: TrainConfig = TrainConfig()) -> ConvText | None:
     settle(docs.sparkSession)  # training shares the driver's memory with what earlier queries left there
-    rows, base_rate = sample(docs, labels, config)
-    label = np.array([r[2] for r in rows], dtype=np.int64)
-    if len(rows) < 10 or label.min() == label.max():
+    usable = usable_labels(labels)
+    n = usable.agg(F.count_if(F.col("toxic") == 1).alias("t"), F.count("*").alias("n")).first()
+    if not n["t"] or n["t"] == n["n"]:
         return None
-    model = train([r[0] for r in rows], label, [r[1] for r in rows], config, base_rate)
-    del rows
+    if n["t"] <= config.toxic_rows and n["n"] - n["t"] <= config.clean_rows:
+        rows, base_rate = sample(docs, labels, config)
+        if len(rows) == usable.join(docs.select(F.col("doc_id").cast("long").alias("doc_id")), "doc_id", "left_semi").count():  # nothing is left out
+            label = np.array([r[2] for r in rows], dtype=np.int64)
+            if len(rows) < 10 or label.min() == label.max():
+                return None
+            model = train([r[0] for r in rows], label, [r[1] for r in rows], config, base_rate)
+            del rows
+            give_back()
+            return model
+        del rows
+    rows = learnable(docs, usable, n["n"])
+    found = rows.agg(F.count_if(F.col("toxic") == 1).alias("t"), F.count("*").alias("n")).first()
+    model = train_shared(rows, config) if found["n"] >= 10 and 0 < found["t"] < found["n"] else None
+    forget(rows)
     give_back()
     return model
 
 
+def raw_logits(model: ConvText, spark: SparkSession) -> Callable[[Column], Column]:
+    """A column function of a text's words: the logit."""
+    shared = spark.sparkContext.broadcast((replace(model, e1=np.zeros((1, 1)), e2=np.zeros((1, 1))), model.tables()))
+
+    @F.arrow_udf("double")
+    def run(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        own, t = shared.value
+        for words in batches:
+            yield pa.array(own.logits(np.diff(words.offsets.to_numpy()).astype(np.int64), words.flatten().to_numpy(zero_copy_only=False), t))
+        give_back()
+
+    return run
+
+
 def scored(model: ConvText, spark: SparkSession) -> Callable[[Column, Column], Column]:
     """A column function of (text, lang): a struct of score, threshold (the language's) and rejected (the score reaches it)."""
     tables = model.tables()
