@@ -24,9 +24,11 @@ datasets and an empty result.
 from __future__ import annotations
 
 import hashlib
+import os
 import re
 import zlib
 from array import array
+from collections.abc import Iterator
 from functools import lru_cache
 
 import numpy as np
@@ -43,7 +45,7 @@ TOKENIZER = "word_bpe_49k.json"
 END_ID = 1
 WINDOW, MEAN, LEAST, MOST = 8, 256, 64, 2048
 #: Pieces of text whose ids a task keeps, and the longest of them.
-KNOWN, LONGEST = 300_000, 64
+KNOWN, LONGEST = 450_000, 64
 #: Documents and chunks of a recipe file, and the files of which a row may be sent to every executor.
 FILE_DOCS, FILE_CHUNKS, FEW = 10_000, 50_000, 100_000
 #: Multiplier of the rolling hash, and the mask that a boundary's hash has none of.
@@ -61,8 +63,8 @@ def tokenizer_path() -> str:
 WORD = re.compile("([A-Za-zÀ-ÖØ-öø-įı-ɏ]+)([.,]?)").fullmatch
 #: A Latin letter and a mark before a blank or the end: no id spans the two, so a blank may part them.
 MARKED = "([A-Za-zÀ-ÖØ-öø-įı-ɏ])([.,])( |$)"
-#: Bytes of text that are encoded together.
-SLICE = 8_000_000
+#: Bytes of text that are encoded together, some batches of Spark: each distinct piece of these is looked up once.
+SLICE = 34_000_000
 
 
 class Encoder:
@@ -72,9 +74,11 @@ class Encoder:
     def __init__(self, path: str, known: int = KNOWN):
         from tokenizers import Tokenizer, pre_tokenizers
 
+        os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")  # a task has one core; the library's threads only get in each other's way
         self.tokenizer, self.known, self.old, self.most = Tokenizer.from_file(path), {}, {}, known
         self.wide = self.tokenizer.get_vocab_size() > 65536
         self.type, self.code = (np.dtype("<u4"), "I") if self.wide else (np.dtype("<u2"), "H")
+        self.tokenize = self.tokenizer.model.tokenize  # asked for once: each look at .model makes an object
         self.ends = {e: self.of([e])[0] for e in (".", ",")}
         # how the library writes the bytes of a lower-case Latin letter before its merges
         spell = pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)
@@ -86,13 +90,21 @@ class Encoder:
     def of_word(self, word: str) -> bytes:
         """Of one lower-case Latin word: nothing is left for the normaliser and the splitter to do."""
         spelled = word if word.isascii() else word.translate(self.letters)
-        return array(self.code, [t.id for t in self.tokenizer.model.tokenize(spelled)]).tobytes()
+        return array(self.code, [t.id for t in self.tokenize(spelled)]).tobytes()
 
     def learn(self, pieces: list[str]) -> None:
         """Ids of new pieces. A Latin word's letters and the full stop or comma after it never share an id, and
         case is dropped by the vocabulary's normaliser."""
         known, old, ends, rest = self.known, self.old, self.ends, []
         for p in pieces:
+            if p.isascii() and p.isalpha():  # most pieces
+                word = p.lower()
+                ids = known.get(word)
+                if ids is None:
+                    ids = old.get(word)
+                    known[word] = ids = self.of_word(word) if ids is None else ids
+                known[p] = ids
+                continue
             m = WORD(p)
             word, end = m.groups() if m else ("", "")
             word = word.lower()
@@ -115,21 +127,24 @@ class Encoder:
         """Ids of an Arrow array of strings. Arrow numbers its distinct pieces, so Python touches each of them once."""
         spaced = pc.replace_substring_regex(pc.replace_substring(texts, "\n", " "), MARKED, r"\1 \2\3")
         lists = pc.split_pattern(spaced, " ")
-        coded = lists.flatten().dictionary_encode()
+        coded, offsets = lists.flatten().dictionary_encode(), lists.offsets.to_numpy()
+        del spaced, lists
         if len(self.known) > self.most:
             self.known, self.old = {}, self.known
         known, pieces = self.known, coded.dictionary.to_pylist()
         self.learn([p for p in pieces if p not in known])
-        held = [known[p] for p in pieces]
-        for p in pieces:
-            if len(p) > LONGEST:
-                known.pop(p, None)
+        held = list(map(known.__getitem__, pieces))
+        for k in np.flatnonzero(pc.binary_length(coded.dictionary).to_numpy() > LONGEST):
+            if len(pieces[k]) > LONGEST:
+                known.pop(pieces[k], None)
         size = np.fromiter(map(len, held), np.int64, len(held)) // self.type.itemsize
         start, flat, at = np.cumsum(size) - size, np.frombuffer(b"".join(held), dtype=self.type), coded.indices.to_numpy()
         n = size[at]
         ends = np.concatenate(([0], np.cumsum(n)))
-        ids = flat[np.arange(ends[-1]) + np.repeat(start[at] - ends[:-1], n)]
-        cut = ends[lists.offsets.to_numpy()].tolist()
+        place = np.repeat(start[at] - ends[:-1], n)
+        place += np.arange(ends[-1])
+        ids = flat[place]
+        cut = ends[offsets].tolist()
         return [ids[lo:hi] for lo, hi in zip(cut[:-1], cut[1:], strict=True)]
 
 
@@ -140,24 +155,40 @@ def slices(texts: pa.Array) -> list[tuple[int, int]]:
     return list(zip(first.tolist(), np.diff(np.append(first, len(texts))).tolist(), strict=True))
 
 
+def gathered(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """batches, as many in one as have at most `SLICE` bytes of text together; a larger one alone."""
+    held, size = [], 0
+    for batch in batches:
+        own = pc.sum(pc.binary_length(batch.column(3))).as_py() or 0
+        if held and size + own > SLICE:
+            yield pa.concat_batches(held)
+            held, size = [], 0
+        held.append(batch)
+        size += own
+    if held:
+        yield pa.concat_batches(held)
+
+
 @lru_cache(maxsize=1)
 def encoder_of(path: str) -> Encoder:
     """One encoder for all tasks of a Python worker."""
     return Encoder(path)
 
 
-def cuts(ids: np.ndarray) -> np.ndarray:
-    """Ends of the chunks: after ids whose rolling hash has no bit of MASK; none shorter than LEAST or longer than MOST."""
+def marks(ids: np.ndarray) -> np.ndarray:
+    """Places after ids whose rolling hash has no bit of MASK."""
     n = len(ids)
-    if n <= LEAST:
-        return np.array([n])
     x = (ids.astype(np.uint64) + np.uint64(1)) * FACTOR
     h = np.zeros(n, np.uint64)
-    for j in range(WINDOW):
-        h[j:] = h[j:] + (x[: n - j] << np.uint64(5 * j) | x[: n - j] >> np.uint64(64 - 5 * j) if j else x)
-    marks = np.flatnonzero(((h >> np.uint64(40)) & MASK) == 0) + 1
+    for j in range(min(WINDOW, n)):
+        h[j:] += x[: n - j] << np.uint64(5 * j) | x[: n - j] >> np.uint64(64 - 5 * j) if j else x
+    return np.flatnonzero(((h >> np.uint64(40)) & MASK) == 0) + 1
+
+
+def ends_at(found: list[int], n: int) -> list[int]:
+    """Ends of the chunks of n ids, from the places of `marks`: none shorter than LEAST or longer than MOST."""
     ends, last = [], 0
-    for m in [*marks.tolist(), n]:
+    for m in [*found, n]:
         while m - last > MOST:
             last += MOST
             ends.append(last)
@@ -165,7 +196,20 @@ def cuts(ids: np.ndarray) -> np.ndarray:
             if m > last:
                 ends.append(m)
             last = m
-    return np.array(ends)
+    return ends
+
+
+def cuts(ids: np.ndarray) -> np.ndarray:
+    return np.array(ends_at(marks(ids).tolist(), len(ids)))
+
+
+def all_cuts(documents: list[np.ndarray]) -> list[list[int]]:
+    """`cuts` of each document, hashed together: a hash that reaches into the document before is within WINDOW of the start, where LEAST forbids a cut."""
+    size = np.fromiter(map(len, documents), np.int64, len(documents))
+    start = np.cumsum(size) - size
+    found = marks(np.concatenate(documents))
+    at = np.searchsorted(found, np.append(start, size.sum()), side="right").tolist()
+    return [ends_at((found[lo:hi] - begin).tolist(), n) for lo, hi, begin, n in zip(at[:-1], at[1:], start.tolist(), size.tolist(), strict=True)]
 
 
 @lru_cache(maxsize=1)
@@ -226,13 +270,14 @@ def encode_chunks(docs: DataFrame, path: str, end_id: int) -> DataFrame:
     def run(batches):
         encoder, seen = encoder_of(path), set()
         end = np.array([end_id], dtype=encoder.type)
-        for batch in batches:
+        for batch in gathered(batches):
             for lo, n in slices(batch.column(3)):
                 part = batch.slice(lo, n)
                 rows, chunks, addresses, sizes, data = [], [], [], [], []
-                for i, found in enumerate(encoder.encode(part.column(3))):
-                    found, at = np.concatenate((found, end)), 0
-                    for k, to in enumerate(cuts(found).tolist()):
+                whole = [np.concatenate((found, end)) for found in encoder.encode(part.column(3))]
+                for i, (found, ends) in enumerate(zip(whole, all_cuts(whole), strict=True)):
+                    at = 0
+                    for k, to in enumerate(ends):
                         ids = found[at:to].tobytes()
                         address = hashlib.sha256(ids).digest()
                         for content in [None] if address in seen else [None, ids]:

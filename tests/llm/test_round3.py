@@ -11,9 +11,10 @@ import zlib
 
 import duckdb
 import numpy as np
+import pyarrow as pa
 import pytest
 
-from codeloom.llm import fill_middle, graph_index, prefix_trie, zip_warc
+from codeloom.llm import fill_middle, graph_index, ngram_join, prefix_trie, token_store, zip_warc
 from codeloom.llm.common import new_path
 from codeloom.llm.queries import ORACLES, QUERIES
 
@@ -296,3 +297,35 @@ def test_nearest_of_no_rows(spark):
     none = spark.createDataFrame([], VECTORS)
     some = spark.createDataFrame([(1, [1.0, 0.0], 1)], VECTORS)
     assert graph_index.nearest(none, none).count() == graph_index.nearest(none, some).count() == graph_index.nearest(some, some).count() == 0
+
+
+def test_token_store_cuts_and_batches_are_those_of_each_document(monkeypatch):
+    """op5: documents are hashed together, and small batches encoded together."""
+    rng = np.random.default_rng(9)
+    documents = [rng.integers(0, 50_000, n).astype("<u2") for n in (0, 1, 7, 8, 63, 64, 65, 5000, 1, 3000)]
+    documents = [np.append(d, d.dtype.type(1)) for d in documents]
+    assert token_store.all_cuts(documents) == [token_store.cuts(d).tolist() for d in documents]
+    assert all(c[-1] == len(d) for c, d in zip(token_store.all_cuts(documents), documents, strict=True))
+    batches = [pa.RecordBatch.from_arrays([pa.array([i])] * 3 + [pa.array(["x" * n])], names=list("abcd")) for i, n in enumerate((4, 5, 30, 2, 3))]
+    monkeypatch.setattr(token_store, "SLICE", 10)
+    got = list(token_store.gathered(iter(batches)))
+    assert [b.column(0).to_pylist() for b in got] == [[0, 1], [2], [3, 4]]
+
+
+def test_tables_of_keys_go_before_others_are_made(spark, monkeypatch):
+    """pipeline: near copies' largest tables do not stand beside the shuffles of what comes after them."""
+    made, gone, before = {}, [], {}
+    write, forget = ngram_join.written, ngram_join.forget
+
+    def written(df, name):
+        before[name] = list(gone)
+        out = write(df, name)
+        made[out._kept_at] = name
+        return out
+
+    monkeypatch.setattr(ngram_join, "written", written)
+    monkeypatch.setattr(ngram_join, "forget", lambda *tables: (gone.extend(made[t._kept_at] for t in tables), forget(*tables)))
+    words = " ".join(f"w{i}" for i in range(40))
+    docs = spark.createDataFrame([(1, words), (2, words + " more"), (3, "other text of its own here now")], "doc_id long, text string")
+    assert sorted(r["doc_id"] for r in ngram_join.keep_one(docs).collect()) == [1, 3]
+    assert before["held"] == ["keys"] and "likely" in before["wanted"]
