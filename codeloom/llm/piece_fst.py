@@ -48,6 +48,10 @@ UNIGRAM, BYTE_PAIR = 1, 2
 NOTHING: dict[str, bool] = {}
 #: Bytes of text that are encoded together, and new parts whose arcs are relaxed together.
 SLICE, TOGETHER = 1_000_000, 5_000
+#: Characters that are looked at together, to see where parts begin.
+RUN = 65_536
+#: The same two bounds for workers of `encoded`, which hold what a pipeline's earlier stages have left in them: parts whose paths are kept, bytes of text.
+FEW_KNOWN, SMALL_SLICE = 50_000, 500_000
 PART = re.compile(f"{SPACE}*[^{SPACE}]+|{SPACE}+")
 
 
@@ -318,6 +322,12 @@ class Machine:
         self.keep(part, ids)
         return ids
 
+    def again(self, part: str) -> bytes | None:
+        """The ids of a part of the old generation, which the new one has from now on: what texts share outlives what one of them has."""
+        if ids := self.old.get(part):
+            self.keep(part, ids)
+        return ids
+
     def keep(self, part: str, ids: bytes) -> None:
         if len(part) <= LONGEST:
             if len(self.known) >= self.most:
@@ -333,15 +343,16 @@ class Machine:
         whole = "".join(texts.to_pylist())
         code = np.frombuffer(whole.encode("utf-32-le"), np.uint32)
         begins = np.concatenate(([0], np.cumsum(pc.utf8_length(texts).to_numpy(zero_copy_only=False), dtype=np.int64)))
-        number, apart = self.number[code], np.ones(len(code) + 1, bool)
-        if len(code):
-            apart[1:-1] = ~self.beside[number[:-1], number[1:]] | ((code[1:] == ord(SPACE)) & (code[:-1] != ord(SPACE)))
+        apart, width = np.ones(len(code) + 1, bool), np.ones(len(code) + 1, np.uint8)
+        for lo in range(0, len(code), RUN):  # so that arrays of indices stay small
+            own = code[lo : lo + RUN + 1]  # and the first character of the next run
+            number, blank = self.number[own], own == ord(SPACE)
+            apart[lo + 1 : lo + len(own)] = ~self.beside[number[:-1], number[1:]] | (blank[1:] & ~blank[:-1])
+            for least in (0x7F, 0x7FF, 0xFFFF):
+                width[:-1][lo : lo + RUN] += own[:RUN] > least
         apart[begins] = True
         starts = np.flatnonzero(apart)
-        width = np.ones(len(code) + 1, np.int32)
-        for least in (0x7F, 0x7FF, 0xFFFF):
-            width[:-1] += code > least
-        at = (np.cumsum(width) - width)[starts].astype(np.int32)
+        at = np.cumsum(width, dtype=np.int32)[starts] - width[starts]
         parts = pa.StringArray.from_buffers(len(starts) - 1, pa.py_buffer(at), pa.py_buffer(whole.encode()))
         return parts.dictionary_encode(), np.searchsorted(starts, begins)
 
@@ -353,8 +364,7 @@ class Machine:
         spaced = pc.replace_substring(pc.if_else(pc.equal(texts, ""), "", pc.binary_join_element_wise(SPACE, texts, "")), " ", SPACE)
         coded, begins = self.cut_all(spaced)
         parts = coded.dictionary.to_pylist()
-        known, old = self.known, self.old
-        held = [known.get(p) or old.get(p) for p in parts]
+        held = [self.known.get(p) or self.again(p) for p in parts]
         new = [i for i, ids in enumerate(held) if ids is None]
         for i, ids in zip(new, self.learn([parts[i] for i in new]), strict=True):
             held[i] = ids
@@ -372,14 +382,14 @@ class Machine:
 
 
 @lru_cache(maxsize=1)
-def machine_of(path: str) -> Machine:
+def machine_of(path: str, known: int = KNOWN) -> Machine:
     """One machine for all tasks of a Python worker."""
-    return Machine(path)
+    return Machine(path, known)
 
 
-def sliced(texts: pa.Array) -> Iterator[tuple[int, int]]:
-    """(first row, rows) of runs of rows with about SLICE bytes of text; a longer text is in a run with few others."""
-    group = np.cumsum(pc.fill_null(pc.binary_length(texts), 0).to_numpy(zero_copy_only=False).astype(np.int64)) // SLICE
+def sliced(texts: pa.Array, most: int = SLICE) -> Iterator[tuple[int, int]]:
+    """(first row, rows) of runs of rows with about `most` bytes of text; a longer text is in a run with few others."""
+    group = np.cumsum(pc.fill_null(pc.binary_length(texts), 0).to_numpy(zero_copy_only=False).astype(np.int64)) // most
     first = np.flatnonzero(np.diff(group, prepend=-1))
     return zip(first.tolist(), np.diff(np.append(first, len(texts))).tolist(), strict=True)
 
@@ -389,6 +399,15 @@ def lists_of(ids: list[np.ndarray]) -> pa.Array:
     return pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate(ids).astype(np.int32)))
 
 
+def in_slices(machine: Machine, batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+    """The ids of each text, null ones too, a list array for each slice of a batch: ids have more bytes than texts, and a whole batch's would lie in
+    this process and in Spark's at once."""
+    for texts in batches:
+        for lo, n in sliced(texts, SMALL_SLICE):
+            yield lists_of(machine.encode_all(pc.fill_null(texts.slice(lo, n), "")))
+            give_back()
+
+
 def encode(docs: DataFrame, path: str | None = None) -> DataFrame:
     """(doc_id, ids, decoded) for each row of docs."""
     path = path or model_path()
@@ -412,11 +431,7 @@ def encoded(docs: DataFrame, path: str | None = None) -> DataFrame:
 
     @F.arrow_udf("array<int>")
     def run(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
-        machine = machine_of(path)
-        for texts in batches:
-            texts = pc.fill_null(texts, "")
-            yield pa.concat_arrays([lists_of(machine.encode_all(texts.slice(lo, n))) for lo, n in sliced(texts)] or [pa.array([], pa.list_(pa.int32()))])
-        give_back()
+        return in_slices(machine_of(path, FEW_KNOWN), batches)
 
     columns = [c for c in docs.columns if c.lower() != "piece_ids"]
     return docs.select(*columns, run(F.col("text").cast("string")).alias("piece_ids"))

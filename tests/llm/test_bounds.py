@@ -1,6 +1,7 @@
 """What the operators keep small: keys of near copies, and memory and lookups of the piece machines."""
 
 import random
+import tracemalloc
 
 import numpy as np
 import pyarrow as pa
@@ -38,3 +39,41 @@ def test_texts_are_cut_like_their_parts():
     alone = [machine.encode(t).tolist() for t in texts]
     assert [x.tolist() for x in machine.encode_all(pa.array(texts))] == alone
     assert machine.encode_all(pa.array([], pa.string())) == [] and machine.encode_all(pa.array([""]))[0].tolist() == []
+
+
+def test_cutting_needs_memory_for_little_more_than_the_texts():
+    """Also across runs of characters parts begin where they did."""
+    machine = piece_fst.machine_of(piece_fst.model_path())
+    rng = random.Random(4)
+    words = ["ab", "the", " ", "▁", ",", "1", "é", "漢", "😀", "\n", "Z"]
+    texts = ["".join(rng.choice(words) for _ in range(150_000)), "", "x" * piece_fst.RUN, "".join(rng.choice(words) for _ in range(60_000))]
+    spaced = pa.array([machine.normaliser.apply(t) for t in texts])
+    coded, begins = machine.cut_all(spaced)
+    parts = coded.dictionary.take(coded.indices).to_pylist()
+    want = [[c for part in piece_fst.PART.findall(t) for c in machine.cut(part)] for t in spaced.to_pylist()]
+    assert [parts[a:b] for a, b in zip(begins[:-1], begins[1:], strict=True)] == want
+    plain = pa.array([" ".join(["word"] * 20_000)] * 10)
+    tracemalloc.start()
+    machine.cut_all(plain)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 25 * plain.nbytes
+
+
+def test_ids_leave_in_slices(monkeypatch):
+    monkeypatch.setattr(piece_fst, "SMALL_SLICE", 1_000)
+    machine = piece_fst.Machine(piece_fst.model_path(), known=50)
+    texts = [None, "", *[f"text {i} of the batch, é " * (i % 40) for i in range(200)], None]
+    out = list(piece_fst.in_slices(machine, iter([pa.array(texts), pa.array([], pa.string()), pa.array([None], pa.string()), pa.array(texts[:5])])))
+    assert [x for part in out for x in part.to_pylist()] == [machine.encode(t or "").tolist() for t in [*texts, None, *texts[:5]]]
+    assert len(out) > 50 and max(part.nbytes for part in out) < 20_000
+
+
+def test_shared_parts_outlive_others():
+    machine, rng, learnt = piece_fst.Machine(piece_fst.model_path(), known=100), random.Random(6), []
+    relaxed = machine.relaxed
+    machine.relaxed = lambda parts: learnt.extend(parts) or relaxed(parts)
+    for _ in range(30):
+        machine.encode_all(pa.array([" ".join(["Zebra", *["".join(rng.choices("aeionrst", k=8)) for _ in range(40)]])]))
+        assert len(machine.known) <= 100 and len(machine.old) <= 100
+    assert learnt.count("▁Zebra") == 1 and len(learnt) > 1000
