@@ -12,7 +12,7 @@ whose brackets do not pair up keep their tokens, but have no hits (`balanced` is
 from __future__ import annotations
 
 import re
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -45,10 +45,15 @@ LEX = re.compile(
 )
 PATTERN = re.compile(r"/(?:\\[^\n]|\[(?:\\[^\n]|[^\]\\\n])*\]|[^/\\\[\n])+/[^\W\d_]*")
 WORDS = re.compile(r"(?:[^`\\$]+|\\[\s\S]|\$(?!\{))*")
+#: What has neither templates nor slashes of its own, and the parts of it.
+PLAIN = re.compile(rf"(?:[^`/'\"]+|{STRING}|{COMMENT})*+")
+FIND = re.compile(rf"{COMMENT}|{STRING}|(?:[^\W\d]|\$)[\w$]*|\.?\d[\w.]*|>>>=|\.\.\.|===|!==|\*\*=|<<=|>>=|>>>|&&=|\|\|=|\?\?=|=>|==|!=|<=|>=|&&|\|\||\?\?|\+\+|--|[-+*%&|^]=|\n|[^\s﻿]")
 INSIDE = re.compile(rf"{STRING}|{COMMENT}|[^{{}}`'\"/]+|[\s\S]")
 SHAPES = {"string": '"', "name": "i", "number": "0"}
-#: Tokens of one batch on their way back.
+#: Parts of scripts, comments and line breaks with them, that are placed together, and tokens of one batch on their way back.
 BATCH = 50_000
+#: Parts whose kind a process remembers.
+FEW_KINDS = 50_000
 
 
 def template_end(text: str, at: int) -> int:
@@ -76,97 +81,221 @@ def template_end(text: str, at: int) -> int:
     return len(text)
 
 
+def cut(text: str) -> list[str]:
+    """What a script is made of, but for blanks: tokens, templates and patterns whole, comments, line breaks. Between templates and slashes, which
+    need the token before them, one call of `FIND` finds all."""
+    at, parts = 0, []
+    while at < len(text):
+        end = PLAIN.match(text, at).end()
+        parts += FIND.findall(text, at, end)
+        if end == len(text):
+            break
+        at = end + 1
+        if text[end] == "`":
+            at = template_end(text, at)
+        else:
+            back = len(parts) - 1
+            while back >= 0 and KINDS[parts[back]][0]:
+                back -= 1
+            _, _, shape, token = KINDS[parts[back]] if back >= 0 else (False, 0, "", "")
+            free = shape not in (")", "]", "}", '"', "`", "/re/", "0") and (shape != "i" or token in BEFORE_PATTERN)
+            if free and (p := PATTERN.match(text, end)):
+                at = p.end()
+        parts.append(text[end:at])
+    return parts
+
+
+class Kinds(dict):
+    """Of a part of a script: whether it is left out, its line breaks, shape and token. Short parts are remembered."""
+
+    def __missing__(self, part: str) -> tuple[bool, int, str, str]:
+        kind = LEX.match(part).lastgroup
+        shape = SHAPES.get(kind, "`" if kind == "tick" else "/re/" if kind == "slash" and len(part) > 1 else part)
+        found = kind == "blank", part.count("\n"), shape, part[0] if kind in ("tick", "slash") else part
+        if len(part) <= 8 and len(self) < FEW_KINDS:
+            self[part] = found
+        return found
+
+
+KINDS = Kinds()
+
+
 def scanned(text: str) -> Iterator[tuple[int, str, str]]:
     """(line, shape, token) of a script. The shape is the token itself for marks, else a letter or sign for its kind; templates and
     patterns come without their content."""
-    at, line, shape, token = 0, 1, "", ""
-    while at < len(text):
-        m = LEX.match(text, at)
-        end, kind = m.end(), m.lastgroup
-        if kind == "blank":
-            line += text.count("\n", at, end)
-            at = end
-            continue
-        free = shape not in (")", "]", "}", '"', "`", "/re/", "0") and (shape != "i" or token in BEFORE_PATTERN)
-        if kind == "slash" and free and (p := PATTERN.match(text, at)):
-            end, shape, token = p.end(), "/re/", "/"
-        elif kind == "tick":
-            end, shape, token = template_end(text, end), "`", "`"
-        else:
-            token = m.group()
-            shape = SHAPES.get(kind, token)
-        yield line, shape, token
-        line += text.count("\n", at, end)
-        at = end
-
-
-def bracketed(shapes: list[str]) -> tuple[list, bool]:
-    """[(depth, around, partner, after)] of a file's tokens, and whether its brackets pair up (see `script_tokens`)."""
-    places, partners, after, level, opened, unpaired, fits = [], [None] * len(shapes), [], 0, {}, {}, True
-    for at, shape in enumerate(shapes, 1):
-        if shape in PAIRS.values():
-            level -= 1
-            begin = unpaired.pop(level, None)
-            if begin:
-                partners[at - 1], partners[begin - 1] = begin, at
-            fits = fits and level >= 0 and begin is not None and PAIRS.get(shapes[begin - 1]) == shape
-        places.append((level, opened.get(level)))
-        if shape in PAIRS:
-            unpaired[level] = at
-            level += 1
-            opened[level] = at
-        elif shape == ";":
-            after += [at] * (at - len(after))
-    after += [None] * (len(shapes) - len(after))
-    return [(*place, partner, semicolon) for place, partner, semicolon in zip(places, partners, after, strict=True)], fits and level == 0
-
-
-def token_rows(files: DataFrame) -> DataFrame:
-    """The columns of `script_tokens`, at counting from 1; comments and blanks left out."""
+    line = 1
+    for out, breaks, shape, token in map(KINDS.__getitem__, cut(text)):
+        if not out:
+            yield line, shape, token
+        line += breaks
+
+
+class Placed:
+    """Tokens of several files, one after the other, as columns: whose (the file's number), at (from 1 on in each file), line, depth, around, partner,
+    after (see `script_tokens`; 0 for none), and which kind of token each is, an index of shapes and tokens."""
+
+    def __init__(self, files: list[list[str]]):
+        parts = pa.array([part for file in files for part in file], pa.string()).dictionary_encode()
+        kinds = [KINDS[part] for part in parts.dictionary.to_pylist()]
+        out, breaks = np.array([k[0] for k in kinds], bool), np.array([k[1] for k in kinds], np.int64)
+        self.shapes, self.tokens = [k[2] for k in kinds], [k[3] for k in kinds]
+        kind = parts.indices.to_numpy()
+        whose = np.repeat(np.arange(len(files)), [len(file) for file in files])
+        lines = np.cumsum(breaks[kind]) - breaks[kind]
+        lines += 1 - lines[np.flatnonzero(np.r_[True, whose[1:] != whose[:-1]])[np.cumsum(np.r_[False, whose[1:] != whose[:-1]])]] if len(whose) else 0
+        stay = ~out[kind]
+        self.kind, self.whose, self.line, n = kind[stay], whose[stay], lines[stay], int(stay.sum())
+        self.count = np.bincount(self.whose, minlength=len(files))
+        self.begin = np.cumsum(self.count) - self.count
+        self.place = np.arange(n)
+        self.at = self.place - self.begin[self.whose] + 1
+        opens, closes = self.shape(*PAIRS), self.shape(*PAIRS.values())
+        level = np.cumsum(opens.astype(np.int64) - closes)
+        level -= np.r_[0, level][self.begin[self.whose]]
+        self.depth = level - opens
+        low = int(self.depth.min(initial=0))
+        span = int(self.depth.max(initial=0)) - low + 2
+        key = lambda depth, place: ((self.whose[place] * span + depth - low) * (n + 1)) + place
+        # around: the last bracket that opened one level further out
+        opened = np.flatnonzero(opens)
+        inner = np.sort(key(self.depth[opened] + 1, opened))
+        own = key(self.depth, self.place)
+        found = np.r_[0, inner][np.searchsorted(inner, own)]  # in the file's level, or before all of it
+        self.around = np.where((found > 0) & (found // (n + 1) == own // (n + 1)), np.r_[self.at, 0][found % (n + 1)], 0)
+        # partner: the bracket before it at the same depth, if that one opens
+        marks = np.flatnonzero(opens | closes)
+        marks = marks[np.argsort(key(self.depth[marks], marks))]
+        first, second = marks[:-1], marks[1:]
+        pair = opens[first] & closes[second] & (self.depth[first] == self.depth[second]) & (self.whose[first] == self.whose[second])
+        first, second = first[pair], second[pair]
+        self.partner = np.zeros(n, np.int64)
+        self.partner[first], self.partner[second] = self.at[second], self.at[first]
+        match = np.zeros(n, bool)
+        for o, c in PAIRS.items():
+            match[second] |= self.shape(o)[first] & self.shape(c)[second]
+        wrong = np.bincount(self.whose[closes & ~(match & (self.depth >= 0))], minlength=len(files))
+        ends = np.bincount(self.whose, opens.astype(np.int64) - closes, minlength=len(files))
+        self.balanced = (wrong == 0) & (ends == 0)
+        semicolons = np.flatnonzero(self.shape(";"))
+        next_ = np.r_[semicolons, n][np.searchsorted(semicolons, self.place)]
+        same = np.r_[self.whose, -1][next_] == self.whose
+        self.after = np.where(same, np.r_[self.at, 0][next_], 0)
+
+    def shape(self, *names: str) -> np.ndarray:
+        return np.array([s in names for s in self.shapes], bool)[self.kind]
+
+    def token(self, *words: str) -> np.ndarray:
+        """Names that are one of the words."""
+        return np.array([s == "i" and t in words for s, t in zip(self.shapes, self.tokens, strict=True)], bool)[self.kind]
+
+    def beside(self, told: np.ndarray, step: int) -> np.ndarray:
+        """What is told of the token so many places on; false beyond the file."""
+        to = np.clip(self.place + step, 0, max(0, len(told) - 1))
+        return told[to] & (to == self.place + step) & (self.whose[to] == self.whose)
+
+    def at_place(self, told: np.ndarray, at: np.ndarray) -> np.ndarray:
+        """What is told of the file's token number `at`; false for 0."""
+        return told[np.where(at > 0, self.begin[self.whose] + at - 1, 0)] & (at > 0) if len(told) else told
+
+    def rows(self, owners: list[tuple], keep: np.ndarray) -> pa.RecordBatch:
+        """Rows of `TOKENS`. owners: each file's (project_id, path)."""
+        whose, kind, place = self.whose[keep], self.kind[keep], self.place[keep]
+        named = {"shape": pa.array(self.shapes, pa.string()), "token": pa.array(self.tokens, pa.string())}
+        number = lambda x: pa.array(x[keep].astype(np.int32), mask=x[keep] == 0)
+        project, path = (pa.array(c, pa.string()).take(pa.array(whose)) for c in zip(*owners, strict=True))
+
+        def beside(column: str, step: int) -> pa.Array:
+            to = np.clip(place + step, 0, max(0, len(self.kind) - 1))
+            return named[column].take(pa.array(self.kind[to], mask=(to != place + step) | (self.whose[to] != whose)))
+
+        plain = [pa.array(self.at[keep].astype(np.int32)), pa.array(self.line[keep].astype(np.int32)), *(named[c].take(pa.array(kind)) for c in ("shape", "token")), pa.array(self.depth[keep].astype(np.int32))]
+        return pa.RecordBatch.from_arrays([project, path, *plain, *map(number, (self.around, self.partner, self.after)), *(beside(*x) for x in BESIDE.values()), pa.array(self.balanced[whose])], schema=TOKENS)
+
+
+def placed(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[list[tuple], Placed]]:
+    """(project_id, path) of files, and their tokens: about `BATCH` parts at a time."""
+    owners, files, held = [], [], 0
+    for batch in batches:
+        for project, path, text in zip(*(batch.column(c) for c in range(3)), strict=True):
+            owners.append((project.as_py(), path.as_py()))
+            files.append(cut(text.as_py() or ""))
+            held += len(files[-1])
+            if held >= BATCH:
+                yield owners, Placed(files)
+                owners, files, held = [], [], 0
+    if owners:
+        yield owners, Placed(files)
+
+
+def token_rows(files: DataFrame, wanted: Callable[[Placed], np.ndarray] | None = None) -> DataFrame:
+    """The columns of `script_tokens`, at counting from 1; comments and blanks left out, and tokens that are not `wanted`."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        out, owners = [], []
-        for batch in batches:
-            for project, path, text in zip(*(batch.column(c) for c in range(3)), strict=True):
-                found = list(scanned(text.as_py() or ""))
-                places, balanced = bracketed([shape for _, shape, _ in found])
-                owners.append((project.as_py(), path.as_py(), balanced, len(out)))
-                out += [(at, *token, *place) for at, (token, place) in enumerate(zip(found, places, strict=True), 1)]
-                if len(out) >= BATCH:
-                    yield from packed(out, owners)
-                    out, owners = [], []
-        if out:
-            yield from packed(out, owners)
+        for owners, p in placed(batches):
+            keep = np.flatnonzero(wanted(p)) if wanted else p.place
+            for lo in range(0, len(keep), BATCH):
+                yield p.rows(owners, keep[lo : lo + BATCH])
 
     schema = ", ".join(f"{f.name} {'string' if f.type == pa.string() else 'boolean' if f.type == pa.bool_() else 'int'}" for f in TOKENS)
     return dealt(files.select("project_id", "path", "text"), FILE).mapInArrow(run, schema)
 
 
-def packed(rows: list[tuple], owners: list[tuple]) -> Iterator[pa.RecordBatch]:
-    """rows (at, line, shape, token, depth, around, partner, after) of whole files as batches; owners: (project_id, path, balanced, where
-    the file's rows begin). Shapes and words of the tokens beside one are taken from the same columns, a few rows away."""
-    project, path, balanced, begins = zip(*owners, strict=True)
-    whose = np.repeat(np.arange(len(owners)), np.diff([*begins, len(rows)]))
-    own = [pa.array(c, t).take(pa.array(whose)) for c, t in ((project, pa.string()), (path, pa.string()), (balanced, pa.bool_()))]
-    rest = {f.name: pa.array(c, f.type) for c, f in zip(zip(*rows, strict=True), list(TOKENS)[2:10], strict=True)}
-    place = np.arange(len(rows))
+def bracket_rows(files: DataFrame) -> DataFrame:
+    """(project_id, path, tokens, deepest, balanced, templates, patterns) of each script that has tokens: of a file's tokens only these sums leave the worker."""
 
-    def beside(column: str, step: int) -> pa.Array:
-        to = np.clip(place + step, 0, len(rows) - 1)
-        return rest[column].take(pa.array(to, mask=(to != place + step) | (whose[to] != whose)))
-
-    sides = [beside(column, step) for column, step in BESIDE.values()]
-    batch = pa.RecordBatch.from_arrays([own[0], own[1], *rest.values(), *sides, own[2]], schema=TOKENS)
-    for lo in range(0, len(rows), BATCH):
-        yield batch.slice(lo, BATCH)
-
-
-def script_tokens(files: DataFrame) -> DataFrame:
-    """Tokens with depth (brackets around them), partner (of a bracket: where the other one is), around (where the bracket around them opens),
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for owners, p in placed(batches):
+            some = np.flatnonzero(p.count)
+            project, path = (pa.array(c, pa.string()).take(pa.array(some)) for c in zip(*owners, strict=True))
+            deepest = np.maximum.reduceat(p.depth, p.begin[some]) if len(some) else some
+            templates, patterns = (np.bincount(p.whose[p.shape(s)], minlength=len(owners))[some] for s in ("`", "/re/"))
+            yield pa.RecordBatch.from_arrays([project, path, *(pa.array(x.astype(np.int64)) for x in (p.count[some], deepest)), pa.array(p.balanced[some]), pa.array(templates), pa.array(patterns)], names=["project_id", "path", "tokens", "deepest", "balanced", "templates", "patterns"])
+
+    return dealt(files.select("project_id", "path", "text"), FILE).mapInArrow(run, "project_id string, path string, tokens long, deepest long, balanced boolean, templates long, patterns long")
+
+
+def of_declarations(p: Placed) -> np.ndarray:
+    """The tokens that `script_functions` asks for."""
+    name, opens = p.shape("i"), p.shape("(")
+    free = name & ~p.beside(p.shape("."), -1)
+    body = p.beside(p.shape("{"), 1)  # before a body
+    classes = free & p.token("class") & p.beside(name, 1)
+    said = classes | free & p.token("function") & p.beside(name, 1)
+    let = free & p.beside(p.token("const", "let", "var"), -1) & p.beside(p.shape("="), 1)
+    given = p.beside(p.shape("="), -1) | p.beside(p.token("async"), -1) & p.beside(p.shape("="), -2)
+    closed = p.shape(")") & (p.beside(p.shape("=>"), 1) | body)
+    method = opens & p.at_place(p.shape(")") & body, p.partner)
+    levels = np.unique(p.whose[classes] << 32 | p.depth[classes] + 2**31)
+    braces = p.shape("{") & np.isin(p.whose << 32 | p.depth + 2**31, levels)
+    lists = free & p.token("export") & p.beside(p.shape("{"), 1)
+    listed = name & p.beside(p.shape("{", ","), -1) & p.at_place(p.beside(lists, -1), p.around)
+    return said | let | given | closed & (p.partner > 0) | method | free & p.beside(method, 1) | braces | lists | listed
+
+
+def of_rules(p: Placed) -> np.ndarray:
+    """The tokens that `script_hits` asks for: heads of `for` and `if` and what is directly in them, what follows them, dotted names that are read
+    by a name in brackets or name a length, whole, and the words of rules."""
+    name, opens, dot, balanced = p.shape("i"), p.shape("("), p.shape("."), p.balanced[p.whose] if len(p.whose) else np.zeros(0, bool)
+    words = p.token("for", "if") & ~p.beside(dot, -1) & p.beside(opens, 1) & balanced
+    heads = opens & p.beside(words, -1)
+    behind = p.beside(p.shape(")"), -1) & p.beside(p.at_place(heads, p.partner), -1)
+    read = (name | dot) & p.beside(p.shape("["), 1) & p.beside(name, 2) & p.beside(p.shape("]"), 3)
+    starts = np.array([s == "i" and t.startswith("length") for s, t in zip(p.shapes, p.tokens, strict=True)], bool)[p.kind]
+    goes_on = dot & p.beside(name, -1) | name & p.beside(dot, -1)
+    run = np.cumsum(~goes_on)
+    told = read | starts & p.beside(dot, -1)
+    asked = np.zeros(len(run) + 1, bool)
+    asked[run[told & balanced]] = True
+    spoken = p.token("undefined", "NaN")
+    return (words | heads | p.at_place(heads, p.around) | behind | (name | dot) & asked[run] | spoken) & balanced
+
+
+def script_tokens(files: DataFrame, wanted: Callable[[Placed], np.ndarray] | None = None) -> DataFrame:
+    """Tokens, or those of them that are `wanted` (`of_declarations`, `of_rules`), with depth (brackets around them), partner (of a bracket: where the other one is), around (where the bracket around them opens),
     p1, p2, t1, t2, t3 (shapes before and after), v1, v2, w1, w2 (words there), after (where the next semicolon is) and balanced (of the file).
     A written table: texts are scanned once, whatever is asked of their tokens; all of this is known where a file is scanned, so tokens
     are neither shuffled nor sorted for it."""
-    return by_merge(written(token_rows(files), "tokens"))
+    return by_merge(written(token_rows(files, wanted), "tokens"))
 
 
 def runs(tokens: DataFrame) -> DataFrame:
